@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from listing_lake.llm import secret_scan
-from listing_lake.llm.common import table
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from listing_lake.llm import bitplane, secret_scan
+from listing_lake.llm.common import shared_dir, table
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_output(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/listing_lake/ids-{uuid.uuid4().hex}"
+    return bitplane.digest(table(spark, d, "documents"), path, tokenizer=vocabulary("word_bpe_49k.json"), end_id=1)
+
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
+    "op7_token_output": token_output,
 }
 
 ORACLES = {
