@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listing_lake.llm import bitplane, packing, secret_scan
+from listing_lake.llm import bitplane, language, packing, quality, secret_scan, toxicity
 from listing_lake.llm.common import shared_dir, table
 
 
@@ -23,8 +23,11 @@ def token_output(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
+    "op2_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_language": lambda spark, d: language.digest(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.digest(table(spark, d, "documents"), tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2),
     "op7_token_output": token_output,
+    "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES = {
