@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -15,11 +17,19 @@ import numpy as np
 #: White space, or what some engine takes for it, outside ASCII's usual six.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 SPACED_RUNS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+#: The memo keeps two generations of at most so many runs each; runs longer than MEMO_CHARS are not kept.
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian uint32 bytes; one per worker process and file."""
     if path not in _encoders:
@@ -28,28 +38,58 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # in a corpus, such strings are ordinary text
-        keeps_space = tok.pre_tokenizer.pre_tokenize_str("a b")[-1][0] != "b</w>" and tok.normalizer is None
+        keeps_space = tok.normalizer is None
         runs = SPACED_RUNS.findall if keeps_space else str.split
-        memo: dict[str, bytes] = {}
+        merged, letters = tok.model.tokenize, byte_letters()
+        young: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
 
         def direct(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+        def word(run: str) -> list[int] | None:
+            """Ids of a plain word with stops or commas behind it: what stands between white space and marks is one unit
+            for the vocabulary's merges. None for anything else."""
+            core = run.rstrip(".,")
+            tail, bare = run[len(core) :], core[1:] if keeps_space and core[:1] == " " else core
+            if not bare.isalpha():
+                return None
+            if not keeps_space:
+                if not core.isascii():
+                    core = unicodedata.normalize("NFC", core)
+                core = core.lower()
+                if not core.isalpha() or "\u03c2" in core:
+                    return None
+            ids = [t.id for t in merged(core.encode().decode("latin-1").translate(letters))]
+            return ids + [t.id for t in merged(tail)] if tail else ids
+
+        def fresh_ids(fresh: list[str]) -> dict[str, bytes]:
+            found, other = {}, []
+            for run in fresh:
+                ids = word(run)
+                if ids is None:
+                    other.append(run)
+                else:
+                    found[run] = struct.pack(f"<{len(ids)}I", *ids)
+            found.update(zip(other, direct(other), strict=True))
+            return found
+
         def encode(text: str) -> bytes:
+            nonlocal young, old
             if ODD_SPACE.search(text):
                 return direct([text])[0]
             pieces = runs(text)
             try:
-                return b"".join([memo[p] for p in pieces])
+                return b"".join([young[p] for p in pieces])
             except KeyError:
                 pass
-            fresh = [p for p in set(pieces) if p not in memo]
-            if len(memo) + len(fresh) > MEMO_ENTRIES:
-                memo.clear()
-                fresh = list(set(pieces))
-            found = dict(zip(fresh, direct(fresh), strict=True))
-            out = b"".join([found[p] if p in found else memo[p] for p in pieces])
-            memo.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
+            missing = {p for p in pieces if p not in young}
+            found = {p: old[p] for p in missing if p in old}
+            found |= fresh_ids([p for p in missing if p not in found])
+            out = b"".join([found[p] if p in found else young[p] for p in pieces])
+            if len(young) + len(found) > MEMO_ENTRIES:
+                young, old = {}, young
+            young.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
             return out
 
         _encoders[path] = encode

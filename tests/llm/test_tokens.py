@@ -18,8 +18,9 @@ def test_memo_gives_the_tokenizers_ids(name):
     rng = random.Random(5)
     bits = ["a", "the", "\'s", "\'", "!", " ", "  ", "\n", "\t", "é", "12", " ", " ", "　", "ß", "Σ", "́", "İ", "\x1f"]
     texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(800)]
+    texts += ["Straße. Ñandú, ΑΣ. ΣΑΣ, İstanbul. ŒUVRE, á. ª º, word.,., .a ,b Ⅷ ² x².", "Émile Zola écrit. Ça va, ﬀ ǅ ﬁn."]
     encode = encoder(vocabulary(name))
-    for text in texts:
+    for text in texts + texts[::-1]:
         assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
