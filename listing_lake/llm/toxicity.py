@@ -25,6 +25,8 @@ from listing_lake.llm.quality import sampled
 from listing_lake.llm.textvec import Words, blocks
 
 PREFIX, RUN, FLOOR = 5, 64, 0.05
+#: Emission score of a token without known features.
+START = -4.0
 SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA5A3564F8F3D2B1D))
 FIELD = tuple[np.ndarray, np.ndarray]
 
@@ -81,17 +83,17 @@ def forward_backward(score: np.ndarray, there: np.ndarray, step: np.ndarray) ->
     return marginal, moves
 
 
-def fit_field(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], bits: int, steps: int, rate: float) -> FIELD:
-    """AdaGrad on the log-likelihood of labelled runs: (places, run, at, label) of each block."""
-    w, step = np.zeros(1 << bits), np.zeros((2, 2))
-    seen, seen_step = np.full(1 << bits, 1e-6), np.full((2, 2), 1e-6)
+def fit_field(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], size: int, steps: int, rate: float) -> FIELD:
+    """AdaGrad on the log-likelihood of labelled runs: (places, run, at, label) of each block; places are under ``size``."""
+    w, step = np.zeros(size), np.zeros((2, 2))
+    seen, seen_step = np.full(size, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(steps):
         for places, run, at, label in tokens:
             shape = (int(run[-1]) + 1, RUN)
             score, there = np.zeros(shape), np.zeros(shape, bool)
-            score[run, at], there[run, at] = w[places].sum(axis=0) - 2.0, True
+            score[run, at], there[run, at] = w[places].sum(axis=0) + START, True
             marginal, moves = forward_backward(score, there, step)
-            slope = np.bincount(places.ravel(), np.tile(label - marginal[run, at], len(places)), 1 << bits) - 1e-3 * w
+            slope = np.bincount(places.ravel(), np.tile(label - marginal[run, at], len(places)), size) - 1e-3 * w
             follows = at[1:] > 0
             held = np.bincount(2 * label[:-1][follows] + label[1:][follows], minlength=4).reshape(2, 2)
             turn = held - moves - 1e-3 * step
@@ -102,34 +104,48 @@ def fit_field(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return w, step
 
 
-def find_cues(sample: DataFrame, *, least: int = 4, clean: float = 0.97) -> list[int]:
-    """Numbers of the cues. Exact copies count once. What is collected is bounded by the sample."""
+def signatures(words: Words, n: int) -> np.ndarray:
+    """A number per text that near copies mostly share: the least of its words under three orders, combined."""
+    out = np.zeros(n, np.uint64)
+    for salt in SALTS[:3]:
+        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, words.row, (words.number ^ salt) * SALTS[3])
+        out = out * SALTS[0] ^ least
+    return out
+
+
+def find_cues(sample: DataFrame, *, least: int = 6, clean: float = 0.97, plain: int = 40) -> list[int]:
+    """Numbers of the cues. Texts count by signature, so a group of copies counts about once. A cue has ``least`` toxic
+    texts, ``clean`` of all texts that have it are toxic, and it covers some that no better cue covers, or has ``plain``
+    toxic texts. What is collected is bounded by the sample."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            label = pdf["_label"].to_numpy()
             for block in blocks(pdf["_text"].tolist()):
                 words = Words(*block, lower=True)
+                same = signatures(words, len(pdf)).view(np.int64)
                 for cue in cues_of(words):
                     pair = pd.DataFrame({"row": words.row, "cue": cue.view(np.int64)})
                     pair = pair[pair["cue"] != 0].drop_duplicates()
-                    yield pd.DataFrame({"cue": pair["cue"], "_id": pdf["_id"].to_numpy()[pair["row"]], "_label": pdf["_label"].to_numpy()[pair["row"]]})
+                    yield pd.DataFrame({"cue": pair["cue"], "same": same[pair["row"]], "_label": label[pair["row"]]})
 
-    texts = sample.groupBy(F.xxhash64("_text").alias("_same")).agg(F.first("_text").alias("_text"), F.min("_id").alias("_id"), F.max("_label").alias("_label"))
-    pairs = texts.select("_id", "_text", "_label").mapInPandas(each, "cue long, _id long, _label int").distinct()
-    toxic = F.collect_list(F.when(F.col("_label") == 1, F.col("_id")))
-    counts = pairs.groupBy("cue").agg(F.sum("_label").alias("bad"), F.count("*").alias("n"), toxic.alias("ids"))
+    pairs = sample.select("_text", "_label").mapInPandas(each, "cue long, same long, _label int")
+    pairs = pairs.groupBy("cue", "same").agg(F.max("_label").alias("_label"))
+    toxic = F.collect_list(F.when(F.col("_label") == 1, F.col("same")))
+    counts = pairs.groupBy("cue").agg(F.sum("_label").alias("bad"), F.count("*").alias("n"), toxic.alias("same"))
     found = counts.filter((F.col("bad") >= least) & (F.col("bad") >= clean * F.col("n"))).collect()
-    open_ids = {r.cue: set(r.ids) for r in found}
+    has = {r.cue: set(r.same) for r in found}
     covered: set[int] = set()
     cues: list[int] = []
-    for cue in sorted(open_ids, key=lambda c: (-len(open_ids[c]), c)):
-        if len(open_ids[cue] - covered) >= max(2, len(open_ids[cue]) // 20):
+    for cue in sorted(has, key=lambda c: (-len(has[c]), c)):
+        if len(has[cue]) >= plain or len(has[cue] - covered) >= max(3, len(has[cue]) // 20):
             cues.append(cue)
-            covered |= open_ids[cue]
+            covered |= has[cue]
     return cues
 
 
-def train(sample: DataFrame, *, bits: int = 18, shards: int = 4, steps: int = 30, rate: float = 0.5) -> FIELD:
+def train(sample: DataFrame, *, bits: int = 21, shards: int = 4, steps: int = 30, rate: float = 0.5) -> FIELD:
     """Averaged weights of the shards: ``2**bits`` and four transition scores at most."""
     cues = np.array(find_cues(sample), np.int64).view(np.uint64)
 
@@ -144,11 +160,11 @@ def train(sample: DataFrame, *, bits: int = 18, shards: int = 4, steps: int = 30
             word, head = cues_of(words)
             label = ((np.isin(word, cues) | np.isin(head, cues)) & (pdf["_label"].to_numpy()[words.row] == 1)).astype(np.int64)
             hot = np.bincount(run, label, n) > 0
-            keep = (hot | (np.arange(n) % 8 == 0))[run]
+            keep = (hot | (np.arange(n) % 4 == 0))[run]
             tokens.append((places_of(words, bits)[:, keep], np.unique(run[keep], return_inverse=True)[1], at[keep], label[keep]))
-        w, step = fit_field(tokens, bits, steps, rate)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"place": [*at, -1, -2, -3, -4], "weight": [*w[at], *step.ravel()]})
+        used = np.unique(np.concatenate([t[0].ravel() for t in tokens])) if tokens else np.zeros(0, np.int64)
+        w, step = fit_field([(np.searchsorted(used, p), *rest) for p, *rest in tokens], len(used), steps, rate)
+        return pd.DataFrame({"place": [*used, -1, -2, -3, -4], "weight": [*w, *step.ravel()]})
 
     if not len(cues):
         return np.zeros(0), np.zeros((2, 2))
@@ -176,7 +192,7 @@ def tag(docs: DataFrame, field: FIELD, *, text_col: str = "text") -> DataFrame:
             if not n:
                 continue
             score, there = np.zeros((n, RUN)), np.zeros((n, RUN), bool)
-            score[run, at], there[run, at] = w[places_of(words, int(np.log2(len(w))))].sum(axis=0) - 2.0, True
+            score[run, at], there[run, at] = w[places_of(words, int(np.log2(len(w))))].sum(axis=0) + START, True
             p = marginals(score, there, step)[run, at]
             kept += np.bincount(words.row, np.log1p(-np.minimum(np.where(p >= FLOOR, p, 0), 1 - 1e-12)), len(texts))
             for i in np.flatnonzero(p >= 0.5):
