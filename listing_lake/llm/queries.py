@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listing_lake.llm import bitplane, language, packing, quality, secret_scan, simhash, toxicity
+from listing_lake.llm import bitplane, language, packing, quality, secret_scan, simhash, toxicity, vptree
 from listing_lake.llm.common import shared_dir, table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op1_secret_scan": lambda spark, d: secret_scan.digest(table(spark, d, "documents")),
     "op2_quality": lambda spark, d: quality.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_simhash": lambda spark, d: simhash.digest(table(spark, d, "documents")),
+    "op4_vptree": lambda spark, d: vptree.digest(table(spark, d, "embeddings")),
     "op5_language": lambda spark, d: language.digest(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.digest(table(spark, d, "documents"), tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2),
     "op7_token_output": token_output,
@@ -33,4 +34,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_secret_scan": secret_scan.ORACLE,
+    "op4_vptree": vptree.ORACLE,
 }
