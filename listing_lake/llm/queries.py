@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listing_lake.llm import bitplane, language, packing, quality, secret_scan, simhash, toxicity, url_graph, vptree
+from listing_lake.llm import bitplane, decontaminate, language, packing, quality, secret_scan, simhash, toxicity, url_graph, vptree
 from listing_lake.llm.common import shared_dir, table
 
 
@@ -29,6 +29,7 @@ QUERIES = {
     "op5_language": lambda spark, d: language.digest(table(spark, d, "documents")),
     "op6_packing": lambda spark, d: packing.digest(table(spark, d, "documents"), tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2),
     "op7_token_output": token_output,
+    "op8_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_url_graph": lambda spark, d: url_graph.judge(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
 }
@@ -36,5 +37,6 @@ QUERIES = {
 ORACLES = {
     "op1_secret_scan": secret_scan.ORACLE,
     "op4_vptree": vptree.ORACLE,
+    "op8_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_url_graph": url_graph.ORACLE,
 }
