@@ -146,9 +146,12 @@ def decoded(counts: bytes, lengths: bytes) -> list[Bin]:
 ELITE = "shard long, island int, bins int, counts binary, lengths binary"
 
 
-def plans(sizes: DataFrame, *, capacity: int, islands: int, rounds: int, population: int, generations: int) -> DataFrame:
+def plans(sizes: DataFrame, shards: int, *, capacity: int, islands: int, rounds: int, population: int, generations: int) -> DataFrame:
     """The best plan of each shard. ``sizes``: shard, length, n."""
-    rows = sizes.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands)))))
+    # Groups cost seconds and few bytes: deal them by number, or they would be put together by size.
+    tasks = min(shards * islands, 2000)
+    rows = written(sizes, "packing-sizes").withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(islands)))))
+    rows = rows.repartition(tasks, "shard", "island")
     elites = None
     for turn in range(rounds):
 
@@ -170,7 +173,8 @@ def plans(sizes: DataFrame, *, capacity: int, islands: int, rounds: int, populat
             elites = rows.groupBy("shard", "island").applyInPandas(first, ELITE)
         else:
             moved = elites.withColumn("island", ((F.col("island") + 1) % islands).cast("int"))
-            both = rows.groupBy("shard", "island").cogroup(elites.unionByName(moved).groupBy("shard", "island"))
+            came = elites.unionByName(moved).repartition(tasks, "shard", "island")
+            both = rows.groupBy("shard", "island").cogroup(came.groupBy("shard", "island"))
             elites = both.applyInPandas(seeded(turn), ELITE)
         elites = written(elites, "packing-elites")
     best = F.min_by(F.struct("counts", "lengths"), F.struct("bins", "island")).alias("plan")
@@ -199,14 +203,18 @@ def pack(
 ) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (a written table, so that counting them costs little). Any columns
     beside the id, ``piece`` and ``length`` come along."""
-    n = max(1, math.ceil(parts.count() / shard_pieces))
+    n = max(1, math.ceil(parts.filter(F.col("length") < capacity).count() / shard_pieces))
     dealt = parts.withColumn("_shard", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(n)))
-    sizes = dealt.groupBy(F.col("_shard").alias("shard"), "length").agg(F.count("*").alias("n"))
-    plan = plans(sizes, capacity=capacity, islands=islands, rounds=rounds, population=population, generations=generations)
-    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_shard", "length").orderBy(id_col, "piece", "start")))
+    sizes = dealt.filter(F.col("length") < capacity).groupBy(F.col("_shard").alias("shard"), "length").agg(F.count("*").alias("n"))
+    plan = plans(sizes, n, capacity=capacity, islands=islands, rounds=rounds, population=population, generations=generations)
+    ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_shard", "length").orderBy(id_col, "piece", "start")).cast("long"))
     slot = places(plan).select(F.col("shard").alias("_shard"), F.col("length").alias("_length"), F.col("rank").alias("_rank"), "sequence_id", "offset")
     same = (ranked["_shard"] == slot["_shard"]) & (ranked["length"] == slot["_length"]) & (ranked["_rank"] == slot["_rank"])
-    return ranked.join(slot, same).select(*parts.columns, "sequence_id", "offset")
+    placed = ranked.join(slot, same, "left").drop(slot["_shard"]).drop(slot["_rank"])
+    # A piece of full length is a sequence of its own; negative numbers keep these apart from the plans'.
+    alone = -1 - (F.col("_shard") * (1 << 24) + F.col("_rank"))
+    placed = placed.withColumn("sequence_id", F.coalesce("sequence_id", alone)).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
+    return placed.select(*parts.columns, "sequence_id", "offset")
 
 
 def digest(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, **parameters) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 #: White space, or what some engine takes for it, outside ASCII's usual six.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 SPACED_RUNS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-#: The memo keeps two generations of at most so many runs each; runs longer than MEMO_CHARS are not kept.
+#: The memo keeps two generations, each closed once it has so many runs; runs longer than MEMO_CHARS are not kept.
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
@@ -43,53 +43,61 @@ def encoder(path: str) -> Callable[[str], bytes]:
         merged, letters = tok.model.tokenize, byte_letters()
         young: dict[str, bytes] = {}
         old: dict[str, bytes] = {}
+        tails: dict[str, bytes] = {}
 
         def direct(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        def word(run: str) -> list[int] | None:
-            """Ids of a plain word with stops or commas behind it: what stands between white space and marks is one unit
-            for the vocabulary's merges. None for anything else."""
+        def word(run: str) -> bytes | None:
+            """Ids of a plain word, with stops or commas behind it or not: what stands between white space and marks is one
+            unit for the vocabulary's merges. None for anything else."""
             core = run.rstrip(".,")
-            tail, bare = run[len(core) :], core[1:] if keeps_space and core[:1] == " " else core
+            if len(core) < len(run):
+                body = young.get(core) or old.get(core) or (word(core) if core else None)
+                tail = run[len(core) :]
+                if tail not in tails:
+                    if len(tail) > 8:
+                        return None
+                    tails[tail] = direct([tail])[0]
+                return body and body + tails[tail]
+            bare = run[1:] if keeps_space and run[0] == " " else run
             if not bare.isalpha():
                 return None
             if not keeps_space:
-                if not core.isascii():
-                    core = unicodedata.normalize("NFC", core)
+                if not run.isascii():
+                    core = unicodedata.normalize("NFC", run)
                 core = core.lower()
+                if core != run and core in young:
+                    return young[core]
                 if not core.isalpha() or "\u03c2" in core:
                     return None
             ids = [t.id for t in merged(core.encode().decode("latin-1").translate(letters))]
-            return ids + [t.id for t in merged(tail)] if tail else ids
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        def fresh_ids(fresh: list[str]) -> dict[str, bytes]:
-            found, other = {}, []
-            for run in fresh:
-                ids = word(run)
+        def learn(missing: set[str]) -> None:
+            other = []
+            for run in missing:
+                ids = old.get(run) or word(run)
                 if ids is None:
                     other.append(run)
                 else:
-                    found[run] = struct.pack(f"<{len(ids)}I", *ids)
-            found.update(zip(other, direct(other), strict=True))
-            return found
+                    young[run] = ids
+            if other:
+                young.update(zip(other, direct(other), strict=True))
 
         def encode(text: str) -> bytes:
             nonlocal young, old
             if ODD_SPACE.search(text):
                 return direct([text])[0]
-            pieces = runs(text)
-            try:
-                return b"".join([young[p] for p in pieces])
-            except KeyError:
-                pass
-            missing = {p for p in pieces if p not in young}
-            found = {p: old[p] for p in missing if p in old}
-            found |= fresh_ids([p for p in missing if p not in found])
-            out = b"".join([found[p] if p in found else young[p] for p in pieces])
-            if len(young) + len(found) > MEMO_ENTRIES:
+            if len(young) > MEMO_ENTRIES:
                 young, old = {}, young
-            young.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
+            pieces = runs(text)
+            if missing := set(pieces).difference(young):
+                learn(missing)
+            out = b"".join(map(young.__getitem__, pieces))
+            for run in missing:
+                if len(run) > MEMO_CHARS:
+                    young.pop(run, None)
             return out
 
         _encoders[path] = encode
