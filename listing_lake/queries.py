@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listing_lake.plans import layers
+from listing_lake.plans import jobs, layers
 
-QUERIES = {**layers.QUERIES}
-ORACLES = {**layers.ORACLES}
+QUERIES = layers.QUERIES | jobs.QUERIES
+ORACLES = layers.ORACLES | jobs.ORACLES
