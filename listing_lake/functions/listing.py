@@ -97,7 +97,7 @@ def useful_item(frame_type: Column, chaos: Column) -> Column:
 
 def age_seconds(indexed: Column, collected: Column) -> Column:
     gap = (F.unix_micros(collected.cast("timestamp")) - F.unix_micros(indexed.cast("timestamp"))) / 1e6
-    return F.round(F.greatest(gap, F.lit(0.0)), 3)
+    return F.when(gap.isNotNull(), F.round(F.greatest(gap, F.lit(0.0)), 3))
 
 
 def freshness_band(age: Column) -> Column:
