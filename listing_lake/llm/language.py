@@ -2,9 +2,9 @@
 machines between the languages of that family.
 
 Features are hashed character n-grams (one to three characters; letters in lower case, everything else as a space), each by
-its share of the text. Every machine learns from a sample of at most ``per_lang`` labelled texts of each language, in a
-task of its own, and comes back as one vector of ``2**bits`` weights. Languages outside ``FAMILIES`` are families of their
-own, so any set of labels works.
+its share of the text. Every machine learns from a sample of about ``per_lang`` labelled texts of each language (those whose
+id hashes under that share of all), in a task of its own, and comes back as one vector of ``2**bits`` weights. Languages
+outside ``FAMILIES`` are families of their own, so any set of labels works.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything when nothing is labelled. The score is the
 winning family's probability times the winning language's within it.
@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from listing_lake.llm.common import crc_mod
 from listing_lake.llm.textvec import LAST, Words, blocks, kinds
@@ -71,9 +70,12 @@ def machine(x: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> np.ndar
 
 def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 800, steps: int = 150, penalty: float = 1e-3) -> dict[str, np.ndarray]:
     """``labelled``: _id, _text, _lang. One machine per family against the rest and per pair of languages in a family."""
-    order = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = labelled.select("_id", "_lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_lang)
-    langs = sorted(r[0] for r in ids.select("_lang").distinct().collect())
+    counts = {r[0]: r[1] for r in labelled.groupBy("_lang").count().collect()}
+    langs, ring = sorted(counts), 1 << 30
+    share = F.when(F.lit(False), F.lit(0))
+    for lang in langs:
+        share = share.when(F.col("_lang") == lang, F.lit(min(ring, per_lang * ring // counts[lang])))
+    picked = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(ring)) < share)
     of: dict[str, list[str]] = {}
     for lang in langs:
         of.setdefault(family(lang), []).append(lang)
@@ -92,7 +94,6 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 800, steps: in
         return pd.DataFrame({"task": [key[0]], "weights": [machine(x, y, steps, penalty).tolist()]})
 
     sides = [F.struct(F.lit(t).alias("task"), F.lit(x).alias("lang")) for t, side in tasks.items() for x in side]
-    picked = ids.join(labelled.withColumnRenamed("_id", "_same").drop("_lang"), F.col("_id") == F.col("_same"))
     dealt = picked.withColumn("_task", F.explode(F.filter(F.array(*sides), lambda s: s["lang"] == F.col("_lang"))["task"]))
     found = dealt.select("_task", "_id", "_lang", "_text").groupBy("_task").applyInPandas(fit, "task string, weights array<double>")
     return {r.task: np.array(r.weights) for r in found.collect()}
