@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
-from listing_lake.operators import comparables, observations, scan, valuation
+from listing_lake.operators import comparables, observations, planner, scan, valuation
 from listing_lake.plans.driver_tables import AS_OF, ITEMS, LISTINGS, TIE, items, listings, table
 
 
@@ -170,7 +170,16 @@ def trade_links(spark, d):
     return c.select("c_custkey", L.trade_link("https://trade.example/search", F.concat(F.col("c_mktsegment"), F.lit(" a/b ä")), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("")).alias("link"))
 
 
+BUDGET = 1500.0
+
+
+def flip_targets(spark, d):
+    out = planner.steps(planner.target(_scanned(spark, d), BUDGET))
+    return out.select(*TIE, F.array_join("goal_mods", ",").alias("goal_mods"), F.array_join("missing_mods", ",").alias("missing_mods"), "target_value", "target_confidence", F.array_join(F.col("steps.target_mod"), ",").alias("step_mods"), "craft_cost")
+
+
 _QUERIES = (
+    flip_targets,
     bronze_rollup, freshness, keep_last_event, latest_per_item, reconcile, event_payloads, layer_metrics, source_distribution, stratified_sample, even_sample, price_notes, priced_by_rates, silver, gold, valuations,
     comparable_stats, comparables_excluding_own_price, market_index, scan_opportunities, scan_funnel, top_opportunities, buy_filters, scan_segments, candidates, trade_links,
 )
@@ -309,6 +318,17 @@ ORACLES = {
     "buy_filters": f"""{SCAN}, f AS (SELECT CASE WHEN confidence < 0.45 THEN 'filtered_open_confidence' WHEN listed_price < 5 AND confidence < 0.6 THEN 'filtered_open_cheap_low_confidence' WHEN listed_price < 5 AND profit < 20 THEN 'filtered_open_cheap_low_profit'
       WHEN listed_price < 5 AND {_HOURS} > 12 THEN 'filtered_open_cheap_stale' END AS open_reason, CASE WHEN confidence < CASE WHEN listed_price >= 120 THEN 0.82 WHEN listed_price >= 50 THEN 0.78 ELSE 0.7 END THEN 'filtered_safe_buy_confidence'
       WHEN {_HOURS} > 24 THEN 'filtered_safe_buy_age' WHEN listed_price < 5 THEN 'filtered_safe_buy_price' END AS safe_reason FROM scanned) SELECT open_reason, safe_reason, count(*) AS n FROM f GROUP BY 1, 2""",
+    "flip_targets": f"""{SCAN}, g AS (SELECT *, CASE WHEN item_family = 'body_armour_defense' AND contains(lower(base_type), 'garb') AND ilvl >= 84 THEN ['Life1', 'SpellSuppress1', 'Resist1'] ELSE {_FAMILY(planner.GOALS, lambda g: str(list(g)))} END AS goals FROM scanned),
+      g1 AS (SELECT *, list_filter(goals, lambda x: NOT list_contains(tokens, x)) AS missing FROM g),
+      g2 AS (SELECT *, least(3, prefix_count + len(list_filter(missing, lambda x: x IN {planner.PREFIXES}))) AS tp_, least(3, suffix_count + len(list_filter(missing, lambda x: x IN {planner.SUFFIXES}))) AS ts_,
+        list_distinct(list_concat(list_concat(tokens, missing), list_transform(missing, lambda x: replace(x, '1', '')))) AS tok2 FROM g1),
+      g3 AS (SELECT *, {_FAMILY(valuation.REQUIRED, _HITS).replace("tokens", "tok2")} AS fc2, round(1e-9 + {_FAMILY(valuation.BASE_VALUE, str)} + {_FAMILY(valuation.TOKEN_WEIGHTS, _WEIGHT).replace("(tokens", "(tok2")} + {_FAMILY(valuation.SYNERGIES, _BONUS).replace("tokens", "tok2")}
+        + greatest(0.0, ilvl - 75.0) * 1.5 + (6 - tp_ - ts_) * 4.0 + CASE WHEN is_inf THEN 18.0 ELSE 0.0 END, 1) AS target_value FROM g2),
+      g4 AS (SELECT *, round(1e-9 + greatest(0.3, least(0.95, 0.35 + round(1e-9 + greatest(0.2, fc2), 2) * 0.25 + CASE WHEN item_family <> 'generic' THEN 0.1 ELSE 0.0 END + CASE WHEN is_inf THEN 0.05 ELSE 0.0 END + CASE WHEN ilvl >= 84 THEN 0.05 ELSE 0.0 END)), 2) AS oc,
+        list_concat(CASE WHEN list_contains(flags, 'fractured') OR list_contains(flags, 'influenced') THEN ['cleanup'] ELSE [] END, CASE WHEN len(missing) > 0 THEN missing[1:3] ELSE goals[1:2] END) AS step_list FROM g3)
+      SELECT {TIES}, array_to_string(goals, ',') AS goal_mods, array_to_string(missing, ',') AS missing_mods, target_value, round(1e-9 + greatest(0.35, least(0.9, CASE WHEN item_family = 'body_armour_defense'
+        THEN oc * 0.6 + confidence * 0.25 + CASE WHEN comparables_count >= 3 THEN 0.08 ELSE -0.02 END - CASE WHEN low_ilvl_context THEN 0.05 ELSE 0.0 END ELSE oc * 0.55 + confidence * 0.25 + CASE WHEN comparables_count >= 3 THEN 0.04 ELSE -0.03 END END)), 2) AS target_confidence,
+        array_to_string(step_list, ',') AS step_mods, round(1e-9 + list_sum(list_transform(step_list, lambda x: {_CASE("x", {k: round(v[1] / max(v[2], 0.05), 1) for k, v in planner.ACTIONS.items()} | {"cleanup": 18.2}, 6.0)})), 1) AS craft_cost FROM g4""",
     "scan_segments": f"SELECT {_SEGMENT} AS segment, count(*) AS n, min(price_step) AS least, max(price_step) AS most FROM ({LISTINGS}) l WHERE {_SEGMENT} IS NOT NULL GROUP BY 1",
     "candidates": f"""WITH s AS (SELECT *, {_SEGMENT} AS segment FROM ({LISTINGS}) l), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY segment, price_step, {TIES}) AS n FROM s WHERE segment IS NOT NULL)
       SELECT item_id, segment, price_step, {TIES} FROM f WHERE n = 1 ORDER BY segment, price_step, {TIES} LIMIT 90""",
