@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
+from listing_lake.functions import tiers
 from listing_lake.operators import comparables, observations, planner, scan, valuation
 from listing_lake.plans.driver_tables import AS_OF, ITEMS, LISTINGS, TIE, items, listings, table
 
@@ -170,6 +171,14 @@ def trade_links(spark, d):
     return c.select("c_custkey", L.trade_link("https://trade.example/search", F.concat(F.col("c_mktsegment"), F.lit(" a/b ä")), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("")).alias("link"))
 
 
+PAYLOAD = """concat('{"extended": {"mods": [{"name": "Spell Damage of ', p_name, '", "tier": ', CAST(p_size AS STRING), '}, {"text": "life", "rank": "T', CAST(p_size % 5 AS STRING), '"}]}}')"""
+
+
+def native_tiers(spark, d):
+    told = table(spark, d, "part").select("p_partkey", tiers.native_tiers(F.expr(PAYLOAD)).alias("t"))
+    return told.select("p_partkey", F.element_at("t.tiers", "SpellDamage").alias("spell_tier"), F.element_at("t.tiers", "Life").alias("life_tier"), F.col("t.count").alias("tiered"))
+
+
 BUDGET = 1500.0
 
 
@@ -179,7 +188,7 @@ def flip_targets(spark, d):
 
 
 _QUERIES = (
-    flip_targets,
+    flip_targets, native_tiers,
     bronze_rollup, freshness, keep_last_event, latest_per_item, reconcile, event_payloads, layer_metrics, source_distribution, stratified_sample, even_sample, price_notes, priced_by_rates, silver, gold, valuations,
     comparable_stats, comparables_excluding_own_price, market_index, scan_opportunities, scan_funnel, top_opportunities, buy_filters, scan_segments, candidates, trade_links,
 )
@@ -332,5 +341,6 @@ ORACLES = {
     "scan_segments": f"SELECT {_SEGMENT} AS segment, count(*) AS n, min(price_step) AS least, max(price_step) AS most FROM ({LISTINGS}) l WHERE {_SEGMENT} IS NOT NULL GROUP BY 1",
     "candidates": f"""WITH s AS (SELECT *, {_SEGMENT} AS segment FROM ({LISTINGS}) l), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY segment, price_step, {TIES}) AS n FROM s WHERE segment IS NOT NULL)
       SELECT item_id, segment, price_step, {TIES} FROM f WHERE n = 1 ORDER BY segment, price_step, {TIES} LIMIT 90""",
+    "native_tiers": "SELECT p_partkey, p_size AS spell_tier, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS life_tier, 1 + (p_size % 5 > 0)::INTEGER AS tiered FROM part",
     "trade_links": "SELECT c_custkey, 'https://trade.example/search/' || url_encode(c_mktsegment || ' a/b ä') || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '#' || c_custkey ELSE '' END AS link FROM customer",
 }

@@ -171,3 +171,12 @@ def test_high_ticket_flag(spark):
     row = spark.createDataFrame([(120.0, 0.70, 150.0, "generic", 84)], "listed_price double, confidence double, predicted_value double, item_family string, ilvl int")
     row = row.withColumns({"corrupted": F.lit(False), "fractured": F.lit(False), "influences": F.array().cast("array<string>"), "model_source": F.lit("family_model"), "twink_override": F.lit(False), "tier_ilvl_mismatch": F.lit(False), "listed_at": F.lit(None).cast("timestamp")})
     assert row.select(scan.risk_flags("2026-01-01", 48.0).alias("f")).first().f == ["high_ticket_low_confidence"]
+
+
+def test_native_tiers(spark):
+    from listing_lake.functions import tiers
+
+    nested = {"extended": {"mods": {"explicit": [{"name": "Spell Damage", "tier": 2}, {"name": "of spell damage", "tier": "T1"}, {"name": "Life", "tier": True, "rank": "S3"}]}}, "other": {"tier": 1, "name": "life"}}
+    rows = [(json.dumps(nested),), ('{"mods": [1, {"tier": 0, "name": "life"}]}',), ("bad \"tier\"",), (None,), ('{"id": 1}',)]
+    got = [r.t for r in spark.createDataFrame(rows, "j string").select(tiers.native_tiers(F.col("j")).alias("t")).collect()]
+    assert [(r.tiers, r["count"]) for r in got] == [({"SpellDamage": 1, "Life": 3}, 3), ({}, 0), ({}, 0), ({}, 0), ({}, 0)]
