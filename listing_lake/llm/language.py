@@ -53,22 +53,23 @@ def grams(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def machine(x: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> np.ndarray:
-    """Weights of a linear support vector machine (squared hinge loss, accelerated gradient); y is 1 or -1. The last weight
-    is the intercept. Classes count alike, however many texts they have."""
-    spread = x.std(axis=0) + 1e-4
-    x = np.hstack([x / spread, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    """Weights of a linear support vector machine (squared hinge loss, accelerated gradient); y is 1 or -1. The last column
+    of x is 1, for the intercept. Classes count alike, however many texts they have. x is changed in place."""
+    spread = x.std(axis=0) + np.float32(1e-4)
+    spread[-1] = 1
+    x /= spread  # in place: the texts' features are the largest thing in the task
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    bound = float((each[:, None] * x).ravel() @ x.ravel()) * 2 + penalty
+    bound = 2 * float(each @ np.einsum("ij,ij->i", x, x)) + penalty
     w = v = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - ((-2 * each * y * slack) @ x + penalty * v) / bound
         v = new + k / (k + 3) * (new - w)
         w = new
-    return np.append(w[:-1] / spread, w[-1])
+    return w / spread
 
 
-def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 800, steps: int = 150, penalty: float = 1e-3) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: int = 150, penalty: float = 1e-3) -> dict[str, np.ndarray]:
     """``labelled``: _id, _text, _lang. One machine per family against the rest and per pair of languages in a family."""
     counts = {r[0]: r[1] for r in labelled.groupBy("_lang").count().collect()}
     langs, ring = sorted(counts), 1 << 30
@@ -86,10 +87,11 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 800, steps: in
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_lang", "_id"])
-        x = np.zeros((len(pdf), 1 << bits), np.float32)
+        x = np.zeros((len(pdf), (1 << bits) + 1), np.float32)
         for row, place in grams(pdf["_text"].tolist(), bits):
             np.add.at(x, (row, place), 1)
         x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+        x[:, -1] = 1
         y = pdf["_lang"].map(tasks[key[0]]).to_numpy(np.float32)
         return pd.DataFrame({"task": [key[0]], "weights": [machine(x, y, steps, penalty).tolist()]})
 

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points laid out at once. Longer texts are cut at white space, or at this length where there is none.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = 0xFFFF
 

@@ -18,7 +18,7 @@ import numpy as np
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 SPACED_RUNS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 #: The memo keeps two generations, each closed once it has so many runs; runs longer than MEMO_CHARS are not kept.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 180_000, 48
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 

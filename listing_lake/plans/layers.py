@@ -176,7 +176,7 @@ PAYLOAD = """concat('{"extended": {"mods": [{"name": "Spell Damage of ', p_name,
 
 def native_tiers(spark, d):
     told = table(spark, d, "part").select("p_partkey", tiers.native_tiers(F.expr(PAYLOAD)).alias("t"))
-    return told.select("p_partkey", F.element_at("t.tiers", "SpellDamage").alias("spell_tier"), F.element_at("t.tiers", "Life").alias("life_tier"), F.col("t.count").alias("tiered"))
+    return told.select("p_partkey", F.element_at("t.tiers", "SpellDamage").alias("spell_tier"), F.coalesce(F.element_at("t.tiers", "Life"), F.lit(0)).alias("life_tier"), F.col("t.count").alias("tiered"))
 
 
 BUDGET = 1500.0
@@ -341,6 +341,6 @@ ORACLES = {
     "scan_segments": f"SELECT {_SEGMENT} AS segment, count(*) AS n, min(price_step) AS least, max(price_step) AS most FROM ({LISTINGS}) l WHERE {_SEGMENT} IS NOT NULL GROUP BY 1",
     "candidates": f"""WITH s AS (SELECT *, {_SEGMENT} AS segment FROM ({LISTINGS}) l), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY segment, price_step, {TIES}) AS n FROM s WHERE segment IS NOT NULL)
       SELECT item_id, segment, price_step, {TIES} FROM f WHERE n = 1 ORDER BY segment, price_step, {TIES} LIMIT 90""",
-    "native_tiers": "SELECT p_partkey, p_size AS spell_tier, CASE WHEN p_size % 5 > 0 THEN p_size % 5 END AS life_tier, 1 + (p_size % 5 > 0)::INTEGER AS tiered FROM part",
+    "native_tiers": "SELECT p_partkey, p_size AS spell_tier, p_size % 5 AS life_tier, 1 + (p_size % 5 > 0)::INTEGER AS tiered FROM part",
     "trade_links": "SELECT c_custkey, 'https://trade.example/search/' || url_encode(c_mktsegment || ' a/b ä') || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '#' || c_custkey ELSE '' END AS link FROM customer",
 }
