@@ -100,3 +100,44 @@ def craft_values(methods: DataFrame) -> DataFrame:
 def veiled_chance(open_prefixes: Column, open_suffixes: Column) -> Column:
     """Chance of a veiled mod to be a prefix: all of it if only prefixes are open, half if both are."""
     return F.when((open_prefixes > 0) & (open_suffixes > 0), 0.5).when(open_prefixes > 0, 1.0).otherwise(0.0)
+
+
+# Chance of 1, 2 or 3 kept mods by pool size; tags that a fossil favours and blocks.
+RETENTION = {1: (1.0, 0.0, 0.0), 2: (0.33, 0.66, 0.0), 3: (0.20, 0.50, 0.30), 4: (0.0, 0.3888, 0.6111), 5: (0.0, 0.20, 0.80), 6: (0.0, 0.0, 1.0)}
+FOSSILS = {
+    "Metallic Fossil": (("lightning",), ("physical",)), "Jagged Fossil": (("physical",), ()), "Corroded Fossil": ((), ("elemental", "fire", "cold", "lightning")),
+    "Dense Fossil": (("defences",), ("life",)), "Pristine Fossil": (("life",), ("defences",)),
+}
+
+
+def recombine_chances(mods: DataFrame, desired: DataFrame, pair: str = "pair") -> DataFrame:
+    """Chance that fusing a pair of items keeps its desired mods, half of it for the base. ``mods``: pair, kind (prefix or
+    suffix), mod_id, mod_group, place (the first item's mods before the second's); ``desired``: pair, mod_id. Per side the
+    pool has one mod of each group, the first; pools of none or more than six give nothing to a side that wants something."""
+    first = F.struct("place", "mod_id")
+    group = F.when(F.coalesce("mod_group", F.lit("")) == "", F.concat_ws("|", F.lit("own"), "mod_id", F.col("place").cast("string"))).otherwise(F.col("mod_group"))
+    pool = mods.withColumn("_group", group).groupBy(pair, "kind", "_group").agg(F.min_by("mod_id", first).alias("mod_id"))
+    wanted = desired.select(pair, "mod_id", F.lit(1).alias("want")).distinct()
+    sides = pool.join(wanted, [pair, "mod_id"], "left").groupBy(pair, "kind").agg(F.count("*").alias("size"), F.count("want").alias("hits"))
+    odds = F.when(F.lit(False), F.lit(0.0))
+    for size, chances in RETENTION.items():
+        kept = sum((p * F.least(F.lit((k + 1) / size) * F.col("hits"), F.lit(1.0)) for k, p in enumerate(chances) if p), F.lit(0.0))
+        odds = odds.when(F.col("size") == size, kept)
+    side = F.when(F.col("hits") == 0, 1.0).otherwise(odds.otherwise(0.0))
+    every = sides.groupBy(pair).agg(F.product(side).alias("odds"))
+    return every.select(pair, (F.col("odds") * 0.5).alias("chance"))
+
+
+def mod_chances(mods: DataFrame, *, fossils: tuple[str, ...] = (), catalyst_tags: tuple[str, ...] = (), quality: int = 0, occupied: tuple[str, ...] = (), pool: str = "pool") -> DataFrame:
+    """Share of each mod in its pool's weight. ``mods``: pool, mod_id, mod_group, tags, weight. Fossils block tags (weight 0)
+    or favour them (ten times); a catalyst adds its quality in percent to mods of its tags; mods of occupied groups are out
+    of the pool's total."""
+    good = [t for f in fossils for t in FOSSILS.get(f, ((), ()))[0]]
+    bad = [t for f in fossils for t in FOSSILS.get(f, ((), ()))[1]]
+    has = lambda tags: F.arrays_overlap("tags", F.array(*map(F.lit, tags))) if tags else F.lit(False)
+    weight = F.when(has(bad), 0).when(has(good), F.col("weight") * 10).otherwise(F.col("weight"))
+    weight = F.floor(weight * F.when(has(list(catalyst_tags)), 1 + quality / 100).otherwise(1.0))
+    free = ~F.coalesce(F.col("mod_group").isin(*occupied), F.lit(False)) if occupied else F.lit(True)
+    out = mods.withColumns({"_w": weight.cast("long"), "_free": free})
+    total = out.groupBy(pool).agg(F.sum(F.when(F.col("_free"), F.col("_w")).otherwise(0)).alias("_total"))
+    return out.join(total, pool).select(pool, "mod_id", F.when(F.col("_total") > 0, F.col("_w") / F.col("_total")).otherwise(0.0).alias("chance"))

@@ -180,6 +180,19 @@ def craft_values(spark, d):
     return meta.craft_values(methods).select("niche", "method", "rank", "recommended")
 
 
+def recombine_chances(spark, d):
+    li = table(spark, d, "lineitem").filter("l_linenumber < 6").select(F.col("l_orderkey").alias("pair"), F.when(F.col("l_partkey") % 2 == 0, "prefix").otherwise("suffix").alias("kind"), F.col("l_partkey").alias("mod_id"), (F.col("l_partkey") % 5).cast("string").alias("mod_group"), (F.col("l_linenumber") % 2).alias("place"))
+    return meta.recombine_chances(li, li.filter("mod_id % 3 = 0").select("pair", "mod_id")).withColumn("chance", F.round("chance", 6))
+
+
+def mod_chances(spark, d):
+    p = table(spark, d, "part")
+    tag = F.element_at(F.array(*map(F.lit, ("life", "defences", "physical", "fire"))), (F.col("p_size") % 4 + 1).cast("int"))
+    mods = p.select(F.col("p_brand").alias("pool"), F.col("p_partkey").alias("mod_id"), F.col("p_type").alias("mod_group"), F.array(tag).alias("tags"), F.col("p_size").alias("weight"))
+    out = meta.mod_chances(mods, fossils=("Dense Fossil",), catalyst_tags=("fire",), quality=20, occupied=("SMALL",))
+    return out.withColumn("chance", F.round("chance", 8))
+
+
 def hourly_counts(spark, d):
     return intake.hourly_counts(table(spark, d, "events"), "ts", ["event_type"])
 
@@ -211,7 +224,7 @@ def _is_folder(spark, path: str) -> bool:
 
 _QUERIES = (
     iqr_bounds, remove_price_outliers, remove_stale_cheap, quality_gates, temporal_split, feature_overlap, regression_metrics, bucket_rmse, family_models, fingerprint, model_promotion, ops_report, latest_record, retention_report,
-    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, hourly_counts, ttl_dedupe, stream_insert_once,
+    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -275,6 +288,12 @@ def _oracles() -> dict[str, str]:
           FROM h LEFT JOIN pools USING (tag, generation_type)""",
         "craft_values": """WITH e AS (SELECT c_nationkey AS niche, c_name AS method, round((c_custkey % 97 + 1) / 100 * 300.0 - abs(c_acctbal / 50) - (c_custkey % 31) / 100 * c_nationkey * 10.0 * 0.4, 1) AS ev FROM customer),
           r AS (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY ev DESC, method)::INTEGER AS rank FROM e) SELECT niche, method, rank, rank = 1 AND ev > 0 AS recommended FROM r""",
+        "recombine_chances": f"""WITH l AS (SELECT l_orderkey AS pair, CASE WHEN l_partkey % 2 = 0 THEN 'prefix' ELSE 'suffix' END AS kind, l_partkey AS mod_id, l_partkey % 5 AS g, l_linenumber % 2 AS place FROM lineitem WHERE l_linenumber < 6),
+          f AS (SELECT pair, kind, g, arg_min(mod_id, place * 1000000000 + mod_id) AS mod_id FROM l GROUP BY 1, 2, 3), z AS (SELECT pair, kind, count(*) AS n, count(*) FILTER (mod_id % 3 = 0) AS h FROM f GROUP BY 1, 2),
+          o AS (SELECT pair, CASE WHEN h = 0 THEN 1.0 {" ".join(f"WHEN n = {n} THEN " + " + ".join(f"{p} * least({k + 1} / {n}.0 * h, 1.0)" for k, p in enumerate(ps) if p) for n, ps in meta.RETENTION.items())} ELSE 0.0 END AS odds FROM z)
+          SELECT pair, round(product(odds::DOUBLE) * 0.5, 6) AS chance FROM o GROUP BY 1""",
+        "mod_chances": """WITH w AS (SELECT p_brand AS pool, p_partkey AS mod_id, p_type = 'SMALL' AS taken, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN p_size * 10 WHEN 3 THEN floor(p_size * 1.2)::BIGINT ELSE p_size END AS w FROM part),
+          t AS (SELECT pool, sum(CASE WHEN taken THEN 0 ELSE w END) AS total FROM w GROUP BY 1) SELECT pool, mod_id, round(CASE WHEN total > 0 THEN w / total ELSE 0.0 END, 8) AS chance FROM w JOIN t USING (pool)""",
         "hourly_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "ttl_dedupe": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
           k AS (SELECT event_id, user_id, ts, r, ts AS kept, true AS keep FROM e WHERE r = 1
