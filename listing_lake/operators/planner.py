@@ -93,3 +93,33 @@ def steps(df: DataFrame) -> DataFrame:
 
 def total(field: str) -> Column:
     return F.aggregate("steps", F.lit(0.0), lambda a, s: a + s[field])
+
+
+def rebased(steps: Column, anchor: Column, sale: Column, price: Column, profit: Column) -> Column:
+    """Steps (struct with value_delta and expected_cost) with the value after each: the gap from anchor to sale spread by the
+    steps' shares of positive value, summed up. ``stop_here`` marks the first step whose interim profit is positive and
+    reaches 60 % of the plan's. Without any positive value all steps stay at the anchor."""
+    gain = lambda s: F.greatest(s["value_delta"], F.lit(0.0))
+    whole = F.aggregate(steps, F.lit(0.0), lambda a, s: a + gain(s))
+    gap = F.greatest(sale - anchor, F.lit(0.0))
+
+    def add(acc: Column, s: Column) -> Column:
+        done, cost = acc["done"] + gain(s), acc["cost"] + s["expected_cost"]
+        after = L.rounded(anchor + F.when(whole > 0, gap * done / whole).otherwise(0.0), 1)
+        interim = after - price - cost
+        stop = (acc["stop"] == 0) & (interim > 0) & (interim >= profit * 0.6)
+        step = F.struct(after.alias("value_after"), stop.alias("stop_here"))
+        return F.struct(done.alias("done"), cost.alias("cost"), F.when(stop, F.lit(1)).otherwise(acc["stop"]).alias("stop"), F.concat(acc["out"], F.array(step)).alias("out"))
+
+    none = F.array().cast("array<struct<value_after:double,stop_here:boolean>>")
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(0.0).alias("cost"), F.lit(0).alias("stop"), none.alias("out"))
+    return F.aggregate(steps, start, add, lambda acc: acc["out"])
+
+
+def top_plans(plans: DataFrame, order: list[Column], label: Column, k: int = 12) -> DataFrame:
+    """The k best plans by the given order, with ``plan_rank`` and the labels of the next two as ``alternatives``."""
+    from pyspark.sql import Window as W
+
+    best = plans.orderBy(*order).limit(k)
+    w = W.orderBy(*order)  # over k rows
+    return best.withColumns({"plan_rank": F.row_number().over(w), "alternatives": F.array_compact(F.array(F.lead(label, 1).over(w), F.lead(label, 2).over(w)))})

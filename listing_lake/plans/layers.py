@@ -187,8 +187,25 @@ def flip_targets(spark, d):
     return out.select(*TIE, F.array_join("goal_mods", ",").alias("goal_mods"), F.array_join("missing_mods", ",").alias("missing_mods"), "target_value", "target_confidence", F.array_join(F.col("steps.target_mod"), ",").alias("step_mods"), "craft_cost")
 
 
+def plan_rebase(spark, d):
+    """Orders as plans, their lines as steps."""
+    step = F.struct("l_linenumber", "l_extendedprice", "l_partkey", (F.col("l_quantity") - 5).alias("value_delta"), (F.col("l_tax") * 100).alias("expected_cost"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    rows = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    anchor = F.floor(F.col("o_totalprice") / 2000)
+    after = planner.rebased(F.col("steps"), anchor, anchor + F.col("o_orderkey") % 100, anchor - 30, F.lit(40.0))
+    rows = rows.select("o_orderkey", after.alias("after"))
+    return rows.select("o_orderkey", F.size("after").alias("n"), F.array_position(F.col("after.stop_here"), True).cast("int").alias("stop"), F.element_at("after.value_after", -1).alias("last"), F.element_at("after.value_after", 1).alias("first"))
+
+
+def plan_alternatives(spark, d):
+    order = [F.desc("c_acctbal"), F.col("c_custkey")]
+    best = planner.top_plans(table(spark, d, "customer"), order, F.format_string("%s: trusted %.1fc", "c_name", "c_acctbal"))
+    return best.select("plan_rank", "c_custkey", F.array_join("alternatives", "; ").alias("alternatives"))
+
+
 _QUERIES = (
-    flip_targets, native_tiers,
+    plan_rebase, plan_alternatives, flip_targets, native_tiers,
     bronze_rollup, freshness, keep_last_event, latest_per_item, reconcile, event_payloads, layer_metrics, source_distribution, stratified_sample, even_sample, price_notes, priced_by_rates, silver, gold, valuations,
     comparable_stats, comparables_excluding_own_price, market_index, scan_opportunities, scan_funnel, top_opportunities, buy_filters, scan_segments, candidates, trade_links,
 )
@@ -341,6 +358,12 @@ ORACLES = {
     "scan_segments": f"SELECT {_SEGMENT} AS segment, count(*) AS n, min(price_step) AS least, max(price_step) AS most FROM ({LISTINGS}) l WHERE {_SEGMENT} IS NOT NULL GROUP BY 1",
     "candidates": f"""WITH s AS (SELECT *, {_SEGMENT} AS segment FROM ({LISTINGS}) l), f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY segment, price_step, {TIES}) AS n FROM s WHERE segment IS NOT NULL)
       SELECT item_id, segment, price_step, {TIES} FROM f WHERE n = 1 ORDER BY segment, price_step, {TIES} LIMIT 90""",
+    "plan_rebase": """WITH l AS (SELECT l_orderkey, row_number() OVER w AS i, greatest(l_quantity - 5, 0.0) AS g, l_tax * 100 AS c, sum(greatest(l_quantity - 5, 0.0)) OVER w AS done, sum(l_tax * 100) OVER w AS cost,
+        sum(greatest(l_quantity - 5, 0.0)) OVER (PARTITION BY l_orderkey) AS whole, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey ROWS UNBOUNDED PRECEDING)),
+      v AS (SELECT o_orderkey, i, n, cost, floor(o_totalprice / 2000) AS a, round(1e-9 + floor(o_totalprice / 2000) + CASE WHEN whole > 0 THEN (o_orderkey % 100) * done / whole ELSE 0.0 END, 1) AS after FROM orders JOIN l ON o_orderkey = l_orderkey)
+      SELECT o_orderkey, max(n)::INTEGER AS n, coalesce(min(i) FILTER (after - (a - 30) - cost > 0 AND after - (a - 30) - cost >= 24), 0)::INTEGER AS stop, arg_max(after, i) AS last, arg_min(after, i) AS first FROM v GROUP BY 1""",
+    "plan_alternatives": """WITH b AS (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INTEGER AS plan_rank FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 12), n AS (SELECT *, c_name || ': trusted ' || printf('%.1f', c_acctbal) || 'c' AS label FROM b)
+      SELECT plan_rank, c_custkey, concat_ws('; ', lead(label, 1) OVER (ORDER BY plan_rank), lead(label, 2) OVER (ORDER BY plan_rank)) AS alternatives FROM n""",
     "native_tiers": "SELECT p_partkey, p_size AS spell_tier, p_size % 5 AS life_tier, 1 + (p_size % 5 > 0)::INTEGER AS tiered FROM part",
     "trade_links": "SELECT c_custkey, 'https://trade.example/search/' || url_encode(c_mktsegment || ' a/b ä') || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '#' || c_custkey ELSE '' END AS link FROM customer",
 }
