@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.llm.textvec import BLOCK, LAST, blocks, kinds, lowered
+from listing_lake.llm.tokens import forget
 
 BLOCK_CHARS = 200_000
 BATCH = 1024
@@ -161,6 +162,7 @@ def match(
 
         def finder(shared=shared, made=made):
             def leaks(texts: pd.Series) -> pd.Series:
+                forget()
                 if "items" not in made:
                     made["items"] = Items(shared.value, errors, min_chars)
                 return pd.Series(made["items"].leaks(texts.tolist()))

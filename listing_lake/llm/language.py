@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from listing_lake.llm.common import crc_mod
 from listing_lake.llm.textvec import LAST, Words, blocks, kinds
+from listing_lake.llm.tokens import forget
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no"),
@@ -86,6 +87,7 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
         return {f"sole {x}": np.zeros(1) for x in langs}
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         pdf = pdf.sort_values(["_lang", "_id"])
         x = np.zeros((len(pdf), (1 << bits) + 1), np.float32)
         for row, place in grams(pdf["_text"].tolist(), bits):
@@ -115,6 +117,7 @@ def predict(docs: DataFrame, machines: dict[str, np.ndarray], *, bits: int = 12,
         return 1 / (1 + np.exp(-4 * np.clip(margin, -8, 8)))
 
     def apply(texts: pd.Series) -> pd.DataFrame:
+        forget()
         w, rows = shared.value, texts.tolist()
         total, n = np.zeros((len(names), len(rows))), np.zeros(len(rows))
         if len(w):

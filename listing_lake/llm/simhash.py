@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.llm.common import written
+from listing_lake.llm.tokens import forget
 
 CHUNK, NODE = 1024, 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,6 +56,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch[1].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(found, pa.int64())], ["_id", "fp"])

@@ -6,6 +6,8 @@ text's ids are their concatenation. Texts with other white space than ASCII's go
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import struct
@@ -18,11 +20,24 @@ import numpy as np
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 SPACED_RUNS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 #: The memo keeps two generations, each closed once it has so many runs; runs longer than MEMO_CHARS are not kept.
-MEMO_ENTRIES, MEMO_CHARS = 180_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+def forget() -> None:
+    """Drop all memos of this worker process and give free memory back. Workers outlive stages, so stages that encode nothing
+    call this first."""
+    import pyarrow as pa
+
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+            trim.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def byte_letters() -> dict[int, str]:
     """The character that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
