@@ -37,16 +37,17 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024
 
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         names = ["_id", "piece", "start", "length", "ids"]
-        for batch in batches:
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        # a few texts at a time: the ids of a whole batch would be the largest thing in the worker
+        for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             rows: list[tuple] = []
-            for name, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for name, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)] if n > capacity else [0, n]
                 rows += [(name, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
