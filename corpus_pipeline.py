@@ -22,8 +22,8 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no language (null, or without a letter) and texts whose language is a guess."""
-    machines = language.learned(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    told = language.predict(docs.withColumnRenamed("lang", "_lang"), machines)
+    model = language.learned(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    told = language.predict(docs.withColumnRenamed("lang", "_lang"), model)
     kept = told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return kept.withColumn("lang", F.coalesce("_lang", "lang_pred")).select(*docs.columns)
 

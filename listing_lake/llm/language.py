@@ -29,6 +29,8 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ro", "ca"),
     "slavic": ("ru", "uk", "pl", "cs", "bg", "sr"),
 }
+#: The learned languages, sorted, and the machines by name.
+Model = tuple[list[str], dict[str, np.ndarray]]
 ORDERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -70,7 +72,7 @@ def machine(x: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> np.ndar
     return w / spread
 
 
-def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: int = 150, penalty: float = 1e-3) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: int = 150, penalty: float = 1e-3) -> Model:
     """``labelled``: _id, _text, _lang. One machine per family against the rest and per pair of languages in a family."""
     counts = {r[0]: r[1] for r in labelled.groupBy("_lang").count().collect()}
     langs, ring = sorted(counts), 1 << 30
@@ -84,7 +86,7 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
     tasks = {f"family {f}": {x: 1 if x in of[f] else -1 for x in langs} for f in of} if len(of) > 1 else {}
     tasks |= {f"pair {a} {b}": {a: 1, b: -1} for some in of.values() for a, b in itertools.combinations(some, 2)}
     if not tasks:
-        return {f"sole {x}": np.zeros(1) for x in langs}
+        return langs, {}
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         forget()
@@ -100,17 +102,17 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
     sides = [F.struct(F.lit(t).alias("task"), F.lit(x).alias("lang")) for t, side in tasks.items() for x in side]
     dealt = picked.withColumn("_task", F.explode(F.filter(F.array(*sides), lambda s: s["lang"] == F.col("_lang"))["task"]))
     found = dealt.select("_task", "_id", "_lang", "_text").groupBy("_task").applyInPandas(fit, "task string, weights array<double>")
-    return {r.task: np.array(r.weights) for r in found.collect()}
+    return langs, {r.task: np.array(r.weights) for r in found.collect()}
 
 
-def predict(docs: DataFrame, machines: dict[str, np.ndarray], *, bits: int = 12, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, bits: int = 12, text_col: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score``."""
+    langs, machines = model
     names = sorted(machines)
-    langs = sorted({x for n in names for x in n.split()[1:] if not n.startswith("family")} | {x.removeprefix("only-") for n in names if n.startswith("family only-") for x in [n.split()[1]]})
     of: dict[str, list[str]] = {}
     for lang in langs:
         of.setdefault(family(lang), []).append(lang)
-    matrix = np.stack([machines[n] for n in names]) if names and len(machines[names[0]]) > 1 else np.zeros((0, 1))
+    matrix = np.stack([machines[n] for n in names]) if names else np.zeros((0, 1))
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def sure(margin: np.ndarray) -> np.ndarray:
@@ -156,14 +158,14 @@ def predict(docs: DataFrame, machines: dict[str, np.ndarray], *, bits: int = 12,
     )
 
 
-def learned(docs: DataFrame, learn: Column, **parameters) -> dict[str, np.ndarray]:
-    """Machines from the rows of ``docs`` that ``learn`` allows and whose lang and text are known."""
+def learned(docs: DataFrame, learn: Column, **parameters) -> Model:
+    """Languages and machines from the rows of ``docs`` that ``learn`` allows and whose lang and text are known."""
     usable = learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     return train(docs.filter(usable).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.col("lang").alias("_lang")), **parameters)
 
 
 def digest(docs: DataFrame, **parameters) -> DataFrame:
     """The contract's columns. Rows with remainder 2 are held out of the sample."""
-    machines = learned(docs, crc_mod(F.col("doc_id"), 4) != 2, **parameters)
-    told = predict(docs.select("doc_id", "text"), machines, **{k: v for k, v in parameters.items() if k == "bits"})
+    model = learned(docs, crc_mod(F.col("doc_id"), 4) != 2, **parameters)
+    told = predict(docs.select("doc_id", "text"), model, **{k: v for k, v in parameters.items() if k == "bits"})
     return told.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from listing_lake.llm import language, quality, textvec, toxicity
@@ -54,6 +55,16 @@ def test_language(spark):
     assert alone.collect() == []
 
 
+@pytest.mark.parametrize("langs", [["en", "fr"], ["en", "fr", "es"], ["en"]])
+def test_families_of_one_language_are_predicted(spark, langs):
+    docs = table(spark, SF, "documents").filter(F.col("lang").isin(langs))
+    got = language.digest(docs, per_lang=200).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = got[got["held_out"]]
+    for lang in langs:
+        some = held[held["lang"] == lang]
+        assert len(some) and (some["lang_pred"] == lang).mean() > 0.95
+
+
 def test_toxicity(spark):
     labels = table(spark, "/root/testdata/sf0.1", "labels")
     docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").join(labels.select("doc_id"), "doc_id")
