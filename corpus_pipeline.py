@@ -29,13 +29,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document whose id names its class. Rows that repeat that id are copies too: the first by content stays. A
-    class of null ids alone keeps one row."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(*(F.col(c) for c in sorted(set(docs.columns) - {"doc_id"})))
-    return named.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    """Keeps one row of each class: a row of the id that names the class. Where rows of the class repeat that id, or have no
+    id at all, the one whose content has the least hash stays, of rows alike in all columns one."""
+    there = [F.col(c).isNull() for c in docs.columns]  # hashes skip nulls
+    keys = ("_key", "_key2")
+    keyed = docs.withColumns({k: F.xxhash64(F.lit(n), *there, *docs.columns) for n, k in enumerate(keys)})
+    kept = simhash.one_of_each(keyed, keys)
+    # copies alike in all columns go before the join, in the tasks that read them
+    single = keyed.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_key"))).filter("_n = 1")
+    return single.join(kept, list(keys)).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

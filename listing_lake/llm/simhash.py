@@ -52,16 +52,17 @@ def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, ``fp`` (the fingerprint as a signed long) and the long columns ``keys`` of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             found = np.array([fingerprint(t, words) for t in batch[1].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(found, pa.int64())], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch[0], pa.array(found, pa.int64()), *batch.columns[2:]], ["_id", "fp", *keys])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(each, "_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("_id", "fp", *keys))
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keys).mapInArrow(each, schema)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -218,18 +219,32 @@ def stars(edges: DataFrame, label: str) -> DataFrame:
     return edges
 
 
+def classed(distinct: DataFrame, distance: int) -> DataFrame:
+    """Adds ``root``, the least fingerprint of the class, to distinct fingerprints."""
+    roots = stars(near_pairs(distinct, distance), "simhash-edges")
+    joined = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")).drop("v")
+    return written(joined, "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
     """One row per input row: the id, ``fp`` and ``component_id``."""
     each = written(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "simhash-fp")
     distinct = each.groupBy("fp").agg(F.min("_id").alias("least"))
-    roots = stars(near_pairs(distinct, distance), "simhash-edges")
-    classes = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")).select("fp", "least", "root")
-    classes = written(classes, "simhash-classes")
+    classes = classed(distinct, distance)
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(classes.join(names, "root").select("fp", "component_id"), "simhash-classes")
     return each.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, keys: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """The long columns ``keys`` of one row of each class: of the rows with its smallest id, the one of the least keys.
+    Null ids come last. Rows combine by fingerprint before they meet by class, so no task holds a class."""
+    each = fingerprints(docs, id_col=id_col, text_col=text_col, words=words, keys=keys)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *keys)).alias("first")
+    distinct = written(each.groupBy("fp").agg(first), "simhash-fp")
+    return classed(distinct, distance).groupBy("root").agg(F.min("first").alias("first")).select(*(F.col(f"first.{c}").alias(c) for c in keys))
+
+
 def digest(docs: DataFrame, **parameters) -> DataFrame:
     """The contract's columns."""
     found = near_duplicates(docs, **parameters)

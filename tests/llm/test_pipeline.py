@@ -38,3 +38,19 @@ def test_nothing_in_nothing_out(spark):
     assert corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
     assert corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
     assert corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [
+        (None, text["a"], "en", "s", 1), (None, text["a"], "en", "t", 1), (None, text["a"], "en", "s", 1), (None, text["b"], "en", "s", 1),
+        (7, text["c"], "en", "s", 1), (7, text["d"], "en", "s", 1), (8, text["c"], "en", "s", 1), (9, text["d"], None, "s", 1), (None, text["d"], "en", "s", 1),
+        (3, text["e"], None, "x", 1), (3, text["e"], "x", None, 1), (3, None, "en", "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    found = got.collect()
+    want = [(None, text["a"]), (None, text["b"]), (7, text["c"]), (7, text["d"]), (3, text["e"]), (3, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found))) == sorted(map(str, want))
+    assert {tuple(r) for r in found} <= set(rows)
