@@ -37,6 +37,5 @@ QUERIES = {
 ORACLES = {
     "op1_secret_scan": secret_scan.ORACLE,
     "op4_vptree": vptree.ORACLE,
-    "op8_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_url_graph": url_graph.ORACLE,
 }
