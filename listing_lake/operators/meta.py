@@ -73,13 +73,13 @@ def spawn_pool(mods: DataFrame, tag: str, generation_type: str | None = None, gr
 
 
 def hit_chances(mods: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Chance of each wanted (target, tag, generation_type, mod_ids): the targets' weight over the pool's, within .01 and
-    .99. Verified if every target can roll; with a reason where nothing can."""
+    """Chance of each target of ``wanted`` (target, tag, generation_type, mod_id: a row for each mod of a target): the mods'
+    weight over the pool's, within .01 and .99. Verified if every mod can roll; with a reason where nothing can."""
     each = mods.select("mod_id", "generation_type", F.explode("spawn_weights").alias("w")).select("mod_id", "generation_type", F.col("w.tag").alias("tag"), F.col("w.weight").alias("weight"))
     pool = each.groupBy("tag", "generation_type").agg(F.sum("weight").alias("pool"))
-    targets = wanted.select("target", "tag", F.explode("mod_ids").alias("mod_id")).join(each.drop("generation_type"), ["mod_id", "tag"], "left")
+    targets = wanted.select("target", "tag", "mod_id").join(each.drop("generation_type"), ["mod_id", "tag"], "left")
     hits = targets.groupBy("target").agg(F.sum(F.coalesce("weight", F.lit(0))).alias("hit"), F.min(F.coalesce("weight", F.lit(0))).alias("least"))
-    out = wanted.join(hits, "target", "left").join(pool, ["tag", "generation_type"], "left").na.fill(0, ["hit", "least", "pool"])
+    out = wanted.select("target", "tag", "generation_type").distinct().join(hits, "target", "left").join(pool, ["tag", "generation_type"], "left").na.fill(0, ["hit", "least", "pool"])
     none = (F.col("hit") == 0) | (F.col("pool") == 0)
     chance = F.when(none, 0.0).otherwise(F.greatest(F.lit(0.01), F.least(F.col("hit") / F.col("pool"), F.lit(0.99))))
     reason = F.when(F.col("hit") == 0, "targets_without_weight").when(F.col("pool") == 0, "empty_pool").otherwise("")

@@ -167,11 +167,19 @@ def mods_by_stats(spark, d):
     return meta.mods_by_stats(_mods(spark, d), ["RING", "rod"], "prefix", "any").select("mod_id", "required_level")
 
 
-def hit_chances(spark, d):
-    mods = _mods(spark, d)
-    wanted = table(spark, d, "part").filter("p_partkey < 300").groupBy(F.lower("p_type").alias("tag"), F.when(F.col("p_partkey") % 2 == 0, "prefix").otherwise("suffix").alias("generation_type")).agg(F.collect_list("p_partkey").alias("mod_ids"))
+def _hit_chances(spark, d, parts):
+    wanted = parts.select(F.lower("p_type").alias("tag"), F.when(F.col("p_partkey") % 2 == 0, "prefix").otherwise("suffix").alias("generation_type"), F.col("p_partkey").alias("mod_id"))
     wanted = wanted.withColumn("target", F.concat_ws("-", "tag", "generation_type"))
-    return meta.hit_chances(mods, wanted).withColumn("hit_probability", F.round("hit_probability", 6))
+    return meta.hit_chances(_mods(spark, d), wanted).withColumn("hit_probability", F.round("hit_probability", 6))
+
+
+def hit_chances(spark, d):
+    """Of the first 299 parts; hit_chances_whole has all."""
+    return _hit_chances(spark, d, table(spark, d, "part").filter("p_partkey < 300"))
+
+
+def hit_chances_whole(spark, d):
+    return _hit_chances(spark, d, table(spark, d, "part"))
 
 
 def craft_values(spark, d):
@@ -180,11 +188,20 @@ def craft_values(spark, d):
     return meta.craft_values(methods).select("niche", "method", "rank", "recommended")
 
 
-def recombine_chances(spark, d):
-    li = table(spark, d, "lineitem").filter("l_linenumber < 6").select(F.col("l_orderkey").alias("pair"), F.when(F.col("l_partkey") % 2 == 0, "prefix").otherwise("suffix").alias("kind"), F.col("l_partkey").alias("mod_id"), (F.col("l_partkey") % 5).cast("string").alias("mod_group"), (F.col("l_linenumber") % 2).alias("place"))
+def _recombine_chances(lines):
+    li = lines.select(F.col("l_orderkey").alias("pair"), F.when(F.col("l_partkey") % 2 == 0, "prefix").otherwise("suffix").alias("kind"), F.col("l_partkey").alias("mod_id"), (F.col("l_partkey") % 5).cast("string").alias("mod_group"), (F.col("l_linenumber") % 2).alias("place"))
     return meta.recombine_chances(li, li.filter("mod_id % 3 = 0").select("pair", "mod_id")).withColumn("chance", F.round("chance", 6))
 
 
+def recombine_chances(spark, d):
+    """Of the first five lines; recombine_chances_whole has all."""
+    return _recombine_chances(table(spark, d, "lineitem").filter("l_linenumber < 6"))
+
+
+def recombine_chances_whole(spark, d):
+    return _recombine_chances(table(spark, d, "lineitem"))
+
+
 def mod_chances(spark, d):
     p = table(spark, d, "part")
     tag = F.element_at(F.array(*map(F.lit, ("life", "defences", "physical", "fire"))), (F.col("p_size") % 4 + 1).cast("int"))
@@ -224,7 +241,7 @@ def _is_folder(spark, path: str) -> bool:
 
 _QUERIES = (
     iqr_bounds, remove_price_outliers, remove_stale_cheap, quality_gates, temporal_split, feature_overlap, regression_metrics, bucket_rmse, family_models, fingerprint, model_promotion, ops_report, latest_record, retention_report,
-    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
+    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, hit_chances_whole, craft_values, recombine_chances, recombine_chances_whole, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 
@@ -304,3 +321,5 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLES = _oracles()
+ORACLES["hit_chances_whole"] = ORACLES["hit_chances"].replace(" WHERE p_partkey < 300", "")
+ORACLES["recombine_chances_whole"] = ORACLES["recombine_chances"].replace(" WHERE l_linenumber < 6", "")

@@ -1,9 +1,34 @@
 """The registered queries do the whole job, and their SQL is SQL."""
 
+import duckdb
+import pytest
+
 import __spark_entry__
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_oracles_are_sql_of_registered_queries():
     found = __spark_entry__.oracle_sql()
     assert found and all(isinstance(sql, str) for sql in found.values())
     assert found.keys() <= __spark_entry__.queries().keys()
+
+
+@pytest.mark.parametrize("name", ["hit_chances", "hit_chances_whole", "recombine_chances", "recombine_chances_whole"])
+def test_chances_are_those_of_the_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = __spark_entry__.queries()[name](spark, SF)
+    sql = db.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in sql.description]
+    assert sorted(columns) == sorted(got.columns)
+    norm = lambda rows: sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert norm(got.select(columns).collect()) == norm(sql.fetchall())
+
+
+def test_whole_chances_cut_no_row(spark):
+    every = {n: __spark_entry__.queries()[n](spark, SF) for n in ("hit_chances_whole", "recombine_chances_whole")}
+    types = spark.read.parquet(f"{SF}/part.parquet").selectExpr("lower(p_type)", "p_partkey % 2").distinct().count()
+    orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert every["hit_chances_whole"].count() == types and every["recombine_chances_whole"].count() == orders
