@@ -70,7 +70,7 @@ def table_health(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def active_models(registry: DataFrame) -> DataFrame:
-    """Each family's active version from rows of (family, active_version, versions array of struct)."""
-    each = registry.select("family", "active_version", F.explode("versions").alias("v"))
-    return each.filter(F.col("v.run_id") == F.col("active_version")).select("family", "v.*")
+def active_models(registry: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each family's active version: ``registry`` has family and active_version, ``versions`` a row for each family and
+    run_id with what is known of it."""
+    return versions.join(registry.select("family", F.col("active_version").alias("run_id")), ["family", "run_id"])

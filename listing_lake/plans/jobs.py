@@ -129,8 +129,8 @@ def table_health(spark, d):
 
 
 def active_models(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("family")).agg(F.max("c_name").alias("active_version"), F.collect_list(F.struct(F.col("c_name").alias("run_id"), F.col("c_acctbal").alias("rmse"))).alias("versions"))
-    return upkeep.active_models(c)
+    versions = table(spark, d, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_name").alias("run_id"), F.col("c_acctbal").alias("rmse"))
+    return upkeep.active_models(versions.groupBy("family").agg(F.max("run_id").alias("active_version")), versions)
 
 
 SKILLS = ((0, "red", ("fire", "attack")), (1, "blue", ("cold", "spell")), (2, "ring", ("life",)), (3, "cold rod", ("cold", "caster")), (4, "od", ("rod",)))

@@ -14,10 +14,10 @@ def test_oracles_are_sql_of_registered_queries():
     assert found.keys() <= __spark_entry__.queries().keys()
 
 
-@pytest.mark.parametrize("name", ["hit_chances", "hit_chances_whole", "recombine_chances", "recombine_chances_whole"])
-def test_chances_are_those_of_the_sql(spark, name):
+@pytest.mark.parametrize("name", ["hit_chances", "hit_chances_whole", "recombine_chances", "recombine_chances_whole", "active_models"])
+def test_results_are_those_of_the_sql(spark, name):
     db = duckdb.connect()
-    for t in ("part", "lineitem"):
+    for t in ("part", "lineitem", "customer"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = __spark_entry__.queries()[name](spark, SF)
     sql = db.execute(__spark_entry__.oracle_sql()[name])
@@ -32,3 +32,8 @@ def test_whole_chances_cut_no_row(spark):
     types = spark.read.parquet(f"{SF}/part.parquet").selectExpr("lower(p_type)", "p_partkey % 2").distinct().count()
     orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert every["hit_chances_whole"].count() == types and every["recombine_chances_whole"].count() == orders
+
+
+def test_active_models_collect_no_array(spark):
+    plan = __spark_entry__.queries()["active_models"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
