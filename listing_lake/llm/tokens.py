@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo for repeated pieces of text.
 
-Both vocabularies split a text at white space before they merge, so a run of other characters (with the space before it,
-where the vocabulary keeps spaces) has the same ids wherever it stands. The memo holds the ids of such runs as bytes, and a
-text's ids are their concatenation. Texts with other white space than ASCII's go through the tokenizer whole."""
+Both vocabularies split a text at white space before they merge, so what stands between two spaces has the same ids wherever
+it stands. The memo holds the ids of such pieces as bytes, and a text's ids are their concatenation. A piece that is new is
+cut into the vocabulary's own units (words, numbers, marks, line ends), each of which goes to its merge model once. Texts
+with other white space than ASCII's, and pieces with characters beyond ``PLAIN_END``, go through the library whole."""
 
 from __future__ import annotations
 
@@ -10,7 +11,6 @@ import ctypes
 import gc
 import os
 import re
-import struct
 import unicodedata
 from collections.abc import Callable
 
@@ -18,9 +18,18 @@ import numpy as np
 
 #: White space, or what some engine takes for it, outside ASCII's usual six.
 ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
-SPACED_RUNS = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-#: The memo keeps two generations, each closed once it has so many runs; runs longer than MEMO_CHARS are not kept.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+#: White space that is more than one space between two words.
+WIDE_PAIRS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+WIDE_SPACE = re.compile(r"([ \t\n\r\x0b\x0c]{2,}|[\t\n\r\x0b\x0c])")
+#: Below this character (Latin, Greek, Cyrillic) all engines agree on what is a letter or a number.
+PLAIN_END = "\u0530"
+#: Units of pieces below PLAIN_END; the superscripts and fractions are its only numbers beside ASCII's digits.
+LETTERS, NUMBERS, MARKS = "[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]", "[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]", r"(?:[^\s\w]|_)"
+SHORTENED = "'(?:s|t|re|ve|m|ll|d)"
+SPACED_UNITS = re.compile(rf"{SHORTENED}| ?{LETTERS}+| ?{NUMBERS}+| ?{MARKS}+|\s+(?!\S)|\s+")
+LOWER_UNITS = re.compile(rf"{SHORTENED}|{LETTERS}+|{NUMBERS}|{MARKS}+")
+#: The memo keeps two generations, each closed once it has so many pieces; pieces longer than MEMO_CHARS are not kept.
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
@@ -45,6 +54,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Ids of pieces, found by ``fresh`` where they are in neither generation."""
+
+    def __init__(self, fresh: Callable[[str, Memo], bytes], old: dict[str, bytes] | None = None):
+        super().__init__()
+        self.fresh, self.old = fresh, old or {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.fresh(piece, self)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+    def bounded(self) -> Memo:
+        """This memo, or the next generation if it is full."""
+        if len(self) <= MEMO_ENTRIES:
+            return self
+        self.old = {}
+        return Memo(self.fresh, self)
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian uint32 bytes; one per worker process and file."""
     if path not in _encoders:
@@ -53,67 +85,110 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # in a corpus, such strings are ordinary text
-        keeps_space = tok.normalizer is None
-        runs = SPACED_RUNS.findall if keeps_space else str.split
-        merged, letters = tok.model.tokenize, byte_letters()
-        young: dict[str, bytes] = {}
-        old: dict[str, bytes] = {}
-        tails: dict[str, bytes] = {}
-
-        def direct(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def word(run: str) -> bytes | None:
-            """Ids of a plain word, with stops or commas behind it or not: what stands between white space and marks is one
-            unit for the vocabulary's merges. None for anything else."""
-            core = run.rstrip(".,")
-            if len(core) < len(run):
-                body = young.get(core) or old.get(core) or (word(core) if core else None)
-                tail = run[len(core) :]
-                if tail not in tails:
-                    if len(tail) > 8:
-                        return None
-                    tails[tail] = direct([tail])[0]
-                return body and body + tails[tail]
-            bare = run[1:] if keeps_space and run[0] == " " else run
-            if not bare.isalpha():
-                return None
-            if not keeps_space:
-                if not run.isascii():
-                    core = unicodedata.normalize("NFC", run)
-                core = core.lower()
-                if core != run and core in young:
-                    return young[core]
-                if not core.isalpha() or "\u03c2" in core:
-                    return None
-            ids = [t.id for t in merged(core.encode().decode("latin-1").translate(letters))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def learn(missing: set[str]) -> None:
-            other = []
-            for run in missing:
-                ids = old.get(run) or word(run)
-                if ids is None:
-                    other.append(run)
-                else:
-                    young[run] = ids
-            if other:
-                young.update(zip(other, direct(other), strict=True))
-
-        def encode(text: str) -> bytes:
-            nonlocal young, old
-            if ODD_SPACE.search(text):
-                return direct([text])[0]
-            if len(young) > MEMO_ENTRIES:
-                young, old = {}, young
-            pieces = runs(text)
-            if missing := set(pieces).difference(young):
-                learn(missing)
-            out = b"".join(map(young.__getitem__, pieces))
-            for run in missing:
-                if len(run) > MEMO_CHARS:
-                    young.pop(run, None)
-            return out
-
-        _encoders[path] = encode
+        if hasattr(tok.model, "_resize_cache"):
+            tok.model._resize_cache(0)  # the memo asks for every unit once
+        _encoders[path] = (spaced if tok.normalizer is None else lowered)(tok)
     return _encoders[path]
+
+
+def direct(tok, text: str) -> bytes:
+    return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+
+def plain(piece: str) -> bool:
+    """Letters alone, on which all engines agree."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < PLAIN_END)
+
+
+def merger(tok) -> Callable[[str], bytes]:
+    """Ids of one unit by the vocabulary's merges."""
+    tokenize, letters = tok.model.tokenize, byte_letters()
+    code = [n.to_bytes(4, "little") for n in range(max(tok.get_vocab().values()) + 1)]
+
+    def merge(unit: str) -> bytes:
+        if not unit.isascii() or not unit.isalpha():
+            unit = unit.encode().decode("latin-1").translate(letters)
+        return b"".join([code[t.id] for t in tokenize(unit)])
+
+    return merge
+
+
+def spaced(tok) -> Callable[[str], bytes]:
+    """For vocabularies that keep spaces: a piece's ids with the space before it."""
+    merge = merger(tok)
+
+    def units(run: str) -> bytes:
+        if max(run) >= PLAIN_END:
+            return direct(tok, run)
+        parts = SPACED_UNITS.findall(run)
+        if len(parts) == 1:
+            return merge(run)
+        return b"".join([memo[p[1:]] if p[0] == " " and len(p) > 1 else bare[p] for p in parts])
+
+    def fresh(piece: str, memo: Memo) -> bytes:
+        if not plain(core := piece.rstrip(".,")):
+            return units(" " + piece)
+        return merge(" " + piece) if core == piece else memo[core] + bare[piece[len(core) :]]
+
+    bare, memo = Memo(lambda run, _: units(run) if run else b""), Memo(fresh)
+    line_end = merge("\n")
+
+    def encode(text: str) -> bytes:
+        """A space belongs to the word behind it; of wider white space only the last character does, if it is a space."""
+        nonlocal bare, memo
+        if ODD_SPACE.search(text):
+            return direct(tok, text)
+        bare, memo = bare.bounded(), memo.bounded()
+        out, led = [], False
+        if not any(x in text for x in WIDE_PAIRS) and text[-1:] != "\n":
+            for line in text.split("\n"):
+                pieces = line.split(" ")
+                out.append(bare[pieces[0]])
+                del pieces[0]
+                out.append(b"".join(map(memo.__getitem__, pieces)))
+                out.append(line_end)
+            del out[-1]
+            return b"".join(out)
+        parts = WIDE_SPACE.split(text)
+        for k, part in enumerate(parts):
+            if k % 2 and (k + 2 < len(parts) or parts[-1]):
+                led = part[-1] == " "
+                out += [bare[x] for x in (part[:-1], "" if led else part[-1])]
+            elif k % 2:  # the text ends here
+                out.append(bare[part])
+            elif part:
+                first, *rest = part.split(" ")
+                out.append(memo[first] if led else bare[first])
+                out += map(memo.__getitem__, rest)
+        return b"".join(out)
+
+    return encode
+
+
+def lowered(tok) -> Callable[[str], bytes]:
+    """For vocabularies without case and spaces."""
+    merge = merger(tok)
+
+    def fresh(piece: str, memo: Memo) -> bytes:
+        core = piece.rstrip(".,")
+        if core != piece and plain(core) and "\u0130" not in core:  # its lower case ends in a mark
+            return memo[core] + memo[piece[len(core) :]]
+        low = piece.lower()
+        if not piece.isascii():
+            if max(piece) >= PLAIN_END or "\u0130" in piece or "\u03c2" in low or not unicodedata.is_normalized("NFC", piece):
+                return direct(tok, piece)
+        if low != piece:
+            return memo[low]
+        parts = [piece] if piece.isalpha() else LOWER_UNITS.findall(piece)
+        return merge(piece) if len(parts) == 1 else b"".join([memo[p] for p in parts])
+
+    memo = Memo(fresh)
+
+    def encode(text: str) -> bytes:
+        nonlocal memo
+        if ODD_SPACE.search(text):
+            return direct(tok, text)
+        memo = memo.bounded()
+        return b"".join(map(memo.__getitem__, text.split()))
+
+    return encode
