@@ -6,12 +6,15 @@ one chunk of whole documents in ascending id order (null ids first): the chunk i
 transposed into its byte planes (or bit planes), each plane is compressed with zstandard, and the planes stand one behind
 the other. ``plane_bytes`` tells where each begins. High planes of small ids are all zero and shrink to a few bytes.
 
-Null and empty texts give a document of the end id alone. Repeated document ids stay separate rows, next to each other.
+Null and empty texts give a document of the end id alone. Repeated document ids stay separate rows, next to each other, in
+the order of a hash of their texts, so one id (or none) on very many rows is dealt over many shards. Only rows alike in id and
+text have no order, and they need none.
 """
 
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,8 +101,8 @@ def write_ids(
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(CHUNK_SCHEMA))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.repartitionByRange("_id").sortWithinPartitions("_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    rows = rows.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash", "_text").drop("_hash")
     rows.mapInArrow(write, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -113,9 +116,10 @@ def chunk_starts(chunks: DataFrame) -> DataFrame:
     return places.join(totals, "shard").select("shard", "chunk", (F.col("_base") + F.col("_in")).alias("_start"))
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from the format: ``shard``, ``chunk``, ``doc_id``, ``inside`` (ids before it in its chunk) and ``ids`` as
-    little-endian uint32 bytes. Each chunk decodes on its own; ``chunk_starts`` gives its place in the whole stream."""
+def read_ids(spark: SparkSession, path: str, *, keep_ids: bool = True) -> DataFrame:
+    """Documents from the format: ``shard``, ``chunk``, ``doc_id``, ``inside`` (ids before it in its chunk), ``n_tokens``,
+    ``ids_crc32`` and ``ids`` as little-endian uint32 bytes (null without ``keep_ids``: then they never leave the worker).
+    Each chunk decodes on its own; ``chunk_starts`` gives its place in the whole stream."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,26 +128,24 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids = unpack_planes(row["payload"], row["plane_bytes"], row["n_ids"], row["block"], row["bits"])
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"]] * len(ends), pa.int32()), pa.array([row["chunk"]] * len(ends), pa.int32()),
-                        pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["shard", "chunk", "doc_id", "inside", "ids"],
-                )
+                each = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                columns = {
+                    "shard": pa.array([row["shard"]] * len(ends), pa.int32()), "chunk": pa.array([row["chunk"]] * len(ends), pa.int32()),
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "inside": pa.array(starts, pa.int64()),
+                    "n_tokens": pa.array(row["lengths"], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                    "ids": pa.array(each, pa.binary()) if keep_ids else pa.nulls(len(ends), pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    return chunks.mapInArrow(read, "shard int, chunk int, doc_id long, inside long, ids binary")
+    return chunks.mapInArrow(read, "shard int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def digest(docs: DataFrame, path: str, **parameters) -> DataFrame:
     """Write, read back, and describe each document's ids."""
     write_ids(docs, path, **parameters)
     spark = docs.sparkSession
-    told = read_ids(spark, path).select(
-        "shard", "chunk", "doc_id", "inside", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
-    )
+    told = read_ids(spark, path, keep_ids=False).drop("ids")
     starts = chunk_starts(spark.read.schema(CHUNK_SCHEMA).parquet(path))
     return told.join(starts, ["shard", "chunk"]).select(
         "doc_id", (F.col("_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32"
