@@ -4,7 +4,8 @@ Documents become pieces of at most ``capacity`` tokens (only longer ones are cut
 Pieces are dealt by hash to shards of a bounded number of pieces. Pieces of one length are interchangeable, so a shard is a
 histogram of lengths, and a chromosome is a list of bins, each a list of lengths. Each shard has several islands, each in a
 task of its own. On an island, crossover injects whole well-filled bins of one parent, drops the other parent's bins that
-would use a piece twice, and best-fits the displaced pieces. Between rounds, each island's elite moves to the next island
+would use a piece twice, and best-fits the displaced pieces; mutation takes bins with room and some full ones apart and fills
+them anew, each as far as any choice of its pieces can. Between rounds, each island's elite moves to the next island
 of its shard. The best plan of a shard then gives each piece its sequence and offset by its rank among equal lengths.
 
 Null texts count as empty: a document of the end id alone. Repeated rows are packed as often as they occur.
@@ -12,8 +13,10 @@ Null texts count as empty: a document of the end id alone. Repeated rows are pac
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,31 +30,35 @@ from pyspark.sql import Window as W
 from listing_lake.llm.common import written
 
 Bin = list[int]
+LOOSE = 400
 
 
-def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's pieces: id, ``piece``, ``start``, ``length`` and ``ids`` (little-endian uint32 bytes)."""
+def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """Every document's pieces: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``ids`` (little-endian uint32 bytes; null
+    without ``keep_ids``: then they never leave the worker)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from listing_lake.llm.tokens import encoder
 
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        names = ["_id", "piece", "start", "length", "ids"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["_id", "piece", "start", "length", "ids_crc32", "ids"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         # a few texts at a time: the ids of a whole batch would be the largest thing in the worker
-        for part in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
+        for some in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             rows: list[tuple] = []
-            for name, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
+            for name, text in zip(some[0].to_pylist(), some[1].to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)] if n > capacity else [0, n]
-                rows += [(name, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+                for k, (a, b) in enumerate(itertools.pairwise(edges)):
+                    piece_ids = ids[4 * a : 4 * b]
+                    rows.append((name, k, a, b - a, zlib.crc32(piece_ids), piece_ids if keep_ids else None))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return some.mapInArrow(cut, "_id long, piece int, start long, length long, ids binary").withColumnRenamed("_id", id_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return texts.mapInArrow(cut, "_id long, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("_id", id_col)
 
 
 def best_fit(bins: list[Bin], left: Counter, capacity: int) -> list[Bin]:
@@ -108,11 +115,37 @@ def crossover(one: list[Bin], two: list[Bin], sizes: Counter, capacity: int, rng
     return best_fit(child, +left, capacity)
 
 
+def filled(pieces: list[int], capacity: int) -> list[Bin]:
+    """Bins filled one after the other: the longest piece left, and those that leave least room beside it. ``sums[k]`` has a
+    bit for every sum of the first k of the rest."""
+    left, bins = sorted(pieces, reverse=True), []
+    while left:
+        room = capacity - left[0]
+        low, sums = (1 << room + 1) - 1, [1]
+        for n in left[1:]:
+            sums.append((sums[-1] | sums[-1] << n) & low if n <= room else sums[-1])
+            if sums[-1] >> room & 1:
+                break
+        best, k, used = sums[-1].bit_length() - 1, len(sums) - 1, []
+        while best:
+            while sums[k - 1] >> best & 1:
+                k -= 1
+            used.append(k)
+            best -= left[k]
+            k -= 1
+        bins.append([left[0], *(left[k] for k in used)])
+        for k in [*used, 0]:
+            del left[k]
+    return bins
+
+
 def mutate(plan: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
-    """Take the emptiest bins and a few others apart, and best-fit what was in them."""
-    order = sorted(range(len(plan)), key=lambda i: sum(plan[i]))
-    out = set(order[: max(1, len(order) // 50)]) | {i for i in order if rng.random() < 0.05}
-    return best_fit([b for i, b in enumerate(plan) if i not in out], Counter(n for i in out for n in plan[i]), capacity)
+    """Take bins with room (at most LOOSE of them) and some full ones apart, and fill bins anew with what was in them."""
+    loose, full = [], []
+    for i, b in enumerate(plan):
+        (loose if sum(b) < capacity else full).append(i)
+    out = {*rng.sample(loose, min(LOOSE, len(loose))), *rng.sample(full, min(LOOSE // 4, len(full)))}
+    return [b for i, b in enumerate(plan) if i not in out] + filled([n for i in out for n in plan[i]], capacity)
 
 
 def fitness(plan: list[Bin], capacity: int) -> tuple[int, float]:
@@ -120,19 +153,22 @@ def fitness(plan: list[Bin], capacity: int) -> tuple[int, float]:
 
 
 def evolve(sizes: Counter, capacity: int, seed: str, elites: list[list[Bin]], population: int, generations: int) -> list[Bin]:
-    """One island's round: the best plan it finds. It ends when no plan can use fewer bins."""
+    """One island's round: the best plan it finds. It ends when no plan can use fewer bins, or when two generations have
+    found no better one."""
     rng = random.Random(seed)
     least = -(-sum(n * c for n, c in sizes.items()) // capacity)
-    plans = [*elites, best_fit([], sizes, capacity)]
-    while len(plans) < population and min(map(len, plans)) > least:
-        plans.append(scattered(sizes, capacity, rng))
+    value = lambda p: fitness(p, capacity)
+    plans = sorted(elites or [best_fit([], sizes, capacity), scattered(sizes, capacity, rng)], key=value)
+    idle = 0
     for _ in range(generations):
-        plans.sort(key=lambda p: fitness(p, capacity))
-        if len(plans[0]) == least or len(plans) < 2:
+        if len(plans[0]) == least or idle == 2:
             break
-        one, two = plans[0], plans[rng.randrange(1, len(plans))]
-        plans[population - 1 :] = [mutate(crossover(*rng.sample((one, two), 2), sizes, capacity, rng), capacity, rng)]
-    return min(plans, key=lambda p: fitness(p, capacity))
+        before = value(plans[0])
+        two = plans[rng.randrange(1, len(plans))] if len(plans) > 1 else plans[0]
+        child = crossover(plans[0], two, sizes, capacity, rng) if len(plans) > 2 or elites else plans[0]
+        plans = sorted([*plans, mutate(child, capacity, rng)], key=value)[:population]
+        idle = idle + 1 if value(plans[0]) == before else 0
+    return plans[0]
 
 
 def coded(plan: list[Bin]) -> tuple[bytes, bytes]:
@@ -220,6 +256,5 @@ def pack(
 
 def digest(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, **parameters) -> DataFrame:
     """The contract's columns: ids stay in the task that made them, their checksum and length travel."""
-    parts = pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity)
-    parts = written(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "packing-pieces")
+    parts = written(pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, keep_ids=False).drop("ids"), "packing-pieces")
     return pack(parts, capacity=capacity, **parameters)
