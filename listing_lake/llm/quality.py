@@ -2,7 +2,7 @@
 
 A text's features are its words and word pairs, hashed to ``2**bits`` places; a word that repeats the one before it counts
 as the mark of a repeat. A feature's value is its share of the text's n-grams times ``SCALE``, so a score is one sparse dot
-product, a sum of looked-up weights. Labelled rows come in a sample of at most ``max_rows`` by hash order. Shards of the
+product, a sum of looked-up weights. Labelled rows come in a sample of at most ``max_rows`` ids by hash order. Shards of the
 sample train apart, each in its own task, and their weights are averaged, which is the model: ``2**bits`` numbers at most.
 
 Null and empty texts have no features and score by the intercept. Rows without a label, and labels without a row, train
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.llm.common import crc_mod
-from listing_lake.llm.textvec import Words, blocks
+from listing_lake.llm.textvec import Words, whole_texts
 
 SCALE = 16.0
 REPEAT, LEFT, RIGHT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA5A3564F8F3D2B1D)
@@ -28,11 +28,12 @@ REPEAT, LEFT, RIGHT = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD9
 
 def ngrams(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and hashed places of all words and word pairs, repeats included, a block of texts at a time."""
-    for block in blocks(texts):
-        words = Words(*block)
-        one, row = words.number.copy(), words.row
+    for group in whole_texts(texts):
+        found = [(words.number, words.row) for words in (Words(*block) for block in group)]
+        one, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        number, one = one, one.copy()
         same = row[1:] == row[:-1]
-        one[1:][same & (words.number[1:] == words.number[:-1])] = REPEAT
+        one[1:][same & (number[1:] == number[:-1])] = REPEAT
         two = (one[:-1] * LEFT ^ (one[1:] >> np.uint64(7)) * RIGHT)[same]
         places = (np.concatenate([one, two]) >> np.uint64(64 - bits)).astype(np.int64)
         yield np.concatenate([row, row[1:][same]]), places
@@ -55,13 +56,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int,
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``max_rows`` labelled ids by hash order, with their texts. Only ids and labels are sorted; the sample is small
-    by that bound and is what gets broadcast."""
+    """At most ``max_rows`` labelled ids by hash order, with one text each (of rows that repeat an id, the least text). Only ids
+    and labels are sorted; the sample is small by that bound and is what gets broadcast."""
     ids = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & learn)
     ids = ids.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(max_rows).withColumnRenamed(id_col, "_of")
     some = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))
-    return some.join(F.broadcast(ids), F.col("_id") == F.col("_of")).select("_id", "_text", "_label")
+    found = some.join(F.broadcast(ids), F.col("_id") == F.col("_of")).filter(F.col("_text").isNotNull())
+    return found.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
 
 def train(
