@@ -3,7 +3,7 @@ machines between the languages of that family.
 
 Features are hashed character n-grams (one to three characters; letters in lower case, everything else as a space), each by
 its share of the text. Every machine learns from a sample of about ``per_lang`` labelled texts of each language (those whose
-id hashes under that share of all), in a task of its own, and comes back as one vector of ``2**bits`` weights. Languages
+id hashes under that share of all; a family's machine from about 16 times as many in all), in a task of its own, and comes back as one vector of ``2**bits`` weights. Languages
 outside ``FAMILIES`` are families of their own, so any set of labels works.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything when nothing is labelled. The score is the
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.llm.common import crc_mod
-from listing_lake.llm.textvec import LAST, Words, blocks, kinds
+from listing_lake.llm.textvec import blocks, kinds, lowered
 from listing_lake.llm.tokens import forget
 
 FAMILIES = {
@@ -41,16 +41,20 @@ def family(lang: str) -> str:
 def grams(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and hashed places of all character n-grams, a block of texts at a time."""
     shift = np.uint64(64 - bits)
-    for rows, places, parts in blocks(texts):
-        words = Words(rows, places, parts, lower=True)
-        letters = (kinds()[np.minimum(words.codes, LAST)] == 1) & ~((words.codes >= 48) & (words.codes < 58))
-        code = np.where(letters, words.codes, 32).astype(np.uint64)
-        row = np.repeat(np.asarray(rows), np.diff([*words.begin, len(code)]))
+    for rows, places, parts in blocks(texts, context=2):
+        codes = lowered()[np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        size = [len(p) + 1 for p in parts]
+        letters = (kinds()[codes] == 1) & ~((codes >= 48) & (codes < 58))
+        code = np.where(letters, codes, 32).astype(np.uint64)
+        row, begin = np.repeat(np.asarray(rows), size), np.cumsum([0, *size[:-1]])
+        # a gram ends in its part, behind what the part repeats of the one before it
+        at = np.arange(len(code)) - np.repeat(begin, size)
+        fresh = (at >= np.repeat(np.minimum(places, 2), size)) & (at < np.repeat(size, size) - 1)
         key = code * ORDERS[0]
         for k in range(3):
             if k:
                 key = key[:-1] * ORDERS[k] + code[k:] * ORDERS[0]
-            use = letters[: len(key)] | letters[k:]
+            use = (letters[: len(key)] | letters[k:]) & fresh[k:] & (at[k:] >= k)
             mixed = key ^ (key >> np.uint64(31))
             yield row[: len(key)][use], ((mixed * ORDERS[2])[use] >> shift).astype(np.int64)
 
@@ -84,7 +88,7 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
     for lang in langs:
         of.setdefault(family(lang), []).append(lang)
     tasks = {f"family {f}": {x: 1 if x in of[f] else -1 for x in langs} for f in of} if len(of) > 1 else {}
-    tasks |= {f"pair {a} {b}": {a: 1, b: -1} for some in of.values() for a, b in itertools.combinations(some, 2)}
+    tasks |= {f"pair {a!r} {b!r}": {a: 1, b: -1} for some in of.values() for a, b in itertools.combinations(some, 2)}
     if not tasks:
         return langs, {}
 
@@ -99,8 +103,11 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
         y = pdf["_lang"].map(tasks[key[0]]).to_numpy(np.float32)
         return pd.DataFrame({"task": [key[0]], "weights": [machine(x, y, steps, penalty).tolist()]})
 
-    sides = [F.struct(F.lit(t).alias("task"), F.lit(x).alias("lang")) for t, side in tasks.items() for x in side]
-    dealt = picked.withColumn("_task", F.explode(F.filter(F.array(*sides), lambda s: s["lang"] == F.col("_lang"))["task"]))
+    # a family's machine sees all languages: of many, a smaller share each
+    part = {t: min(ring, 16 * ring // len(side)) for t, side in tasks.items()}
+    sides = [F.struct(F.lit(t).alias("task"), F.lit(x).alias("lang"), F.lit(part[t]).alias("part")) for t, side in tasks.items() for x in side]
+    mine = lambda s: (s["lang"] == F.col("_lang")) & (F.pmod(F.xxhash64("_id", F.lit("family")), F.lit(ring)) < s["part"])
+    dealt = picked.withColumn("_task", F.explode(F.filter(F.array(*sides), mine)["task"]))
     found = dealt.select("_task", "_id", "_lang", "_text").groupBy("_task").applyInPandas(fit, "task string, weights array<double>")
     return langs, {r.task: np.array(r.weights) for r in found.collect()}
 
@@ -137,7 +144,7 @@ def predict(docs: DataFrame, model: Model, *, bits: int = 12, text_col: str = "t
         for k, f in enumerate(families):
             votes, weight = np.zeros((len(of[f]), len(rows))), np.zeros((len(of[f]), len(rows)))
             for (i, a), (j, b) in itertools.combinations(enumerate(of[f]), 2):
-                p = sure(margin[f"pair {a} {b}"])
+                p = sure(margin[f"pair {a!r} {b!r}"])
                 for at, q in ((i, p), (j, 1 - p)):
                     votes[at] += q > 0.5
                     weight[at] += q / max(1, len(of[f]) - 1)
