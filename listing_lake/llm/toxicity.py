@@ -6,9 +6,11 @@ far, as long as hardly any other text has it. A token of a toxic text that carri
 The field has two states. A token's features are hashed: the word, its first letters, and the words next to it. Shards of the
 sample train apart by gradient steps on the exact likelihood, each in a task of its own, and their weights are averaged.
 
-Whole texts are tagged, in runs of ``RUN`` tokens. Forward-backward marginals of ``FLOOR`` and more join into the document
-score, one minus the product of their complements; tokens at one half and more, next to each other, are spans, with offsets
-in code points. Null, empty and wordless texts have no tokens and score 0, as everything does when no cue is found.
+It learns from windows of ``RUN`` tokens: all that hold a cue, and one of ``thin`` others.
+
+Whole texts are tagged as one chain each, however long. A document's score is its greatest forward-backward marginal; tokens
+at one half and more, next to each other, are spans, with offsets in code points. Null, empty and wordless texts have no
+tokens and score 0, as everything does when no cue is found.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 
 from listing_lake.llm.common import crc_mod
 from listing_lake.llm.quality import sampled
-from listing_lake.llm.textvec import Words, blocks
+from listing_lake.llm.textvec import Words, blocks, whole_texts
 
-PREFIX, RUN, FLOOR = 5, 64, 0.05
+PREFIX, RUN = 5, 64
 #: Emission score of a token without known features.
 START = -4.0
 SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA5A3564F8F3D2B1D))
@@ -38,19 +40,18 @@ def cues_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(real, words.number, 0), np.where(real & (words.end - words.start > PREFIX), head, 0)
 
 
-def places_of(words: Words, bits: int) -> np.ndarray:
-    """Hashed features of every token, a column each."""
-    word, head = cues_of(words)
-    first = np.diff(words.row, prepend=-1) != 0
+def places_of(row: np.ndarray, word: np.ndarray, head: np.ndarray, bits: int) -> np.ndarray:
+    """Hashed features of every token, a column each. ``row``: the token's text."""
+    first = np.diff(row, prepend=-1) != 0
     before = np.where(first, 0, np.roll(word, 1))
     after = np.where(np.roll(first, -1), 0, np.roll(word, -1))
     return np.stack([(x * s >> np.uint64(64 - bits)).astype(np.int64) for x, s in zip((word, head, before, after), SALTS, strict=True)])
 
 
-def runs_of(words: Words) -> tuple[np.ndarray, np.ndarray, int]:
+def runs_of(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The run and the place in it of every token: RUN tokens of one text at a time."""
-    first = np.flatnonzero(np.diff(words.row, prepend=-1))
-    at = np.arange(len(words.row)) - np.repeat(first, np.diff([*first, len(words.row)]))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    at = np.arange(len(row)) - np.repeat(first, np.diff([*first, len(row)]))
     run = np.cumsum(at % RUN == 0) - 1
     return run, at % RUN, int(run[-1]) + 1 if len(run) else 0
 
@@ -145,7 +146,7 @@ def find_cues(sample: DataFrame, *, least: int = 6, clean: float = 0.97, plain:
     return cues
 
 
-def train(sample: DataFrame, *, bits: int = 21, shards: int = 4, steps: int = 30, rate: float = 0.5) -> FIELD:
+def train(sample: DataFrame, *, bits: int = 21, shards: int = 4, steps: int = 30, rate: float = 0.5, thin: int = 4) -> FIELD:
     """Averaged weights of the shards: ``2**bits`` and four transition scores at most."""
     cues = np.array(find_cues(sample), np.int64).view(np.uint64)
 
@@ -154,14 +155,14 @@ def train(sample: DataFrame, *, bits: int = 21, shards: int = 4, steps: int = 30
         tokens = []
         for block in blocks(pdf["_text"].tolist()):
             words = Words(*block, lower=True)
-            run, at, n = runs_of(words)
+            run, at, n = runs_of(words.row)
             if not n:
                 continue
             word, head = cues_of(words)
             label = ((np.isin(word, cues) | np.isin(head, cues)) & (pdf["_label"].to_numpy()[words.row] == 1)).astype(np.int64)
             hot = np.bincount(run, label, n) > 0
-            keep = (hot | (np.arange(n) % 4 == 0))[run]
-            tokens.append((places_of(words, bits)[:, keep], np.unique(run[keep], return_inverse=True)[1], at[keep], label[keep]))
+            keep = (hot | (np.arange(n) % thin == 0))[run]
+            tokens.append((places_of(words.row, word, head, bits)[:, keep], np.unique(run[keep], return_inverse=True)[1], at[keep], label[keep]))
         used = np.unique(np.concatenate([t[0].ravel() for t in tokens])) if tokens else np.zeros(0, np.int64)
         w, step = fit_field([(np.searchsorted(used, p), *rest) for p, *rest in tokens], len(used), steps, rate)
         return pd.DataFrame({"place": [*used, -1, -2, -3, -4], "weight": [*w, *step.ravel()]})
@@ -171,11 +172,10 @@ def train(sample: DataFrame, *, bits: int = 21, shards: int = 4, steps: int = 30
     dealt = sample.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit("shard")), F.lit(shards)))
     weights = dealt.groupBy("_shard").applyInPandas(fit, "place long, weight double").groupBy("place").agg((F.sum("weight") / shards).alias("weight"))
     w, step = np.zeros(1 << bits), np.zeros(4)
-    for r in weights.collect():
-        if r.place < 0:
-            step[-r.place - 1] = r.weight
-        else:
-            w[r.place] = r.weight
+    told = weights.toArrow()
+    place, weight = (told[c].to_numpy() for c in ("place", "weight"))
+    w[place[place >= 0]] = weight[place >= 0]
+    step[-place[place < 0] - 1] = weight[place < 0]
     return w.astype(np.float32), step.reshape(2, 2)
 
 
@@ -185,47 +185,66 @@ def tag(docs: DataFrame, field: FIELD, *, text_col: str = "text") -> DataFrame:
 
     def apply(texts: pd.Series) -> pd.DataFrame:
         w, step = shared.value
-        kept, spans = np.zeros(len(texts)), [[] for _ in range(len(texts))]
-        for block in blocks(texts.tolist()) if len(w) else ():
-            words = Words(*block, lower=True)
-            run, at, n = runs_of(words)
-            if not n:
+        best, spans = np.zeros(len(texts)), [[] for _ in range(len(texts))]
+        for group in whole_texts(texts.tolist()) if len(w) else ():
+            found = []
+            for block in group:
+                words = Words(*block, lower=True)
+                found.append((words.row, words.place, words.end - words.start, *cues_of(words)))
+            row, place, length, word, head = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(row):
                 continue
-            score, there = np.zeros((n, RUN)), np.zeros((n, RUN), bool)
-            score[run, at], there[run, at] = w[places_of(words, int(np.log2(len(w))))].sum(axis=0) + START, True
-            p = marginals(score, there, step)[run, at]
-            kept += np.bincount(words.row, np.log1p(-np.minimum(np.where(p >= FLOOR, p, 0), 1 - 1e-12)), len(texts))
-            for i in np.flatnonzero(p >= 0.5):
-                row, start, end = words.row[i], int(words.place[i]), int(words.place[i] + words.end[i] - words.start[i])
-                if i and p[i - 1] >= 0.5 and words.row[i - 1] == row and spans[row]:
-                    start, _, best = spans[row].pop()
-                    spans[row].append((start, end, max(best, float(p[i]))))
-                else:
-                    spans[row].append((start, end, float(p[i])))
-        return pd.DataFrame({"score": 1 - np.exp(kept), "spans": [[{"start": a, "end": b, "score": s} for a, b, s in x] for x in spans]})
+            first = np.diff(row, prepend=-1) != 0
+            p = chain_marginals(w[places_of(row, word, head, int(np.log2(len(w))))].sum(axis=0) + START, first, step)
+            np.maximum.at(best, row, p)
+            at = np.flatnonzero(p >= 0.5)
+            begins = np.concatenate([[True], (np.diff(at) > 1) | first[at[1:]]]) if len(at) else np.zeros(0, bool)
+            for one in np.split(at, np.flatnonzero(begins)[1:]) if len(at) else ():
+                spans[row[one[0]]].append({"start": int(place[one[0]]), "end": int(place[one[-1]] + length[one[-1]]), "score": float(p[one].max())})
+        return pd.DataFrame({"score": best, "spans": spans})
 
     found = F.pandas_udf(apply, "score double, spans array<struct<start:long,end:long,score:double>>")(F.col(text_col))
     return docs.withColumn("_found", found).select(*docs.columns, "_found.score", "_found.spans")
 
 
-def marginals(score: np.ndarray, there: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """The toxic state's marginals alone, as ``forward_backward`` gives them."""
+def row_sums(m: np.ndarray) -> np.ndarray:
+    """For products of all 2 x 2 matrices so far: the sums of their columns, scaled to sum 1. ``m``: the four numbers of each
+    matrix. Runs of RUN matrices are multiplied side by side; between runs goes one step each, on four numbers."""
+    n = m.shape[1]
+    size = -(-n // RUN)
+    full = np.zeros((4, size * RUN))
+    full[[0, 3]] = 1.0
+    full[:, :n] = m
+    a, b, c, d = np.ascontiguousarray(full.reshape(4, size, RUN).transpose(0, 2, 1))
+    out = np.empty((RUN, 4, size))
+    p, q, r, s = a[0], b[0], c[0], d[0]
+    for k in range(RUN):
+        if k:
+            p, q, r, s = p * a[k] + q * c[k], p * b[k] + q * d[k], r * a[k] + s * c[k], r * b[k] + s * d[k]
+        scale = 1.0 / (p + q + r + s)
+        p, q, r, s = p * scale, q * scale, r * scale, s * scale
+        out[k] = p, q, r, s
+    left, right = np.empty(size), np.empty(size)
+    x = y = 0.5  # the row of ones, times all runs before
+    for k, (p, q, r, s) in enumerate(out[-1].T.tolist()):
+        left[k], right[k] = x, y
+        x, y = x * p + y * r, x * q + y * s
+        x, y = x / (x + y), y / (x + y)
+    sums = np.stack([left * out[:, 0] + right * out[:, 2], left * out[:, 1] + right * out[:, 3]])
+    sums /= sums.sum(axis=0)
+    return sums.transpose(0, 2, 1).reshape(2, -1)[:, :n]
+
+
+def chain_marginals(score: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The toxic state's marginals for texts laid end to end; ``first``: where a text begins. Messages are products of one
+    matrix a token; a text's first token has one of equal rows, which forgets all that comes before it."""
     odds, t = np.exp(np.clip(score, -30, 30)), np.exp(step)
-    n, length = score.shape
-    ahead, back, p = np.empty((length, n)), np.full(n, 0.5), np.empty((length, n))
-    ahead[0] = odds[:, 0] / (1 + odds[:, 0])
-    for k in range(1, length):
-        a = ahead[k - 1]
-        on = (t[0, 1] * (1 - a) + t[1, 1] * a) * odds[:, k]
-        ahead[k] = np.where(there[:, k], on / (on + t[0, 0] * (1 - a) + t[1, 0] * a), a)
-    for k in range(length - 1, -1, -1):
-        if k < length - 1:
-            on = back * odds[:, k + 1]
-            one, none = t[1, 1] * on + t[1, 0] * (1 - back), t[0, 1] * on + t[0, 0] * (1 - back)
-            back = np.where(there[:, k + 1], one / (one + none), 0.5)
-        both = ahead[k] * back
-        p[k] = both / (both + (1 - ahead[k]) * (1 - back))
-    return np.where(there, p.T, 0.0)
+    ahead = np.stack([np.where(first, 1.0, x) * y for x, y in ((t[0, 0], 1.0), (t[0, 1], odds), (t[1, 0], 1.0), (t[1, 1], odds))])
+    # backward: what follows a token, seen from its states; nothing follows a last token
+    last, after = np.roll(first, -1), np.roll(odds, -1)
+    back = np.stack([np.where(last, 1.0, x) for x in (t[0, 0] + 0 * after, t[1, 0] + 0 * after, t[0, 1] * after, t[1, 1] * after)])
+    both = row_sums(ahead) * row_sums(back[:, ::-1])[:, ::-1]
+    return both[1] / both.sum(axis=0)
 
 
 def digest(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, threshold: float = 0.7, **parameters) -> DataFrame:

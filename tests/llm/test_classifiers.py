@@ -1,6 +1,7 @@
 """Held-out accuracy on the given tables, and the defined results of odd rows."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -30,10 +31,85 @@ def test_words_are_those_of_a_plain_split():
         for a, b, row, place in zip(words.start, words.end, words.row, words.place, strict=True):
             got[row].append(letters[a:b])
             places[row].append(place)
-    want = [[(m.group(), m.start()) for m in re.finditer(r"[^\W𝒳]+|[^\w\s]+|𝒳", t or "")] for t in texts]
+    want = [[(m.group(), m.start()) for m in re.finditer(r"\w+|[^\w\s]+", t or "")] for t in texts]
     assert [list(zip(g, p, strict=True)) for g, p in zip(got, places, strict=True)] == want
 
 
+TEXTS = ["a bc, d_1!! é\n ñ a bc", "", None, "x" * 700, "  ", "İ 𝒳 end", "one two two three " * 90, "b" * 300 + " b " + "c" * 300 + "é é"]
+
+
+def test_ngrams_are_those_of_a_plain_loop(monkeypatch):
+    """Long texts and long words in small blocks give the n-grams of one loop over all words."""
+    import re
+
+    whole = [np.concatenate(x) for x in zip(*quality.ngrams(TEXTS, 18), strict=True)]
+    monkeypatch.setattr(quality.whole_texts, "__defaults__", (50,))
+    small = [np.concatenate(x) for x in zip(*quality.ngrams(TEXTS, 18), strict=True)]
+    of = lambda found: sorted(zip(*(x.tolist() for x in found), strict=True))
+    assert of(whole) == of(small)
+    words = [re.findall(r"\w+|[^\w\s]+", t or "") for t in TEXTS]
+    assert np.bincount(whole[0], minlength=len(TEXTS)).tolist() == [2 * len(w) - bool(w) for w in words]
+    place: dict = {}
+    for i in range(len(TEXTS)):
+        repeats = ["<repeat>" if k and w == words[i][k - 1] else w for k, w in enumerate(words[i])]
+        grams = [*repeats, *itertools.pairwise(repeats)]
+        for gram, at in zip(grams, whole[1][whole[0] == i], strict=False) if i != 6 else ():
+            assert place.setdefault(gram, at) == at
+
+
+def test_character_grams_are_those_of_a_plain_loop(monkeypatch):
+    of = lambda found: sorted(itertools.chain.from_iterable(zip(r.tolist(), p.tolist(), strict=True) for r, p in found))
+    whole = of(language.grams(TEXTS, 12))
+    monkeypatch.setattr(language.blocks, "__defaults__", (40, 0))
+    assert of(language.grams(TEXTS, 12)) == whole
+    monkeypatch.undo()
+    place, n = {}, 0
+    for t in TEXTS:
+        clean = "".join(c if (c.isalnum() or c == "_") and not "0" <= c <= "9" else " " for c in t or "")
+        clean = "".join(c.lower() if len(c.lower()) == 1 else c for c in clean)
+        grams = [clean[a : a + k] for k in (1, 2, 3) for a in range(len(clean) - k + 1)]
+        grams = [g for g in grams if g[0] != " " or g[-1] != " "]
+        found = [p for _, ps in language.grams([t], 12) for p in ps.tolist()]
+        assert len(found) == len(grams)
+        n += len(grams)
+        assert all(place.setdefault(g, at) == at for g, at in zip(grams, found, strict=True))
+    assert len(whole) == n
+
+
+def test_ftrl_is_the_plain_rule():
+    rng = np.random.default_rng(3)
+    rows = [(np.append(np.unique(rng.integers(0, 16, 4)), 16), None, int(rng.integers(2))) for _ in range(40)]
+    rows = [(at, np.append(rng.random(len(at) - 1), 1.0), y) for at, _, y in rows]
+    got = quality.ftrl(rows, 4, 3, 0.5, 0.1, 0.02, 0.01)
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((0.1 + math.sqrt(n[i])) / 0.5 + 0.01)
+    for _ in range(3):
+        for at, value, y in rows:
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, value, strict=True))))
+            for i, v in zip(at, value, strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+                n[i] += g * g
+    assert np.allclose(got, [weight(i) for i in range(17)])
+
+
+def test_labels_of_any_text_are_predicted(spark):
+    docs = table(spark, SF, "documents").withColumn("lang", F.when(F.col("lang") == "en", "pt br").when(F.col("lang") == "de", "pt").when(F.col("lang") == "fr", "it"))
+    got = language.digest(docs, per_lang=200).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = got[got["held_out"] & got["lang"].notna()]
+    assert set(got["lang_pred"]) <= {"pt br", "pt", "it", "und"} and (held["lang_pred"] == held["lang"]).mean() > 0.95
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    labels = spark.createDataFrame([(0, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(0, f"t{i % 3}") for i in range(50)] + [(2, None), (3, "x"), (None, "y")], "doc_id long, text string")
+    got = quality.sampled(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r._id, r._text, r._label) for r in got) == [(0, "t0", 1), (3, "x", 1)]
+    assert quality.digest(docs.filter("doc_id < 0"), labels).collect() == []
+    assert len(toxicity.digest(docs, labels.withColumnRenamed("quality", "toxic")).collect()) == docs.count()
+
+
 def test_quality(spark):
     labels = table(spark, SF, "labels")
     got = quality.digest(with_odd(spark), labels).toPandas()
@@ -78,6 +154,42 @@ def test_toxicity(spark):
     assert (held[held["toxic"] == 0]["predicted"] == 0).mean() > 0.97
 
 
+def test_whole_chains_and_their_spans(spark, monkeypatch):
+    """Score, spans and offsets of whole texts against one direct chain for each, in blocks of any size."""
+    import re
+
+    rng = np.random.default_rng(7)
+    field = rng.normal(size=1 << 8).astype(np.float32) * 3, rng.normal(size=(2, 2))
+    texts = ["a bc, d é ñ a bc " * 40, "", None, "xX " * 90, "One  two\nTwo three 𝒳𝒳 " * 30, "w" * 400 + " y"]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double").drop("score")
+    got = {r.doc_id: r for r in toxicity.tag(docs, field).collect()}
+    for i, text in enumerate(texts):
+        found = list(re.finditer(r"\w+|[^\w\s]+", text or ""))
+        if not found:
+            assert (got[i].score, got[i].spans) == (0.0, [])
+            continue
+        words = textvec.Words([0], [0], [text], lower=True)
+        emission = field[0][toxicity.places_of(words.row, *toxicity.cues_of(words), 8)].sum(axis=0)[None] + toxicity.START
+        p, _ = toxicity.forward_backward(emission, np.ones_like(emission, dtype=bool), field[1])
+        assert np.isclose(got[i].score, p.max())
+        want, before = [], -2
+        for k in np.flatnonzero(p[0] >= 0.5):
+            if k == before + 1:
+                want[-1] = (want[-1][0], found[k].end(), max(want[-1][2], p[0, k]))
+            else:
+                want.append((found[k].start(), found[k].end(), p[0, k]))
+            before = k
+        assert [(s.start, s.end) for s in got[i].spans] == [w[:2] for w in want]
+        assert np.allclose([s.score for s in got[i].spans], [w[2] for w in want])
+    lengths = (6, 1, 64, 200, 65)
+    score, first = rng.normal(size=sum(lengths)) * 5, np.zeros(sum(lengths), bool)
+    first[np.cumsum([0, *lengths[:-1]])] = True
+    p = toxicity.chain_marginals(score, first, field[1])
+    for a, n in zip(np.cumsum([0, *lengths[:-1]]), lengths, strict=True):
+        want, _ = toxicity.forward_backward(score[None, a : a + n], np.ones((1, n), bool), field[1])
+        assert np.allclose(p[a : a + n], want[0])
+
+
 def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(2)
     score, step = rng.normal(size=(3, toxicity.RUN)) * 2, rng.normal(size=(2, 2))
@@ -86,7 +198,6 @@ def test_marginals_are_those_of_all_paths():
     for i, n in enumerate(lengths):
         there[i, :n] = True
     p, moves = toxicity.forward_backward(score, there, step)
-    assert np.allclose(p, toxicity.marginals(score, there, step))
     want_moves = np.zeros((2, 2))
     for i, n in enumerate(lengths):
         weight, on, paths = 0.0, np.zeros(n), np.zeros((2, 2))
