@@ -5,33 +5,36 @@ as one space. An item of m characters may occur with up to ``errors * m`` edits.
 least one piece must occur exactly: one automaton finds all pieces of all items in one pass over a text. Each hit names a
 window, and Myers' bit-parallel distance, for many windows at once, decides whether the item is in it.
 
-Test items come in blocks of at most BLOCK_CHARS characters (longer items alone), so what is broadcast has that bound; each
-block is one pass over the texts. Items shorter than ``min_chars`` after normalisation prove nothing and are left out. Null
-or empty texts hold no items; items with a null id are matched like others. Repeated rows are each matched.
+Items shorter than ``min_chars`` after normalisation prove nothing inside a sentence: they match without edits, as a whole
+line of a text. Test items come in blocks of at most BLOCK_CHARS characters (longer items alone). One block is one pass over
+the texts in one task function; of more, each pass ends in a written table of the few texts with matches before the next
+begins, so one block at a time is on the driver and broadcast. Null or empty texts hold no items; items with a null id are
+matched like others, items without a letter or digit by none. Repeated rows are each matched.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from listing_lake.llm.textvec import BLOCK, LAST, blocks, kinds, lowered
+from listing_lake.llm.common import written
+from listing_lake.llm.textvec import BLOCK, blocks, kinds, lowered
 from listing_lake.llm.tokens import forget
 
-BLOCK_CHARS = 200_000
+BLOCK_CHARS = 500_000
 BATCH = 1024
 LEAK = "array<struct<item_id:long,distance:int,start:long,end:long>>"
 
 
 def normal(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised code points, and the place each came from. Line ends between texts stay."""
-    word = kinds()[np.minimum(codes, LAST)] == 1
-    out = np.where(word, np.where(codes > LAST, codes, lowered()[np.minimum(codes, LAST)]), 32).astype(np.uint32)
+    word = kinds()[codes] == 1
+    out = np.where(word, lowered()[codes], 32).astype(np.uint32)
     keep = word | np.concatenate([[False], word[:-1]])
     at = np.flatnonzero(keep)
     return out[at], at
@@ -50,6 +53,10 @@ class Items:
 
         named = [(i, normal_text(t)) for i, t in items]
         self.named = [(i, t) for i, t in named if len(t) >= min_chars]
+        self.short: dict[str, list[int | None]] = {}
+        for i, t in named:
+            if 0 < len(t) < min_chars:
+                self.short.setdefault(t, []).append(i)
         self.budget = np.array([int(errors * len(t)) for _, t in self.named], np.int64)
         self.length = np.array([len(t) for _, t in self.named], np.int64)
         places: dict[str, list[tuple[int, int]]] = {}
@@ -137,17 +144,49 @@ class Items:
                     row, zero = rows[part[i]], int(begin[part[i]])
                     told = (int(best[i]), int(came[start]) - zero, int(came[min(stop, len(came) - 1)]) - zero + 1)
                     out[row][k] = min(out[row].get(k, told), told)
-        return [[{"item_id": self.named[k][0], "distance": d, "start": a, "end": b} for k, (d, a, b) in sorted(x.items())] for x in out]
+        lines = [self.lines(t) for t in texts]
+        return [[{"item_id": self.named[k][0], "distance": d, "start": a, "end": b} for k, (d, a, b) in sorted(x.items())] + y for x, y in zip(out, lines, strict=True)]
+
+    def lines(self, text: str | None) -> list[dict]:
+        """Short items that are a whole line of a text: the first such line of each."""
+        found, at = {}, 0
+        for line in (text or "").splitlines(keepends=True) if self.short else ():
+            for i in self.short.get(normal_text(line), ()):
+                found.setdefault(i, {"item_id": i, "distance": 0, "start": at, "end": at + len(line.rstrip("\r\n"))})
+            at += len(line)
+        return list(found.values())
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
-    """The test items, a block of bounded size at a time."""
+    """The test items, a block of bounded size at a time: runs of items in hash order, cut where the block is full. Each is read
+    once, from a table sorted by block."""
     some = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    n = max(1, math.ceil((some.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
-    for k in range(n):
-        rows = some.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
-        if rows:
-            yield sorted(((r.id, r.text) for r in rows), key=str)
+    total = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    if total <= BLOCK_CHARS:
+        found = [sorted(((r.id, r.text) for r in some.collect()), key=str)] if total else []
+        yield from found
+        return
+    # hash ranges hold about half a block each on average; sums within a range then cut it
+    ranges = 2 * -(-total // BLOCK_CHARS)
+    some = some.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(ranges)))
+    held = F.sum(F.length("text")).over(W.partitionBy("part").orderBy("id", "text").rowsBetween(W.unboundedPreceding, -1))
+    some = some.withColumn("piece", F.floor(F.coalesce(held, F.lit(0)) / BLOCK_CHARS))
+    some = written(some.repartitionByRange("part", "piece").sortWithinPartitions("part", "piece"), "benchmark-blocks")
+    for r in some.select("part", "piece").distinct().orderBy("part", "piece").collect():
+        rows = some.filter((F.col("part") == r.part) & (F.col("piece") == r.piece)).collect()
+        yield sorted(((x.id, x.text) for x in rows), key=str)
+
+
+def finder(shared, errors: float, min_chars: int):
+    made: dict[str, Items] = {}
+
+    def leaks(texts: pd.Series) -> pd.Series:
+        forget()
+        if "items" not in made:
+            made["items"] = Items(shared.value, errors, min_chars)
+        return pd.Series(made["items"].leaks(texts.tolist()))
+
+    return F.pandas_udf(leaks, LEAK)
 
 
 def match(
@@ -155,22 +194,34 @@ def match(
     errors: float = 0.06, min_chars: int = 25, leaks_col: str = "leaks",
 ) -> DataFrame:
     """Adds ``leaks``: item_id, distance, start and end of each test item that a text holds."""
-    found = [F.array().cast(LEAK)]
+    none, text = F.array().cast(LEAK), F.col(text_col)
+    keys = {"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)}  # equal texts hold equal items
+    first, passes = None, []
     for some in item_blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(some)
-        made: dict[str, Items] = {}
-
-        def finder(shared=shared, made=made):
-            def leaks(texts: pd.Series) -> pd.Series:
-                forget()
-                if "items" not in made:
-                    made["items"] = Items(shared.value, errors, min_chars)
-                return pd.Series(made["items"].leaks(texts.tolist()))
-
-            return leaks
-
-        found.append(F.pandas_udf(finder(), LEAK)(F.col(text_col)))
-    return docs.withColumn(leaks_col, F.concat(*found))
+        if first is not None:
+            passes.append(one_pass(docs.select(text.alias("_text"), *(v.alias(k) for k, v in keys.items())), first, errors, min_chars))
+        first = some
+    if not passes:
+        if first is None:
+            return docs.withColumn(leaks_col, none)
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+        return docs.withColumn(leaks_col, finder(shared, errors, min_chars)(text))
+    passes.append(one_pass(docs.select(text.alias("_text"), *(v.alias(k) for k, v in keys.items())), first, errors, min_chars))
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy("_a", "_b").agg(F.flatten(F.collect_list("_leaks")).alias("_leaks"))
+    out = docs.withColumns(keys).join(every, ["_a", "_b"], "left")
+    return out.select(*docs.columns, F.coalesce("_leaks", none).alias(leaks_col))
+
+
+def one_pass(texts: DataFrame, items: list[tuple[int | None, str]], errors: float, min_chars: int) -> DataFrame:
+    """Texts with matches among one block of items, once each, written before the block's broadcast goes."""
+    shared = texts.sparkSession.sparkContext.broadcast(items)
+    found = texts.withColumn("_leaks", finder(shared, errors, min_chars)("_text")).drop("_text").filter(F.size("_leaks") > 0)
+    found = written(found.groupBy("_a", "_b").agg(F.first("_leaks").alias("_leaks")), "benchmark-leaks")
+    shared.destroy()
+    return found
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

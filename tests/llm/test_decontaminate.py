@@ -61,5 +61,14 @@ def test_blocks_of_items_add_up(spark, monkeypatch):
     frame, bench = spark.createDataFrame(docs[:-1], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(str, decontaminate.digest(frame, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    sizes = [sum(len(t) for _, t in some) for some in decontaminate.item_blocks(bench, "item_id", "text")]
+    assert len(sizes) > 5 and sum(sizes) == sum(len(t) for _, t in items if t) and max(sizes) <= 300 + max(len(t) for _, t in items if t)
     assert sorted(map(str, decontaminate.digest(frame, bench).collect())) == whole and len(whole) > 10
     assert np.ndim(whole) == 1
+
+
+def test_short_items_match_as_whole_lines(spark):
+    items = [(1, "Short one!"), (2, "short  ONE"), (3, "?!"), (4, "𐐀𐐁 x"), (5, "")]
+    docs = [(1, "a\r\n  short, one \nb"), (2, "a short one"), (3, "?!"), (4, "y\n\n𐐨𐐩 X."), (5, "short one"), (6, None)]
+    got = decontaminate.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0, 3, 16), (1, 2, 0, 3, 16), (4, 4, 0, 3, 8), (5, 1, 0, 0, 9), (5, 2, 0, 0, 9)]
