@@ -75,37 +75,41 @@ def ownership(found: DataFrame, owner_col: str, repo_col: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
 
 
+def marked(docs: DataFrame, *, text_col: str, owner: Column, repo: Column, max_owners: int, max_repos: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of every row with its ``_base`` spans (each with ``live``) and ``_spans`` (base spans and the opaque
+    tokens that look live). Rows with spans meet the rare hashes by a key of their text: equal texts have equal spans, and what
+    is rare depends on the hash alone, so neither repeated ids nor rows without spans form a group."""
+    found = find(docs.withColumns({"_owner": owner, "_repo": repo, "_key": F.xxhash64(text_col)}), text_col)
+    found = written(found.select(*keep, "_owner", "_repo", "_key", "_base", "_more"), "secrets-found")
+    some, none = F.size("_base") + F.size("_more") > 0, F.array().cast("array<string>")
+    rare = ownership(found.filter(some), "_owner", "_repo").filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
+    held = found.filter(some).select("_key", F.explode(F.concat("_base", "_more")["hash"]).alias("hash")).distinct()
+    live = written(held.join(rare.select("hash"), "hash").groupBy("_key").agg(F.collect_set("hash").alias("_live")), "secrets-live")
+    both = found.filter(some).join(live, "_key", "left").withColumn("_live", F.coalesce("_live", none))
+    both = both.select(*found.columns, "_live").unionByName(found.filter(~some).withColumn("_live", none))
+    told = lambda spans: F.transform(spans, lambda s: s.withField("live", F.array_contains("_live", s["hash"])))
+    both = both.withColumn("_base", told(F.col("_base")))
+    return both.select(*keep, "_base", F.array_sort(F.concat("_base", F.filter(told(F.col("_more")), lambda s: s["live"]))).alias("_spans"))
+
+
 def scan(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
     max_owners: int = 2, max_repos: int = 20,
 ) -> DataFrame:
     """One row per input row: the id, ``base`` and ``spans`` (base spans and the opaque tokens that look live), each span
     with ``live`` (at most ``max_owners`` owners and ``max_repos`` repositories hold its value)."""
-    columns = {"_id": F.col(id_col), "_owner": F.col(owner_col), "_repo": F.col(repo_col), "_text": F.col(text_col)}
-    found = find(docs.select(*(c.alias(k) for k, c in columns.items())), "_text").drop("_text")
-    found = written(found, "secrets-found")
-    some = found.filter(F.size("_base") + F.size("_more") > 0)
-    rare = ownership(some, "_owner", "_repo").filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
-    rare = written(rare.select("hash"), "secrets-rare")
-    held = some.select("_id", F.explode(F.concat("_base", "_more")["hash"]).alias("hash")).distinct()
-    live = held.join(rare, "hash").groupBy("_id").agg(F.collect_set("hash").alias("_live"))
-    live = live.withColumnRenamed("_id", "_of")
-    out = found.join(live, F.col("_id").eqNullSafe(F.col("_of")), "left")
-    none = F.array().cast("array<string>")
-    out = out.withColumn("_live", F.coalesce("_live", none))
-    marked = lambda spans: F.transform(spans, lambda s: s.withField("live", F.array_contains("_live", s["hash"])))
-    out = out.withColumn("base", marked(F.col("_base")))
-    return out.select(
-        F.col("_id").alias(id_col), "base",
-        F.array_sort(F.concat("base", F.filter(marked(F.col("_more")), lambda s: s["live"]))).alias("spans"),
-    )
+    columns = {"_id": F.col(id_col), "_of": F.col(owner_col), "_in": F.col(repo_col), "_text": F.col(text_col)}
+    rows = docs.select(*(c.alias(k) for k, c in columns.items()))
+    out = marked(rows, text_col="_text", owner=F.col("_of"), repo=F.col("_in"), max_owners=max_owners, max_repos=max_repos, keep=("_id",))
+    return out.select(F.col("_id").alias(id_col), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, scanned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """Replace every span's characters by ``mark``; overlapping spans become one mark. Rows without spans stay as they
-    are. ``scanned`` has a row per input row; repeated ids carry the same spans."""
-    spans = scanned.filter(F.size("spans") > 0).groupBy(F.col(id_col).alias("_of")).agg(F.first("spans").alias("_spans"))
-    both = docs.join(spans, docs[id_col].eqNullSafe(spans["_of"]), "left")
+def redact(
+    docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 2, max_repos: int = 20,
+    mark: str = "[secret]",
+) -> DataFrame:
+    """Replace every span's characters by ``mark`` in the row that holds it; overlapping spans become one mark. Rows without
+    spans stay as they are. Texts go to the shared folder with their spans; only rows with spans are shuffled."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -118,9 +122,9 @@ def redact(docs: DataFrame, scanned: DataFrame, *, id_col: str = "doc_id", text_
         rest = F.col(text_col).substr((acc["at"] + 1).cast("int"), F.lit(2147483647))
         return F.concat(F.array_join(acc["out"], ""), rest)
 
-    return both.withColumn(
-        text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_spans", start, step, finish))
-    ).select(*docs.columns)
+    both = marked(docs, text_col=text_col, owner=F.col(owner_col), repo=F.col(repo_col), max_owners=max_owners, max_repos=max_repos, keep=tuple(docs.columns))
+    masked = F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(F.aggregate("_spans", start, step, finish))
+    return both.withColumn(text_col, masked).select(*docs.columns)
 
 
 def listed(spans: Column) -> Column:
@@ -160,7 +164,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(_sql_spans(k) for k in BASE)}),
 opaque AS (SELECT * FROM ({_sql_spans("opaque")}) o
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b."start" < o."end" AND o."start" < b."end")),
-own AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos
+own AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INTEGER) AS owners, count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) AS repos
   FROM (SELECT doc_id, source, v FROM base UNION ALL SELECT doc_id, source, v FROM opaque) u GROUP BY v),
 marked AS (
   SELECT b.*, true AS is_base, owners <= 2 AND repos <= 20 AS live FROM base b JOIN own USING (v)

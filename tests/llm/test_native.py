@@ -39,10 +39,18 @@ def test_ownership_separates_copied_from_live(spark):
     got = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
     assert [s.live for s in got[3].spans] == [False] and [(s.kind, s.live) for s in got[100].spans] == [("assign", True), ("opaque", True)]
     assert got[101].spans == [] and got[102].spans == []
-    text = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.scan(docs)).collect()}
+    text = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert text[100] == "x [secret] y [secret]" and text[0] == "see [secret]" and text[101] == rows[-3][1]
 
 
+def test_rows_are_masked_by_their_own_spans(spark):
+    rows = [(1, "token=abcdefgh12 more text here", "a"), (1, "other words token=zzzzyyyyxxxx", None), (None, "password: hunter2hunter2 x", None), (None, "plain words only", "b"), (2, None, "a"), (1, "no secret here", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'clash' AS _spans")
+    got = sorted(((r.doc_id, r.text, r.source) for r in secret_scan.redact(docs.drop("_spans")).collect()), key=str)
+    want = [(1, "[secret] more text here", "a"), (1, "other words [secret]", None), (None, "[secret] x", None), (None, "plain words only", "b"), (2, None, "a"), (1, "no secret here", "c")]
+    assert got == sorted(want, key=str)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.NET/en/1?x", "net", None), (2, "https://a.example.net/fr/", "", None), (3, "http://example.com/de/x#y", None, None),
