@@ -8,7 +8,7 @@ so they meet in one of the buckets that two blocks' bits name. A bucket of more
 and becomes a task group for each pair of chunks, so no group grows with the data. Inside a group, fingerprints lie in Gray
 rank order; nodes over NODE neighbours hold the bits that all of them share (mask and pattern), nodes over those likewise.
 Two nodes whose shared bits differ in more than ``distance`` places are pruned with all that is below. A group gives a
-spanning forest of its links, never all pairs. Components are then found by alternating large and small stars on written
+spanning forest of its links, never all pairs. A group of at most NODE is one leaf. Components are then found by alternating large and small stars on written
 edge tables.
 
 A null, empty or wordless text has fingerprint zero and is linked like any other. Repeated rows are one class. Null ids
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from listing_lake.llm.common import written
 from listing_lake.llm.tokens import forget
 
-CHUNK, NODE = 1024, 32
+CHUNK, NODE, SALT = 1024, 8, 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -184,12 +184,12 @@ def near_pairs(fps: DataFrame, distance: int) -> DataFrame:
             begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             size = np.diff([*begin, len(pdf)])
             out = []
-            small = np.repeat(size <= 4, size)  # small groups are all one leaf: compare neighbours
+            small = np.repeat(size <= NODE, size)  # one leaf of the index has no node above it: all its pairs are compared
             group = np.repeat(np.arange(len(size)), size)
-            for k in range(1, 4):
+            for k in range(1, NODE):
                 near = small[k:] & (group[k:] == group[:-k]) & (side[k:] == side[:-k]) & (side[k:] == 0) & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= distance)
                 out.append((fp[k:][near], fp[:-k][near]))
-            out += [group_edges(fp[b : b + n], side[b : b + n], distance) for b, n in zip(begin, size, strict=True) if n > 4 or side[b : b + n].any()]
+            out += [group_edges(fp[b : b + n], side[b : b + n], distance) for b, n in zip(begin, size, strict=True) if n > NODE or side[b : b + n].any()]
             u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
             yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
@@ -202,16 +202,23 @@ def stars(edges: DataFrame, label: str) -> DataFrame:
     def told(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def with_least(rows: DataFrame, least: DataFrame, how: str) -> DataFrame:
+        """A node of very many edges is dealt to SALT tasks, and its least neighbour goes to each."""
+        salts = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return rows.withColumn("_s", F.pmod(F.xxhash64("a", "b"), F.lit(SALT)).cast("int")).join(salts, ["a", "_s"], how)
+
     edges = written(edges, label)
     before = told(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, label)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.*").filter("u > v").distinct(), label)
+        # large star: a node's greater neighbours move to its least neighbour; one without lesser neighbours keeps them
+        least = edges.groupBy(F.col("u").alias("a")).agg(F.min("v").alias("m"))
+        moved = with_least(edges.select(F.col("v").alias("a"), F.col("u").alias("b")), least, "left")
+        large = written(moved.select(F.col("b").alias("u"), F.coalesce("m", "a").alias("v")).distinct(), label)
+        # small star: a node and its lesser neighbours move to the least of them
+        least = large.groupBy(F.col("u").alias("a")).agg(F.min("v").alias("m"))
+        moved = with_least(large.select(F.col("u").alias("a"), F.col("v").alias("b")), least, "inner")
+        pairs = F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct(F.col("b").alias("u"), F.col("m").alias("v")))
+        edges = written(moved.select(F.explode(pairs).alias("e")).select("e.*").filter("u > v").distinct(), label)
         after = told(edges)
         if after == before:
             break
