@@ -48,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret span; ``n_chars`` follows the text where it changes."""
     docs = docs.withColumn("_before", F.length("text"))
-    masked = secret_scan.redact(docs, secret_scan.scan(docs))
+    masked = secret_scan.redact(docs)
     length = F.when(F.length("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return masked.withColumn("n_chars", length).drop("_before")
 
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again. Workers get a thousand texts at a
+    time: a batch of whole texts is the largest thing in them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
