@@ -1,19 +1,24 @@
 """Nearest neighbours by vantage-point trees, one per shard.
 
-Vectors are dealt by hash to shards of a bounded size; each shard's tree is built in the task that searches it. Queries come
-in blocks of a bounded size. Every block meets every shard in a task group of its own, so nothing is broadcast and no group
-grows with the data. A node's vantage point splits its vectors at the median distance; a side is pruned when the triangle
-inequality, with the gap stretched by ``factor``, leaves no place among the best k. Factor 1 is exact search; larger factors
-prune more. Distances are Euclidean in double precision on the original vectors; ties go to the smaller id.
+Vectors go to the nearest of a bounded number of top-level vantage points, and those of one point by hash to shards of a
+bounded size. Every query first searches one shard of its own vantage point; that gives it a radius. It then goes to each
+shard that the triangle inequality, with the gap between the query and the shard's ring around its vantage point stretched by
+``factor``, can't rule out. A shard's rows lie together, vectors before queries: one task reads the vectors, builds their
+tree once, and searches it for the queries a block at a time. So vectors move once, queries as often as shards are open to
+them, and no group grows with the data. In the tree, a node's vantage point splits its vectors at the median distance, and a
+side is pruned by the same rule. Factor 1 is exact search; larger factors prune more. Distances are Euclidean in double
+precision on the original vectors; ties go to the smaller id.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, as queries or candidates, and
 neither do rows without an id. Only vectors of one length are compared. Repeated rows are candidates each, but a row is
-never the neighbour of its own id.
+never the neighbour of its own id. Queries alike in id and vector are one query; one id with two vectors is two queries.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LEAF = 64
-FOUND = "query_id long, vec_id long, score double"
+from listing_lake.llm.common import written
+
+LEAF, BLOCK = 64, 512
+FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
 class Tree:
@@ -54,9 +61,10 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Search:
     """The k best rows of a tree for a block of queries, which go down the tree together."""
 
-    def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float):
+    def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float, radius: np.ndarray | None = None):
         self.tree, self.ids, self.q, self.query_ids, self.k, self.factor = tree, ids, queries, query_ids, k, factor
         self.best = np.full((len(queries), k), np.inf)
+        self.radius = np.full(len(queries), np.inf) if radius is None else radius  # what lies beyond isn't wanted
         self.names = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.seen = 0
         self.visit(tree.root, np.arange(len(queries)))
@@ -83,7 +91,7 @@ class Search:
         gaps = ((near, away - inner - slack), (far, outer - away - slack))
         for group, order in ((inside, gaps), (~inside, gaps[::-1])):
             for child, gap in order:
-                open_ = group & (gap * self.factor <= self.best[some, self.k - 1])
+                open_ = group & (gap * self.factor <= np.minimum(self.best[some, self.k - 1], self.radius[some]))
                 self.visit(child, some[open_])
 
 
@@ -93,38 +101,115 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine) & F.exists(vector, lambda c: c != 0)
 
 
+def to_points(points: list[list[float]]):
+    """A column function: the number of the nearest vantage point of the same length (-1: none is), and the distances to all."""
+    by_length: dict[int, list[int]] = {}
+    for i, p in enumerate(points):
+        by_length.setdefault(len(p), []).append(i)
+    held = {n: np.array([points[i] for i in some]) for n, some in by_length.items()}
+
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        point, first, all_away = np.full(len(vectors), -1, np.int32), np.zeros(len(vectors), np.int32), [np.zeros(0)] * len(vectors)
+        size = vectors.map(len).to_numpy()
+        for n, some in by_length.items():
+            at = np.flatnonzero(size == n)
+            if len(at):
+                away = distances(np.stack(vectors.iloc[at].to_numpy()).astype(float), held[n])
+                point[at], first[at] = np.array(some, np.int32)[away.argmin(axis=1)], some[0]
+                for i, row in zip(at, away, strict=True):
+                    all_away[i] = row
+        return pd.DataFrame({"point": point, "away": all_away, "first": first})
+
+    return F.pandas_udf(nearest, "point int, away array<double>, first int")
+
+
+def shard_search(k: int, factor: float):
+    """Rows sorted by shard, vectors before queries; every query's k best vectors of its shard."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, vectors, tree = None, [], None
+        for pdf in batches:
+            mark = pdf[["dim", "point", "part"]].to_numpy()
+            cuts = np.flatnonzero((mark[1:] != mark[:-1]).any(axis=1)) + 1
+            for begin, end in itertools.pairwise([0, *cuts, len(pdf)]):
+                if end == begin:
+                    continue
+                rows, here = pdf.iloc[begin:end], tuple(mark[begin])
+                if here != at:
+                    at, vectors, tree = here, [], None
+                asked = rows["query_key"].notna().to_numpy()
+                if not asked.all():
+                    vectors.append(rows[~asked])
+                rows = rows[asked]
+                if not len(rows) or not vectors:
+                    continue
+                if tree is None:
+                    base = pd.concat(vectors).sort_values("id")
+                    names, tree = base["id"].to_numpy(np.int64), Tree(np.stack(base["vector"].to_numpy()))
+                for some in (rows.iloc[i : i + BLOCK] for i in range(0, len(rows), BLOCK)):
+                    ids = some["id"].to_numpy(np.int64)
+                    got = Search(tree, names, np.stack(some["vector"].to_numpy()), ids, k, factor, some["radius"].to_numpy(float))
+                    there = np.isfinite(got.best) & (got.names != np.iinfo(np.int64).max)
+                    told = (np.repeat(x, k)[there.ravel()] for x in (ids, some["query_key"].to_numpy(np.int64)))
+                    yield pd.DataFrame(dict(zip(("query_id", "query_key", "vec_id", "score"), (*told, got.names[there], got.best[there]), strict=True)))
+
+    return find
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, factor: float = 1.0,
-    shard_rows: int = 4096, block_queries: int = 512,
+    shard_rows: int = 4096, points: int = 64,
 ) -> DataFrame:
-    """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of each query's k nearest vectors."""
-
-    def clean(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(F.col(id_col).cast("long").alias(f"{name}_id"), F.col(vector_col).cast("array<double>").alias(name))
-        return df.filter(F.col(f"{name}_id").isNotNull() & usable(F.col(name)))
-
-    base, asked = clean(vectors, "v"), clean(queries, "q")
-    # Two counts, to bound the size of a group by the number of groups.
-    shards, blocks = math.ceil(base.count() / shard_rows) or 1, math.ceil(asked.count() / block_queries) or 1
-    ids = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("v_id", "v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(ids(blocks)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("q_id", F.lit("q")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(ids(shards)))
-    base, asked = base.withColumn("dim", F.size("v")), asked.withColumn("dim", F.size("q"))
-
-    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        left = left.sort_values("v_id")
-        tree = Tree(np.stack(left["v"].to_numpy()))
-        names = right["q_id"].to_numpy(np.int64)
-        got = Search(tree, left["v_id"].to_numpy(np.int64), np.stack(right["q"].to_numpy()), names, k, factor)
-        there = np.isfinite(got.best)
-        return pd.DataFrame({"query_id": np.repeat(names, k)[there.ravel()], "vec_id": got.names[there], "score": got.best[there]})
-
-    keys = ["dim", "shard", "block"]
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(find, FOUND)
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of each query's k nearest vectors. ``points``: the most top-level
+    vantage points of each vector length; they are what is collected and sent to the tasks."""
+
+    def clean(df: DataFrame) -> DataFrame:
+        df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+        return df.filter(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+
+    base, asked = clean(vectors), clean(queries)
+    spread = F.xxhash64("vector", F.lit("point"))
+    counts = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(points).collect()}
+    chosen = []
+    for dim, n in counts.items():
+        want = min(points, math.ceil(n / shard_rows))
+        rows = base.filter(F.col("dim") == dim).groupBy("vector").agg(F.first(spread).alias("h")).orderBy("h", "vector").limit(want)
+        chosen += [list(r.vector) for r in rows.collect()]
+    near = to_points(chosen)
+    base = base.withColumn("near", near("vector"))
+    own = F.get("near.away", F.col("near.point") - F.col("near.first"))
+    base = written(base.select("id", "vector", "dim", F.col("near.point").alias("point"), own.alias("away")), "vptree-vectors")
+    # shards of each vantage point, and the ring around it that holds them: a row for each of at most ``points`` points of at
+    # most ``points`` lengths, and one for each other length
+    rings = base.groupBy("dim", "point").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), F.min("away").alias("low"), F.max("away").alias("high"))
+    rings = F.broadcast(written(rings, "vptree-rings"))
+    placed = base.join(rings, ["dim", "point"]).withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int"))
+    placed = written(placed.select("id", "vector", "dim", "point", "part"), "vptree-shards")
+
+    asked = asked.withColumn("query_key", F.xxhash64("vector")).dropDuplicates(["id", "query_key", "vector"])
+    asked = asked.withColumn("near", near("vector"))
+    asked = written(asked.select("id", "vector", "dim", "query_key", F.col("near.point").alias("point"), "near.away", "near.first"), "vptree-queries")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        rows = placed.select("dim", "point", "part", "id", "vector", F.lit(None).cast("long").alias("query_key"), F.lit(None).cast("double").alias("radius"))
+        rows = rows.unionByName(pairs.select("dim", "point", "part", "id", "vector", "query_key", "radius"))
+        rows = rows.repartition("dim", "point", "part").sortWithinPartitions("dim", "point", "part", F.col("query_key").asc_nulls_first())
+        return rows.mapInPandas(shard_search(k, factor), FOUND)
+
+    home_part = F.pmod("query_key", F.col("parts")).cast("int")
+    home = asked.join(rings, ["dim", "point"]).withColumns({"part": home_part, "radius": F.lit(float("inf"))})
+    first = written(found(home), "vptree-first")
+    radius = first.groupBy(F.col("query_id").alias("id"), "query_key").agg(F.max("score").alias("radius"), F.count("*").alias("n"))
+    radius = radius.withColumn("radius", F.when(F.col("n") >= k, F.col("radius")).otherwise(float("inf"))).drop("n")
+    rest = asked.withColumnRenamed("point", "own").join(radius, ["id", "query_key"], "left").join(rings, "dim")
+    away = F.get("away", F.col("point") - F.col("first"))
+    gap = F.when(F.col("point") >= 0, F.greatest(away - F.col("high"), F.col("low") - away)).otherwise(0.0) - (1 + F.coalesce(away, F.lit(0.0))) * 1e-9
+    reach = F.coalesce("radius", F.lit(float("inf")))
+    rest = rest.filter(gap * factor <= reach).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.filter((F.col("point") != F.col("own")) | (F.col("part") != home_part)).withColumn("radius", reach)
+    both = first.unionByName(found(rest))
+    order = W.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def digest(vectors: DataFrame, **parameters) -> DataFrame:
