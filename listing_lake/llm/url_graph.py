@@ -4,8 +4,11 @@ A url's host and path meet the rules first: a rule holds for its host and all su
 rule's; the longest rule wins. Hosts whose pages allow rules cover are trusted seeds, hosts whose pages block rules cover
 are blocked seeds, each by its share of such pages. Over the host graph, trust is personalised PageRank along the edges,
 and distrust the same against them. Edges are links from pages to other hosts, and those between a host and the host one
-label up (``www.a.b`` and ``a.b``), both ways. Urls without a rule are blocked when their host's distrust exceeds
-``threshold`` times its trust and its plain share of pages together.
+label up (``www.a.b`` and ``a.b``), both ways. Both go on until a few rounds change all scores together by ``tolerance`` at
+most, of a total of one each; the damping bounds the number of rounds. A round keeps a part of each score where it is, which
+ends the swing between a host and those one label up. A host of very many others is many rows in a round's join, which the
+engine may split, and a sum that combines in each task before it is shuffled. Urls without a rule are blocked when their
+host's distrust exceeds ``threshold`` times its trust and its plain share of pages together.
 
 A null url or one without ``://`` has an empty host and path, and such urls are allowed when no rule holds. Null pages have
 no links. Repeated rows count as often as they occur.
@@ -13,6 +16,8 @@ no links. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +72,10 @@ def host_arcs(pages: DataFrame, url_col: str, html_col: str) -> tuple[DataFrame,
     return hosts, edges
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, *, rounds: int = 8, damping: float = 0.85, cut: int = 4) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-4, step: float = 0.7, cut: int = 4) -> DataFrame:
     """``host``, ``n``, ``trust`` and ``distrust``. Each round is one join of the arcs with the last scores and one sum by host;
-    every ``cut`` rounds the scores are written and read again. A host without arcs in one direction keeps its score."""
+    every ``cut`` rounds the scores are written, read again and compared. A host without arcs in one direction keeps its
+    score. Only ``step`` of a score moves in a round: the limit is the same."""
     edges = written(edges, "url-edges")
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
     back = edges.groupBy("dst").agg(F.sum("w").alias("total"))
@@ -80,21 +86,28 @@ def propagate(hosts: DataFrame, edges: DataFrame, *, rounds: int = 8, damping: f
         back.select(F.col("dst").alias("host"), F.lit(0.0).alias("wd")), "host", "left"
     )
     still = still.select(F.col("host").alias("at"), F.col("host").alias("to"), F.coalesce("wt", F.lit(1.0)).alias("wt"), F.coalesce("wd", F.lit(1.0)).alias("wd"))
-    arcs = ahead.unionByName(behind).unionByName(still).groupBy("at", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd"))
+    moves = ahead.unionByName(behind).unionByName(still).withColumns({w: F.col(w) * step * damping for w in ("wt", "wd")})
+    stays = every.select(F.col("host").alias("at"), F.col("host").alias("to"), F.lit(1 - step).alias("wt"), F.lit(1 - step).alias("wd"))
+    arcs = moves.unionByName(stays).groupBy("at", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd"))
     arcs = written(arcs, "url-arcs")
     total = hosts.agg(*(F.greatest(F.sum(c), F.lit(1)).alias(f"all_{c}") for c in ("n", "good", "bad")))  # one row
     seeds = every.join(hosts, "host", "left").na.fill(0, ["n", "good", "bad"]).join(F.broadcast(total))
     seeds = seeds.select("host", "n", (F.col("n") / F.col("all_n")).alias("share"), (F.col("good") / F.col("all_good")).alias("st"), (F.col("bad") / F.col("all_bad")).alias("sd"))
     seeds = written(seeds, "url-seeds")
     state = seeds.select("host", F.col("st").alias("t"), F.col("sd").alias("d"))
-    for k in range(rounds):
+    for k in range(math.ceil(math.log(tolerance / 4) / math.log(1 - step * (1 - damping)) / cut) * cut):
+        if k % cut == 0:
+            before = state.select("host", F.col("t").alias("t0"), F.col("d").alias("d0"))
         flow = state.join(arcs, F.col("host") == F.col("at")).groupBy("to").agg(F.sum(F.col("t") * F.col("wt")).alias("ft"), F.sum(F.col("d") * F.col("wd")).alias("fd"))
         state = seeds.join(flow, F.col("host") == F.col("to"), "left").select(
-            "host", ((1 - damping) * F.col("st") + damping * F.coalesce("ft", F.lit(0.0))).alias("t"),
-            ((1 - damping) * F.col("sd") + damping * F.coalesce("fd", F.lit(0.0))).alias("d"),
+            "host", (step * (1 - damping) * F.col("st") + F.coalesce("ft", F.lit(0.0))).alias("t"),
+            (step * (1 - damping) * F.col("sd") + F.coalesce("fd", F.lit(0.0))).alias("d"),
         )
         if (k + 1) % cut == 0:
             state = written(state, "url-scores")
+            change = state.join(before, "host").agg(F.sum(F.abs(F.col("t") - F.col("t0")) + F.abs(F.col("d") - F.col("d0")))).first()[0]
+            if (change or 0) <= tolerance:
+                break
     return seeds.join(state, "host").select("host", "n", "share", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
@@ -116,8 +129,8 @@ def _sql() -> str:
         for v, n, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r))
     ) + " END"
     link = LINK.replace("'", "''")
-    rounds = []
-    for k in range(8):
+    rounds = []  # as many as leave less than the operator's tolerance
+    for k in range(65):
         before = f"r{k - 1}" if k else "s"
         t, d = ("t", "d") if k else ("st", "sd")
         rounds.append(
@@ -141,7 +154,7 @@ arcs AS (SELECT src, dst, sum(wt) AS wt, sum(wd) AS wd FROM (
 total AS (SELECT greatest(sum(n), 1) AS an, greatest(sum(good), 1) AS ag, greatest(sum(bad), 1) AS ab FROM hosts),
 s AS (SELECT host, coalesce(n, 0) / an AS share, coalesce(good, 0) / ag AS st, coalesce(bad, 0) / ab AS sd FROM every LEFT JOIN hosts USING (host), total),
 {", ".join(rounds)},
-bads AS (SELECT s.host FROM s JOIN r7 USING (host) WHERE d > t + share)
+bads AS (SELECT s.host FROM s JOIN r64 USING (host) WHERE d > t + share)
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM bads) THEN 'block' ELSE 'allow' END) AS verdict FROM q
 """
 

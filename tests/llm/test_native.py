@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
+import numpy as np
 
 from listing_lake.llm import secret_scan, url_graph
 
@@ -72,4 +72,22 @@ def test_distrust_flows_against_links(spark):
     rows += [(20 + i, "http://ok.org/fr/", "<a href='http://fine.test/'>") for i in range(6)]
     got = {r.page_id: r.verdict for r in url_graph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[10] == "block" and got[11] == "allow" and got[0] == "block" and got[20] == "allow"
-    assert F is not None
+
+
+def test_scores_are_those_of_a_dense_solve(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(f"h{a}", f"h{b}", float(rng.integers(1, 4))) for a, b in {tuple(rng.choice(12, 2, replace=False)) for _ in range(25)}]
+    hosts = [(f"h{i}", int(rng.integers(1, 9)), int(rng.integers(3)), int(rng.integers(3))) for i in range(14)]
+    got = url_graph.propagate(spark.createDataFrame(hosts, "host string, n long, good long, bad long"), spark.createDataFrame(pairs, "src string, dst string, w double"), tolerance=1e-7)
+    got = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    names = sorted({h[0] for h in hosts})
+    for way, column in ((0, 2), (1, 3)):
+        m = np.zeros((len(names), len(names)))
+        for a, b, w in pairs:
+            a, b = (a, b) if way == 0 else (b, a)
+            m[names.index(b), names.index(a)] += w
+        m += np.diag((m.sum(axis=0) == 0).astype(float))
+        m /= m.sum(axis=0)
+        seed = np.array([h[column] for h in sorted(hosts)], float)
+        want = np.linalg.solve(np.eye(len(names)) - 0.85 * m, 0.15 * seed / seed.sum())
+        assert np.allclose([got[h][way] for h in names], want, atol=1e-6)
