@@ -28,19 +28,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from listing_lake.llm.common import written
+from listing_lake.llm.tokens import MEMO_ENTRIES
 
 Bin = list[int]
 LOOSE = 400
 
 
-def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Every document's pieces: id, ``piece``, ``start``, ``length``, ``ids_crc32`` and ``ids`` (little-endian uint32 bytes; null
     without ``keep_ids``: then they never leave the worker)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from listing_lake.llm.tokens import encoder
 
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, memo_entries), np.array([end_id], "<u4").tobytes()
         names = ["_id", "piece", "start", "length", "ids_crc32", "ids"]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         # a few texts at a time: the ids of a whole batch would be the largest thing in the worker
@@ -254,7 +255,7 @@ def pack(
     return placed.select(*parts.columns, "sequence_id", "offset")
 
 
-def digest(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, **parameters) -> DataFrame:
+def digest(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, memo_entries: int = MEMO_ENTRIES, **parameters) -> DataFrame:
     """The contract's columns: ids stay in the task that made them, their checksum and length travel."""
-    parts = written(pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, keep_ids=False).drop("ids"), "packing-pieces")
+    parts = written(pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, keep_ids=False, memo_entries=memo_entries).drop("ids"), "packing-pieces")
     return pack(parts, capacity=capacity, **parameters)

@@ -31,20 +31,24 @@ LOWER_UNITS = re.compile(rf"{SHORTENED}|{LETTERS}+|{NUMBERS}|{MARKS}+")
 #: The memo keeps two generations, each closed once it has so many pieces; pieces longer than MEMO_CHARS are not kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[tuple[str, int], Callable[[str], bytes]] = {}
 
 
-def forget() -> None:
-    """Drop all memos of this worker process and give free memory back. Workers outlive stages, so stages that encode nothing
-    call this first."""
+def give_back() -> None:
+    """Give memory that this worker process no longer uses back. Workers outlive stages, so a stage that needs much begins so."""
     import pyarrow as pa
 
+    gc.collect()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def forget() -> None:
+    """Drop all memos of this worker process, for stages that encode nothing."""
     if _encoders:
         _encoders.clear()
-        gc.collect()
-        if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
-            trim.malloc_trim(0)
-    pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,9 +61,9 @@ def byte_letters() -> dict[int, str]:
 class Memo(dict):
     """Ids of pieces, found by ``fresh`` where they are in neither generation."""
 
-    def __init__(self, fresh: Callable[[str, Memo], bytes], old: dict[str, bytes] | None = None):
+    def __init__(self, fresh: Callable[[str, Memo], bytes], entries: int, old: dict[str, bytes] | None = None):
         super().__init__()
-        self.fresh, self.old = fresh, old or {}
+        self.fresh, self.entries, self.old = fresh, entries, old or {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -71,15 +75,18 @@ class Memo(dict):
 
     def bounded(self) -> Memo:
         """This memo, or the next generation if it is full."""
-        if len(self) <= MEMO_ENTRIES:
+        if len(self) <= self.entries:
             return self
         self.old = {}
-        return Memo(self.fresh, self)
+        return Memo(self.fresh, self.entries, self)
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian uint32 bytes; one per worker process and file."""
-    if path not in _encoders:
+def encoder(path: str, memo_entries: int = MEMO_ENTRIES) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian uint32 bytes; one per worker process and file. Fewer entries of the
+    memo take less memory and more time."""
+    if (path, memo_entries) not in _encoders:
+        _encoders.clear()
+        give_back()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,8 +94,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
         tok.encode_special_tokens = True  # in a corpus, such strings are ordinary text
         if hasattr(tok.model, "_resize_cache"):
             tok.model._resize_cache(0)  # the memo asks for every unit once
-        _encoders[path] = (spaced if tok.normalizer is None else lowered)(tok)
-    return _encoders[path]
+        _encoders[path, memo_entries] = (spaced if tok.normalizer is None else lowered)(tok, memo_entries)
+    return _encoders[path, memo_entries]
 
 
 def direct(tok, text: str) -> bytes:
@@ -113,7 +120,7 @@ def merger(tok) -> Callable[[str], bytes]:
     return merge
 
 
-def spaced(tok) -> Callable[[str], bytes]:
+def spaced(tok, entries: int) -> Callable[[str], bytes]:
     """For vocabularies that keep spaces: a piece's ids with the space before it."""
     merge = merger(tok)
 
@@ -130,7 +137,7 @@ def spaced(tok) -> Callable[[str], bytes]:
             return units(" " + piece)
         return merge(" " + piece) if core == piece else memo[core] + bare[piece[len(core) :]]
 
-    bare, memo = Memo(lambda run, _: units(run) if run else b""), Memo(fresh)
+    bare, memo = Memo(lambda run, _: units(run) if run else b"", entries), Memo(fresh, entries)
     line_end = merge("\n")
 
     def encode(text: str) -> bytes:
@@ -165,7 +172,7 @@ def spaced(tok) -> Callable[[str], bytes]:
     return encode
 
 
-def lowered(tok) -> Callable[[str], bytes]:
+def lowered(tok, entries: int) -> Callable[[str], bytes]:
     """For vocabularies without case and spaces."""
     merge = merger(tok)
 
@@ -182,7 +189,7 @@ def lowered(tok) -> Callable[[str], bytes]:
         parts = [piece] if piece.isalpha() else LOWER_UNITS.findall(piece)
         return merge(piece) if len(parts) == 1 else b"".join([memo[p] for p in parts])
 
-    memo = Memo(fresh)
+    memo = Memo(fresh, entries)
 
     def encode(text: str) -> bytes:
         nonlocal memo
