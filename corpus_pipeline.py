@@ -54,8 +54,9 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 1024 tokens."""
-    return packing.digest(docs, tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2)
+    """Places of all pieces in sequences of at most 1024 tokens. The memo of ids is small, since the same workers have served the
+    stages before."""
+    return packing.digest(docs, tokenizer=vocabulary("byte_bpe_50k.json"), end_id=2, memo_entries=100_000)
 
 
 STAGES = [
