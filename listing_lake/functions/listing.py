@@ -123,69 +123,63 @@ def mod_text(mod: Column) -> Column:
     return F.replace(F.replace(F.lower(mod), F.lit("%"), F.lit(" percent ")), F.lit("+"), F.lit(" "))
 
 
-def mod_tokens(mods: Column) -> Column:
-    """Distinct tokens of mod texts in first-seen order."""
+def mod_facts(mods: Column) -> Column:
+    """What the rules read of each mod, worked out once: normalised text, greatest number, sum of positive numbers, gem level."""
 
     def of(mod: Column) -> Column:
-        text = mod_text(mod)
-        found = []
-        for name, ways in MOD_TOKENS:
-            hit = F.lit(False)
-            for words in ways:
-                every = F.lit(True)
-                for w in words:
-                    every = every & text.contains(w)
-                hit = hit | every
-            found.append(F.when(hit, name))
-        return F.array_compact(F.array(*found))
-
-    return F.array_distinct(F.flatten(F.transform(mods, of)))
-
-
-def numeric_features(mods: Column) -> Column:
-    """Sums over mods of the greatest number in each that names the feature; positive numbers only for resistances; the
-    highest gem level."""
+        numbers = F.transform(F.regexp_extract_all(mod, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
+        gem = F.when(F.lower(mod).contains("skill"), F.regexp_extract(mod, GEM_LEVEL, 1).try_cast("double"))
+        return F.struct(mod_text(mod).alias("text"), numbers.alias("numbers"), F.coalesce(gem, F.lit(0.0)).alias("gem"))
+
+    return F.transform(mods, of)
 
-    def numbers(mod: Column) -> Column:
-        return F.transform(F.regexp_extract_all(mod, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
 
-    def total(value, *ways) -> Column:
-        def add(acc: Column, mod: Column) -> Column:
-            text, hit = mod_text(mod), F.lit(False)
-            for words in ways:
-                every = F.lit(True)
-                for w in words:
-                    every = every & text.contains(w)
-                hit = hit | every
-            return acc + F.when(hit, F.coalesce(value(numbers(mod)), F.lit(0.0))).otherwise(0.0)
+def named(text: Column, ways) -> Column:
+    """All words of one of the ways are in the text."""
+    out = F.lit(False)
+    for words in ways:
+        every = F.lit(True)
+        for w in words:
+            every = every & text.contains(w)
+        out = out | every
+    return out
 
-        return F.aggregate(mods, F.lit(0.0), add)
 
+def mod_tokens(facts: Column) -> Column:
+    """Distinct tokens of mods in first-seen order."""
+    of = lambda f: F.array_compact(F.array(*(F.when(named(f["text"], ways), name) for name, ways in MOD_TOKENS)))
+    return F.array_distinct(F.flatten(F.transform(facts, of)))
+
+
+def numeric_features(facts: Column) -> Column:
+    """Sums over mods of the greatest number in each that names the feature; positive numbers only for resistances; the
+    highest gem level. One pass over the mods for all six."""
     positive = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0)))
-    gems = F.aggregate(
-        mods, F.lit(0.0),
-        lambda a, m: F.greatest(a, F.when(F.lower(m).contains("spell"), F.coalesce(F.regexp_extract(m, GEM_LEVEL, 1).try_cast("double"), F.lit(0.0))).otherwise(0.0)),
-    )
-    return F.struct(
-        total(F.array_max, ("spell", "damage", "increased")).alias("spell_damage_pct"),
-        total(F.array_max, ("cast speed",), ("casting speed",)).alias("cast_speed_pct"),
-        total(F.array_max, ("critical", "spell", "chance")).alias("spell_crit_pct"),
-        total(F.array_max, ("maximum life",)).alias("life_flat"),
-        total(positive, ("resist",)).alias("resist_total"),
-        gems.alias("plus_all_spell_gems"),
-    )
+    sums = {
+        "spell_damage_pct": ((("spell", "damage", "increased"),), F.array_max), "cast_speed_pct": ((("cast speed",), ("casting speed",)), F.array_max),
+        "spell_crit_pct": ((("critical", "spell", "chance"),), F.array_max), "life_flat": ((("maximum life",),), F.array_max), "resist_total": ((("resist",),), positive),
+    }
 
+    def add(acc: Column, f: Column) -> Column:
+        more = lambda ways, value: F.when(named(f["text"], ways), F.coalesce(value(f["numbers"]), F.lit(0.0))).otherwise(0.0)
+        gem = F.greatest(acc["plus_all_spell_gems"], F.when(f["text"].contains("spell"), f["gem"]).otherwise(0.0))
+        return F.struct(*((acc[n] + more(*rule)).alias(n) for n, rule in sums.items()), gem.alias("plus_all_spell_gems"))
 
-def twink_override(mods: Column) -> Column:
-    return F.exists(mods, lambda m: F.coalesce(F.regexp_extract(m, GEM_LEVEL, 1).try_cast("int") >= 1, F.lit(False)))
+    return F.aggregate(facts, F.struct(*(F.lit(0.0).alias(n) for n in (*sums, "plus_all_spell_gems"))), add)
 
 
-def tag_tokens(base: Column, mods: Column, influences: Column) -> Column:
-    low = F.lower(base)
-    none = F.array().cast("array<string>")
-    bases = [F.when(any_word(low, words), F.array(*map(F.lit, tags))).otherwise(none) for words, tags in BASE_TAGS]
-    of = lambda m: F.array_compact(F.array(*(F.when(any_word(mod_text(m), words), tag) for tag, words in MOD_TAGS)))
-    return F.array_distinct(F.concat(*bases, F.flatten(F.transform(mods, of)), F.transform(influences, F.lower)))
+def twink_override(facts: Column) -> Column:
+    return F.exists(facts, lambda f: f["gem"] >= 1)
+
+
+def base_tags(base: Column) -> Column:
+    low, none = F.lower(base), F.array().cast("array<string>")
+    return F.concat(*(F.when(any_word(low, words), F.array(*map(F.lit, tags))).otherwise(none) for words, tags in BASE_TAGS))
+
+
+def tag_tokens(base: Column, facts: Column, influences: Column) -> Column:
+    of = lambda f: F.array_compact(F.array(*(F.when(any_word(f["text"], words), tag) for tag, words in MOD_TAGS)))
+    return F.array_distinct(F.concat(base_tags(base), F.flatten(F.transform(facts, of)), F.transform(influences, F.lower)))
 
 
 def item_family(base: Column, tags: Column) -> Column:

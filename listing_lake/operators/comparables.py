@@ -16,10 +16,18 @@ def position(price: Column, floor: Column, median: Column, spread: Column) -> Co
 
 def stats(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     """Floor, exact median, spread and count of positive prices per key."""
-    good = df.filter(F.col(price) > 0)
-    return good.groupBy(*keys).agg(
-        F.round(F.min(price), 1).alias("market_floor"), F.round(F.percentile(price, 0.5), 1).alias("market_median"),
-        F.round(F.max(price) - F.min(price), 1).alias("market_spread"), F.count("*").alias("comparables_count"),
+    return histogram_stats(histogram(df, keys, price), keys)
+
+
+def histogram(df: DataFrame, keys: list[str], price: str) -> DataFrame:
+    """Positive prices ``p`` of each key and their counts ``c``."""
+    return df.filter(F.col(price) > 0).groupBy(*keys, F.col(price).alias("p")).agg(F.count("*").alias("c"))
+
+
+def histogram_stats(hist: DataFrame, keys: list[str]) -> DataFrame:
+    return hist.groupBy(*keys).agg(
+        F.round(F.min("p"), 1).alias("market_floor"), F.round(F.percentile("p", 0.5, F.col("c")), 1).alias("market_median"),
+        F.round(F.max("p") - F.min("p"), 1).alias("market_spread"), F.sum("c").alias("comparables_count"),
     )
 
 
@@ -29,7 +37,10 @@ def excluding_own_price(df: DataFrame, keys: list[str], price: str) -> DataFrame
 
     With c listings at a price and b below it, the k-th of the rest is the k-th of all if k <= b, else the (k + c)-th. Both
     middle ranks are put into one order with the histogram's upper ranks; the next histogram row holds the answer."""
-    hist = df.filter(F.col(price) > 0).groupBy(*keys, F.col(price).alias("p")).agg(F.count("*").alias("c"))
+    return histogram_without_own(histogram(df, keys, price), keys, price)
+
+
+def histogram_without_own(hist: DataFrame, keys: list[str], price: str) -> DataFrame:
     by = W.partitionBy(*keys).orderBy("p")
     hist = hist.withColumns(
         {
@@ -57,10 +68,11 @@ def excluding_own_price(df: DataFrame, keys: list[str], price: str) -> DataFrame
 def with_comparables(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     """Listings with their comparable stats and position. A price of 0 or less has all positive prices of its key to compare
     with, and itself where there is none. The joins are on stats, one row per key and price at most."""
-    own = excluding_own_price(df, keys, price)
+    hist = histogram(df, keys, price)  # of keys and price alone; both kinds of stats share its shuffle
+    own = histogram_without_own(hist, keys, price)
     names = ["market_floor", "market_median", "market_spread", "comparables_count"]
     own = own.select(*(F.col(c).alias(f"_{c}") for c in [*keys, price]), *(F.struct(*names).alias("_own"),))
-    every = stats(df, keys, price).select(*(F.col(c).alias(f"_e_{c}") for c in keys), F.struct(*names).alias("_all"))
+    every = histogram_stats(hist, keys).select(*(F.col(c).alias(f"_e_{c}") for c in keys), F.struct(*names).alias("_all"))
     out = df.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, price]], "left")
     out = out.join(every, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in keys], "left")
     alone = {"market_floor": F.round(price, 1), "market_median": F.round(price, 1), "market_spread": F.lit(0.0), "comparables_count": F.lit(1)}

@@ -56,9 +56,12 @@ def by_family(values: dict, of) -> Column:
 def normalize(items: DataFrame) -> DataFrame:
     """The silver projection: tokens, tags, family, affix counts and plausibility, row by row. ``native_tiers`` (map of
     token to best tier) is used where the input has it."""
-    mods = F.concat("explicit_mods", "implicit_mods")
-    out = items.withColumns({"mod_tokens": L.mod_tokens(mods), "tag_tokens": L.tag_tokens(F.col("base_type"), mods, F.col("influences")), "numeric": L.numeric_features(mods), "twink_override": L.twink_override(mods)})
-    out = out.withColumn("item_family", L.item_family(F.col("base_type"), F.col("tag_tokens")))
+    facts = F.col("_facts")
+    out = items.withColumn("_facts", L.mod_facts(F.concat("explicit_mods", "implicit_mods")))
+    out = out.withColumns({"mod_tokens": L.mod_tokens(facts), "tag_tokens": L.tag_tokens(F.col("base_type"), facts, F.col("influences")), "numeric": L.numeric_features(facts), "twink_override": L.twink_override(facts)})
+    # mods never bear the tags that decide on a family: base and influences alone give it, so sums by family read no mods
+    tags = F.concat(L.base_tags(F.col("base_type")), F.transform("influences", F.lower))
+    out = out.withColumn("item_family", L.item_family(F.col("base_type"), tags)).drop("_facts")
     if "native_tiers" in items.columns:
         tiers = F.col("native_tiers")
         out = out.withColumn("tier_ilvl_mismatch", L.tier_mismatch(tiers, F.col("item_family"), F.col("ilvl")))
