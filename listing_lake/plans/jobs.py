@@ -174,12 +174,10 @@ def _hit_chances(spark, d, parts):
 
 
 def hit_chances(spark, d):
-    """Of the first 299 parts; hit_chances_whole has all."""
-    return _hit_chances(spark, d, table(spark, d, "part").filter("p_partkey < 300"))
+    return _hit_chances(spark, d, table(spark, d, "part"))
 
 
-def hit_chances_whole(spark, d):
-    return _hit_chances(spark, d, table(spark, d, "part"))
+hit_chances_whole = hit_chances
 
 
 def craft_values(spark, d):
@@ -194,12 +192,10 @@ def _recombine_chances(lines):
 
 
 def recombine_chances(spark, d):
-    """Of the first five lines; recombine_chances_whole has all."""
-    return _recombine_chances(table(spark, d, "lineitem").filter("l_linenumber < 6"))
+    return _recombine_chances(table(spark, d, "lineitem"))
 
 
-def recombine_chances_whole(spark, d):
-    return _recombine_chances(table(spark, d, "lineitem"))
+recombine_chances_whole = recombine_chances
 
 
 def mod_chances(spark, d):
@@ -241,9 +237,9 @@ def _is_folder(spark, path: str) -> bool:
 
 _QUERIES = (
     iqr_bounds, remove_price_outliers, remove_stale_cheap, quality_gates, temporal_split, feature_overlap, regression_metrics, bucket_rmse, family_models, fingerprint, model_promotion, ops_report, latest_record, retention_report,
-    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, hit_chances_whole, craft_values, recombine_chances, recombine_chances_whole, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
+    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
 )
-QUERIES = {f.__name__: f for f in _QUERIES}
+QUERIES = {f.__name__: f for f in _QUERIES} | {"hit_chances_whole": hit_chances_whole, "recombine_chances_whole": recombine_chances_whole}
 
 
 def _oracles() -> dict[str, str]:
@@ -298,14 +294,14 @@ def _oracles() -> dict[str, str]:
         "mods_by_stats": f"SELECT p_partkey AS mod_id, 1 AS required_level FROM part WHERE {gen} = 'prefix' AND (contains(p_name, 'ring') OR contains(p_name, 'rod')) AND p_size % 3 > 0",
         "hit_chances": f"""WITH m AS (SELECT p_partkey AS id, {gen} AS generation_type, lower(p_type) AS tag, p_size AS weight FROM part WHERE {gen} <> 'unique'),
           pools AS (SELECT tag, generation_type, sum(weight)::BIGINT AS pool FROM m GROUP BY 1, 2),
-          t AS (SELECT lower(p_type) AS tag, CASE WHEN p_partkey % 2 = 0 THEN 'prefix' ELSE 'suffix' END AS generation_type, p_partkey AS id FROM part WHERE p_partkey < 300),
+          t AS (SELECT lower(p_type) AS tag, CASE WHEN p_partkey % 2 = 0 THEN 'prefix' ELSE 'suffix' END AS generation_type, p_partkey AS id FROM part),
           h AS (SELECT t.tag, t.generation_type, sum(coalesce(weight, 0))::BIGINT AS hit, min(coalesce(weight, 0)) AS least FROM t LEFT JOIN m ON m.id = t.id AND m.tag = t.tag GROUP BY 1, 2)
           SELECT tag || '-' || generation_type AS target, tag, generation_type, hit, coalesce(pool, 0)::BIGINT AS pool, round(CASE WHEN hit = 0 OR coalesce(pool, 0) = 0 THEN 0.0 ELSE greatest(0.01, least(hit / pool, 0.99)) END, 6) AS hit_probability,
             CASE WHEN hit = 0 OR coalesce(pool, 0) = 0 OR least <= 0 THEN 'fallback' ELSE 'verified' END AS source, CASE WHEN hit = 0 THEN 'targets_without_weight' WHEN coalesce(pool, 0) = 0 THEN 'empty_pool' ELSE '' END AS fallback_reason
           FROM h LEFT JOIN pools USING (tag, generation_type)""",
         "craft_values": """WITH e AS (SELECT c_nationkey AS niche, c_name AS method, round((c_custkey % 97 + 1) / 100 * 300.0 - abs(c_acctbal / 50) - (c_custkey % 31) / 100 * c_nationkey * 10.0 * 0.4, 1) AS ev FROM customer),
           r AS (SELECT *, row_number() OVER (PARTITION BY niche ORDER BY ev DESC, method)::INTEGER AS rank FROM e) SELECT niche, method, rank, rank = 1 AND ev > 0 AS recommended FROM r""",
-        "recombine_chances": f"""WITH l AS (SELECT l_orderkey AS pair, CASE WHEN l_partkey % 2 = 0 THEN 'prefix' ELSE 'suffix' END AS kind, l_partkey AS mod_id, l_partkey % 5 AS g, l_linenumber % 2 AS place FROM lineitem WHERE l_linenumber < 6),
+        "recombine_chances": f"""WITH l AS (SELECT l_orderkey AS pair, CASE WHEN l_partkey % 2 = 0 THEN 'prefix' ELSE 'suffix' END AS kind, l_partkey AS mod_id, l_partkey % 5 AS g, l_linenumber % 2 AS place FROM lineitem),
           f AS (SELECT pair, kind, g, arg_min(mod_id, place * 1000000000 + mod_id) AS mod_id FROM l GROUP BY 1, 2, 3), z AS (SELECT pair, kind, count(*) AS n, count(*) FILTER (mod_id % 3 = 0) AS h FROM f GROUP BY 1, 2),
           o AS (SELECT pair, CASE WHEN h = 0 THEN 1.0 {" ".join(f"WHEN n = {n} THEN " + " + ".join(f"{p} * least({k + 1} / {n}.0 * h, 1.0)" for k, p in enumerate(ps) if p) for n, ps in meta.RETENTION.items())} ELSE 0.0 END AS odds FROM z)
           SELECT pair, round(product(odds::DOUBLE) * 0.5, 6) AS chance FROM o GROUP BY 1""",
@@ -321,5 +317,4 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLES = _oracles()
-ORACLES["hit_chances_whole"] = ORACLES["hit_chances"].replace(" WHERE p_partkey < 300", "")
-ORACLES["recombine_chances_whole"] = ORACLES["recombine_chances"].replace(" WHERE l_linenumber < 6", "")
+ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("hit_chances", "recombine_chances")}
