@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
 from listing_lake.functions import tiers
-from listing_lake.operators import comparables, observations, planner, scan, valuation
+from listing_lake.operators import comparables, exits, observations, planner, scan, valuation
 from listing_lake.plans.driver_tables import AS_OF, ITEMS, LISTINGS, TIE, items, listings, table
 
 
@@ -187,6 +187,36 @@ def flip_targets(spark, d):
     return out.select(*TIE, F.array_join("goal_mods", ",").alias("goal_mods"), F.array_join("missing_mods", ",").alias("missing_mods"), "target_value", "target_confidence", F.array_join(F.col("steps.target_mod"), ",").alias("step_mods"), "craft_cost")
 
 
+def _planned(spark, d):
+    rows = planner.steps(planner.target(_scanned(spark, d), BUDGET)).withColumn("link_count", (F.col("line_no") % 3 + 4).cast("int"))
+    return exits.plan_confidence(exits.exit_estimates(exits.linked(rows), BUDGET), BUDGET)
+
+
+def exit_estimates(spark, d):
+    return _planned(spark, d).select(*TIE, F.col("exit.sale").alias("sale"), F.col("exit.links").alias("links"), F.col("exit.position").alias("position"), F.col("exit.strength").alias("strength"), "plan_cost", "expected_profit")
+
+
+def plan_confidence(spark, d):
+    return _planned(spark, d).select(*TIE, "base_confidence", "craft_confidence", "exit_confidence", "plan_confidence")
+
+
+def plan_gates(spark, d):
+    return exits.plan_gates(_planned(spark, d), BUDGET).select(*TIE, F.array_join("plan_reasons", ",").alias("plan_reasons"))
+
+
+def top_plans(spark, d):
+    """The twelve best plans of all that pass the gates."""
+    kept = exits.plan_gates(_planned(spark, d), BUDGET).filter(F.size("plan_reasons") == 0)
+    order = [F.desc("trusted_profit_of_plan"), F.desc("plan_confidence"), F.desc("expected_profit"), *TIE]
+    best = planner.top_plans(kept, order, F.format_string("%s: trusted %.1fc", "base_type", "trusted_profit_of_plan"))
+    return best.select("plan_rank", *TIE, "trusted_profit_of_plan", "plan_confidence", "expected_profit", F.array_join("alternatives", "; ").alias("alternatives"))
+
+
+def explanations(spark, d):
+    """How each listing's value came about, over the scan."""
+    return _scanned(spark, d).select(*TIE, scan.explanation().alias("explanation"))
+
+
 def plan_rebase(spark, d):
     """Orders as plans, their lines as steps."""
     step = F.struct("l_linenumber", "l_extendedprice", "l_partkey", (F.col("l_quantity") - 5).alias("value_delta"), (F.col("l_tax") * 100).alias("expected_cost"))
@@ -205,7 +235,7 @@ def plan_alternatives(spark, d):
 
 
 _QUERIES = (
-    plan_rebase, plan_alternatives, flip_targets, native_tiers,
+    plan_rebase, plan_alternatives, flip_targets, native_tiers, exit_estimates, plan_confidence, plan_gates, top_plans, explanations,
     bronze_rollup, freshness, keep_last_event, latest_per_item, reconcile, event_payloads, layer_metrics, source_distribution, stratified_sample, even_sample, price_notes, priced_by_rates, silver, gold, valuations,
     comparable_stats, comparables_excluding_own_price, market_index, scan_opportunities, scan_funnel, top_opportunities, buy_filters, scan_segments, candidates, trade_links,
 )
@@ -367,3 +397,57 @@ ORACLES = {
     "native_tiers": "SELECT p_partkey, p_size AS spell_tier, p_size % 5 AS life_tier, 1 + (p_size % 5 > 0)::INTEGER AS tiered FROM part",
     "trade_links": "SELECT c_custkey, 'https://trade.example/search/' || url_encode(c_mktsegment || ' a/b ä') || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN '#' || c_custkey ELSE '' END AS link FROM customer",
 }
+
+_LEAN = _CASE("x", {k: v[2] for k, v in planner.ACTIONS.items()} | {"cleanup": planner.REPAIR[2]}, planner.OTHER_ACTION[2])
+_BRICK = _CASE("x", {k: v[4] for k, v in planner.ACTIONS.items()} | {"cleanup": planner.REPAIR[4]}, planner.OTHER_ACTION[4])
+_BY = lambda col, values: _CASE(col, values, "NULL")
+
+
+def _exit_sql(name: str, floor: str, median: str, spread: str, n: str, links: str, cost: float, rule: str) -> str:
+    """One candidate exit as columns with the name in front."""
+    return f"""
+  {name}0 AS (SELECT *, {floor} AS {name}_f, {median} AS {name}_m, {spread} AS {name}_s, {n} AS {name}_n FROM {{0}}),
+  {name}1 AS (SELECT *, CASE WHEN {name}_n >= 3 AND {name}_m > 0 THEN {name}_m * 0.6 + target_value * 0.4 WHEN {name}_n >= 1 AND {name}_m > 0 THEN {name}_f * 0.25 + {name}_m * 0.4 + least(target_value, {name}_m * 1.1) * 0.35
+    ELSE {name}_f * 0.55 + least(target_value, greatest({name}_f * 1.15, {name}_f + 10)) * 0.45 END AS {name}_raw FROM {name}0),
+  {name}2 AS (SELECT *, CASE WHEN {name}_m > 0 THEN greatest(least({name}_raw, greatest({name}_m * 1.1, {name}_f + greatest({name}_s * 0.35, 10.0))), {name}_f) ELSE {name}_raw END AS {name}_sale,
+    CASE WHEN {name}_n >= 3 THEN 'strong' WHEN {name}_n >= 2 THEN 'moderate' ELSE 'weak' END AS {name}_w FROM {name}1),
+  {name}3 AS (SELECT *, {rule} AND ({name}_f > 0 OR {name}_m > 0) AS {name}_ok, (round(1e-9 + {name}_sale, 1) - listed_price - craft_cost - {cost}) * {_BY(f"{name}_w", exits.SUPPORT)} * greatest(oc, 0.25) AS {name}_p,
+    CASE WHEN {name}_f <= 0 AND {name}_m <= 0 THEN 'near_market' WHEN {name}_sale <= greatest({name}_f * 1.05, {name}_f + 5) THEN 'below_floor' WHEN {name}_m > 0 AND {name}_sale > greatest({name}_m * 1.18, {name}_f + greatest({name}_s, 15.0)) THEN 'outlier' ELSE 'near_market' END AS {name}_pos FROM {name}2)"""
+
+
+_FLIP = ORACLES["flip_targets"].replace(f"SELECT {TIES}, array_to_string(goals", f"SELECT {TIES}, oc, step_list, array_to_string(goals")
+_PICK = lambda x: f"CASE WHEN use_six THEN six_{x} ELSE own_{x} END"
+PLANS = f"""
+WITH ft AS ({_FLIP}), sc AS ({SCAN} SELECT {TIES}, item_family, base_type, ilvl, listed_price, profit, confidence, low_ilvl_context, twink_override, market_floor, market_median, market_spread, comparables_count, pricing_position,
+    (line_no % 3 + 4)::INTEGER AS link_count, CASE WHEN item_family <> 'body_armour_defense' THEN 'any' WHEN ilvl >= 84 THEN '84plus' WHEN ilvl >= 78 THEN '78to83' ELSE 'low' END AS ilvl_index FROM scanned),
+  ix AS (SELECT item_family, base_type, ilvl_index, link_count, round(min(listed_price), 1) AS xf, round(quantile_cont(listed_price, 0.5), 1) AS xm, round(max(listed_price) - min(listed_price), 1) AS xs, count(*) AS xn FROM sc WHERE listed_price > 0 GROUP BY 1, 2, 3, 4),
+  j AS (SELECT sc.*, ft.oc, ft.step_list, ft.goal_mods, ft.target_value, ft.target_confidence, ft.craft_cost, o.xf AS oxf, o.xm AS oxm, o.xs AS oxs, o.xn AS oxn, s.xf AS sxf, s.xm AS sxm, s.xs AS sxs, s.xn AS sxn
+    FROM sc JOIN ft USING ({TIES}) LEFT JOIN ix o USING (item_family, base_type, ilvl_index, link_count) LEFT JOIN (SELECT * FROM ix WHERE link_count = 6) s ON sc.item_family = s.item_family AND sc.base_type = s.base_type AND sc.ilvl_index = s.ilvl_index),
+  {_exit_sql("own", "greatest(coalesce(oxf, CASE WHEN market_floor > 0 AND market_median > 0 THEN least(market_floor, market_median) ELSE greatest(market_floor, market_median) END), market_floor)",
+             "greatest(coalesce(oxm, CASE WHEN market_floor > 0 AND market_median > 0 THEN round(1e-9 + (market_floor + market_median) / 2, 1) ELSE greatest(market_floor, market_median) END), market_median)",
+             "greatest(coalesce(oxs, CASE WHEN market_floor > 0 AND market_median > 0 THEN round(1e-9 + abs(market_median - market_floor), 1) ELSE 0.0 END), market_spread)",
+             "greatest(coalesce(oxn, (market_floor > 0)::INTEGER + (market_median > 0)::INTEGER), comparables_count)", "link_count", 0.0, "true").format("j")},
+  {_exit_sql("six", "sxf", "sxm", "sxs", "sxn", "6", exits.SIX_LINK_COST, f"item_family = 'body_armour_defense' AND link_count < 6 AND coalesce(sxn, 0) > 0 AND {exits.SIX_LINK_COST} <= {BUDGET}").format("own3")},
+  k AS (SELECT *, coalesce(six_ok, false) AND (NOT own_ok OR six_p > own_p) AS use_six FROM six3),
+  k1 AS (SELECT *, own_ok OR use_six AS there, {_PICK("f")} AS ef, {_PICK("n")} AS en, {_PICK("w")} AS strength, {_PICK("pos")} AS position, round(1e-9 + {_PICK("sale")}, 1) AS sale, CASE WHEN use_six THEN 6 ELSE link_count END AS links, CASE WHEN use_six THEN {exits.SIX_LINK_COST} ELSE 0.0 END AS lc FROM k),
+  k2 AS (SELECT *, round(1e-9 + craft_cost + lc, 1) AS plan_cost FROM k1),
+  k3 AS (SELECT *, round(1e-9 + sale - listed_price - plan_cost, 1) AS expected_profit,
+    greatest(0.2, least(0.95, confidence * 0.55 + target_confidence * 0.2 + CASE WHEN pricing_position = 'below_floor' THEN 0.15 ELSE 0.0 END + CASE WHEN comparables_count >= 3 THEN 0.08 ELSE -0.05 END - CASE WHEN low_ilvl_context AND NOT twink_override THEN 0.1 ELSE 0.0 END)) AS b,
+    greatest(0.0, least(0.9, (list_sum(list_transform(step_list, lambda x: {_LEAN})) + use_six::INTEGER) / greatest(len(step_list) + use_six::INTEGER, 1) - (list_sum(list_transform(step_list, lambda x: {_BRICK})) + use_six::INTEGER * 0.05) * 0.08
+      - CASE WHEN use_six AND {exits.SIX_LINK_COST} > {BUDGET} * 0.75 THEN 0.12 ELSE 0.0 END)) AS cr,
+    greatest(0.0, least(0.9, {_BY("strength", exits.EVIDENCE)} + oc * 0.18 - CASE WHEN en < 2 THEN 0.12 ELSE 0.0 END - 0.08 - CASE WHEN position = 'outlier' THEN 0.12 ELSE 0.0 END - CASE WHEN use_six THEN 0.08 ELSE 0.0 END)) AS ex FROM k2),
+  planned AS (SELECT *, round(1e-9 + b, 2) AS base_confidence, round(1e-9 + cr, 2) AS craft_confidence, round(1e-9 + ex, 2) AS exit_confidence, round(1e-9 + greatest(0.0, least(0.92, b * 0.3 + cr * 0.3 + ex * 0.4)), 2) AS plan_confidence FROM k3),
+  gated AS (SELECT *, round(1e-9 + expected_profit * plan_confidence, 1) AS trusted_profit_of_plan, array_to_string(list_filter([CASE WHEN profit <= 0 THEN 'base_not_discounted' END, CASE WHEN item_family = 'body_armour_defense' AND low_ilvl_context AND NOT twink_override THEN 'body_armour_low_ilvl' END,
+    CASE WHEN NOT there THEN 'no_exit' END, CASE WHEN there AND plan_cost > {BUDGET} THEN 'over_budget' END, CASE WHEN there AND expected_profit <= 0 THEN 'non_profitable_plan' END, CASE WHEN there AND craft_confidence <= 0 THEN 'craft_ineligible' END,
+    CASE WHEN there AND plan_confidence < 0.45 THEN 'confidence_too_low' END, CASE WHEN there AND en < 2 AND NOT (use_six AND ef > 0) THEN 'fallback_exit_low_evidence' END, CASE WHEN there AND position = 'outlier' AND en < 3 THEN 'exit_outlier_low_evidence' END], lambda v: v IS NOT NULL), ',') AS plan_reasons FROM planned)"""
+_THERE = lambda *names: ", ".join(f"CASE WHEN there THEN {n} END AS {n}" for n in names)
+ORACLES |= {
+    "exit_estimates": f"{PLANS} SELECT {TIES}, {_THERE('sale', 'links', 'position', 'strength', 'plan_cost', 'expected_profit')} FROM gated",
+    "plan_confidence": f"{PLANS} SELECT {TIES}, base_confidence, {_THERE('craft_confidence', 'exit_confidence', 'plan_confidence')} FROM gated",
+    "plan_gates": f"{PLANS} SELECT {TIES}, plan_reasons FROM gated",
+    "top_plans": f"""{PLANS}, best AS (SELECT *, row_number() OVER (ORDER BY trusted_profit_of_plan DESC, plan_confidence DESC, expected_profit DESC, {TIES})::INTEGER AS plan_rank FROM gated WHERE plan_reasons = '' QUALIFY plan_rank <= 12),
+      n AS (SELECT *, base_type || ': trusted ' || printf('%.1f', trusted_profit_of_plan) || 'c' AS label FROM best)
+      SELECT plan_rank, {TIES}, trusted_profit_of_plan, plan_confidence, expected_profit, concat_ws('; ', lead(label, 1) OVER (ORDER BY plan_rank), lead(label, 2) OVER (ORDER BY plan_rank)) AS alternatives FROM n""",
+    "explanations": f"""{SCAN} SELECT {TIES}, concat_ws('; ', printf('valued at %.1f by %s with confidence %.2f', ml_value, model_source, confidence), printf('market floor %.1f, median %.1f over %d listings, %s', market_floor, market_median, comparables_count, pricing_position),
+      CASE WHEN len(flags) > 0 THEN 'risks: ' || array_to_string(flags, ', ') END, 'consensus: ' || agreed) AS explanation FROM scanned""",
+}

@@ -14,10 +14,10 @@ def test_oracles_are_sql_of_registered_queries():
     assert found.keys() <= __spark_entry__.queries().keys()
 
 
-@pytest.mark.parametrize("name", ["hit_chances", "hit_chances_whole", "recombine_chances", "recombine_chances_whole", "active_models"])
+@pytest.mark.parametrize("name", ["hit_chances", "hit_chances_whole", "recombine_chances", "recombine_chances_whole", "active_models", "plan_gates"])
 def test_results_are_those_of_the_sql(spark, name):
     db = duckdb.connect()
-    for t in ("part", "lineitem", "customer"):
+    for t in ("part", "lineitem", "customer", "orders"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = __spark_entry__.queries()[name](spark, SF)
     sql = db.execute(__spark_entry__.oracle_sql()[name])
