@@ -196,7 +196,7 @@ def search(
         rows = rows.repartition("dim", "point", "part").sortWithinPartitions("dim", "point", "part", F.col("query_key").asc_nulls_first())
         return rows.mapInPandas(shard_search(k, factor), FOUND)
 
-    home_part = F.pmod("query_key", F.col("parts")).cast("int")
+    home_part = F.pmod(F.xxhash64("id", "query_key"), F.col("parts")).cast("int")
     home = asked.join(rings, ["dim", "point"]).withColumns({"part": home_part, "radius": F.lit(float("inf"))})
     first = written(found(home), "vptree-first")
     radius = first.groupBy(F.col("query_id").alias("id"), "query_key").agg(F.max("score").alias("radius"), F.count("*").alias("n"))
