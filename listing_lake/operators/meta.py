@@ -24,6 +24,14 @@ def tag_counts(builds: DataFrame, skills: DataFrame, keystones: DataFrame) -> Da
     return out.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def keystone_sets(builds: DataFrame, *fields: str, alias: str = "keystones") -> DataFrame:
+    """Each build's keystones: the union of several fields, each a text or an array of texts; blanks are left out."""
+    kinds = dict(builds.dtypes)
+    each = (F.coalesce(F.col(f) if kinds[f].startswith("array") else F.array(f), F.array().cast("array<string>")) for f in fields)
+    union = F.array_distinct(F.filter(F.concat(*each), lambda k: k.isNotNull() & (F.trim(k) != "")))
+    return builds.withColumn(alias, union)
+
+
 def tag_scores(counts: DataFrame) -> DataFrame:
     """Min-max of the counts, at least .1; .5 for all where they are equal."""
     ends = counts.agg(F.min("n").alias("_low"), F.max("n").alias("_high"))  # one row

@@ -65,6 +65,25 @@ def quality_gates(df: DataFrame, target: str, *, min_rows: int = 50, min_targets
     )
 
 
+def family_counts(df: DataFrame) -> DataFrame:
+    """Rows of each family, nulls as a family of their own."""
+    return df.groupBy("item_family").agg(F.count("*").alias("n"))
+
+
+def drop_duplicate_gold(df: DataFrame, order: list[str], ignore: tuple[str, ...] = ("snapshot_date", "league")) -> DataFrame:
+    """One row of those alike in all columns but ``ignore`` and ``order``: the last by ``order``. Groups meet by two hashes of
+    what they share, and rows combine before the shuffle."""
+    same = F.struct(*(c for c in df.columns if c not in (*ignore, *order)))
+    keyed = df.groupBy(F.xxhash64(same).alias("_a"), F.sha1(F.to_json(same).cast("binary")).alias("_b"))
+    return keyed.agg(F.max_by(F.struct(*df.columns), F.struct(*order, *(c for c in ignore if c in df.columns))).alias("_row")).select("_row.*")
+
+
+def raw_training_rows(events: list[DataFrame], price: str = "price_chaos") -> DataFrame:
+    """All rows of several event tables with a positive price, on one list of columns, ready to be featurised."""
+    some = [df.filter(F.col(price) > 0) for df in events]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some)
+
+
 def temporal_split(df: DataFrame, keys: list[str], time: str, tie: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``part`` (train or test) per group: the earliest int(n * (1 - test_size)) rows train, at least one on each side,
     where at least two times and 80 % of them can be read (rows without a time are then dropped); else a seeded split.
@@ -115,7 +134,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def train_models(gold: DataFrame, groups: list[tuple[str, Column]], target: str, features: list[str], *, least_rows: int = 20, depth: int = 5, rate: float = 0.05, rounds: int = 120) -> tuple[dict, DataFrame]:
     """A boosted-tree model per group with ``least_rows`` rows or more, early stopping on rows marked ``part = test``; the
-    fitted models, and predictions of all rows of fitted groups with their group's name."""
+    fitted models (null for a group of fewer rows, which falls back to its family), and predictions of all rows of fitted groups
+    with their group's name."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
@@ -125,6 +145,7 @@ def train_models(gold: DataFrame, groups: list[tuple[str, Column]], target: str,
     for name, rule in groups:
         some = assembled.filter(rule).withColumn("model", F.lit(name))
         if some.limit(least_rows).count() < least_rows:
+            models[name] = None
             continue
         models[name] = GBTRegressor(labelCol=target, maxDepth=depth, stepSize=rate, maxIter=rounds, validationIndicatorCol="validating", seed=42).fit(some)
         told = models[name].transform(some).drop("features", "validating")

@@ -70,6 +70,12 @@ def table_health(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def manifest_status(manifest: DataFrame, status: str = "status") -> DataFrame:
+    """Manifest rows by status; a null or blank one is ``unknown``."""
+    name = F.when(F.trim(status) != "", F.col(status)).otherwise("unknown")
+    return manifest.groupBy(name.alias("status")).agg(F.count("*").alias("n"))
+
+
 def active_models(registry: DataFrame, versions: DataFrame) -> DataFrame:
     """Each family's active version: ``registry`` has family and active_version, ``versions`` a row for each family and
     run_id with what is known of it."""

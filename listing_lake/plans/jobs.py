@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from listing_lake.operators import meta, training, upkeep, valuation
+from listing_lake.operators import meta, observations, training, upkeep, valuation
 from listing_lake.plans.driver_tables import AS_OF, LISTINGS, TIE, items, listings, table
 from listing_lake.streaming import intake
 
@@ -61,13 +63,84 @@ def bucket_rmse(spark, d):
     return training.bucket_rmse(_baseline(spark, d), "price_chaos", "predicted_value").select(*(F.round(c, 4).alias(c) for c in ("rmse_low", "rmse_mid", "rmse_high")))
 
 
-def family_models(spark, d):
-    """Boosted trees for two families and their level bands, smaller than in production so that a check takes seconds."""
+def family_models(spark, d, depth: int = 3, rounds: int = 5, rate: float = 0.2):
+    """Boosted trees for every family and each of its level bands; groups too small to fit are rows of their own. Trees are
+    fewer and smaller than the operator's default, as a check fits up to twenty models."""
     split = training.temporal_split(_training_set(spark, d), ["item_family"], "listed_at", list(TIE))
-    fam = F.col("item_family")
-    groups = [("accessory_generic", fam == "accessory_generic"), ("accessory_generic/high", (fam == "accessory_generic") & (F.col("ilvl_band") == "high"))]
-    _, told = training.train_models(split.select("item_family", "ilvl_band", "part", "price_chaos", *valuation.FAMILY_FEATURES["accessory_generic"]), groups, "price_chaos", list(valuation.FAMILY_FEATURES["accessory_generic"]), depth=3, rounds=5, rate=0.2)
-    return told.groupBy("model", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("price_chaos"), 2))), 1).alias("rmse"))
+    told = []
+    for family, names in valuation.FAMILY_FEATURES.items():
+        fam = F.col("item_family") == family
+        groups = [(family, fam), *((f"{family}/{band}", fam & (F.col("ilvl_band") == band)) for band in ("low", "mid", "high"))]
+        rows = split.select("item_family", "ilvl_band", "part", "price_chaos", *names)
+        models, out = training.train_models(rows, groups, "price_chaos", list(names), depth=depth, rounds=rounds, rate=rate)
+        if out is not None:
+            told.append(out.groupBy("model", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("price_chaos"), 2))), 1).alias("rmse"), F.lit("fitted").alias("state")))
+        thin = [(name,) for name, model in models.items() if model is None]
+        if thin:
+            told.append(spark.createDataFrame(thin, "model string").select("model", F.lit(None).cast("string").alias("part"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("rmse"), F.lit("falls back to family").alias("state")))
+    return reduce(lambda x, y: x.unionByName(y), told)
+
+
+def family_counts(spark, d):
+    return training.family_counts(_training_set(spark, d))
+
+
+def drop_duplicate_gold(spark, d):
+    rows = listings(spark, d).select("base_type", "ilvl", "price_step", "league", F.to_date("collected_ts").alias("snapshot_date"), "o_key", "line_no", "ext_price")
+    return training.drop_duplicate_gold(rows, ["o_key", "line_no", "ext_price"]).select("base_type", "ilvl", "price_step", "o_key", "line_no", "ext_price")
+
+
+def raw_training_rows(spark, d):
+    """Two event tables from the listings, one without the trade columns."""
+    rows = listings(spark, d)
+    stash, trade = rows.filter("source = 'stash'").select("item_id", "price_step"), rows.filter("source = 'trade'").select("item_id", "price_step", "seller")
+    out = training.raw_training_rows([stash, trade], "price_step")
+    return out.groupBy("item_id").agg(F.count("*").alias("n"), F.count("seller").alias("sellers"), F.sum("price_step").alias("total"))
+
+
+def keystones(spark, d):
+    builds = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("keystone"), F.array(F.col("o_orderstatus"), F.col("o_orderpriority"), F.when(F.col("o_orderkey") % 3 == 0, " ")).alias("tree"))
+    return meta.keystone_sets(builds, "keystone", "tree").select("o_orderkey", F.array_join("keystones", ",").alias("keystones"))
+
+
+def sample_builds(spark, d):
+    return meta.sample_builds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, "o_orderkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("builds"))
+
+
+def manifest_status(spark, d):
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"))
+    return upkeep.manifest_status(o)
+
+
+def snapshot_dates(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    e = table(spark, d, "events").select("event_id", text.alias("indexed"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("collected"))
+    return e.select("event_id", observations.snapshot_date("1999-01-01", "indexed", "collected").alias("snapshot_date"))
+
+
+def query_contexts(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "stash").otherwise("trade").alias("source"), F.col("event_type").alias("stash_name"), F.col("user_id").alias("change_id"), F.col("event_id").alias("query_id"))
+    return e.select("event_id", observations.query_context(F.col("source"), ("stash_name", "change_id"), ("query_id",)).alias("context"))
+
+
+def observation_union(spark, d):
+    e = table(spark, d, "events")
+    stash, trade = e.filter("event_id % 2 = 0").select("event_id", F.col("ts").alias("indexed"), "user_id"), e.filter("event_id % 2 = 1").select("event_id", F.col("ts").alias("indexed"))
+    return observations.load_observations(stash, trade, {"user_id": 0}).select("event_id", "user_id", "indexed", "collected_at", "source", "source_rank")
+
+
+def veiled_chances(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", meta.veiled_chance(F.col("p_size") % 3, F.col("p_size") % 2).alias("chance"))
+
+
+def family_vectors(spark, d):
+    """The wand family's feature vectors: how long they are, and their sums."""
+    from pyspark.ml.functions import vector_to_array
+
+    gold = valuation.features(valuation.normalize(items(spark, d)))
+    out = valuation.feature_vector(gold, "wand_caster").select(vector_to_array("features").alias("v"))
+    return out.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)), 1).alias("total"))
 
 
 def fingerprint(spark, d):
@@ -238,6 +311,7 @@ def _is_folder(spark, path: str) -> bool:
 _QUERIES = (
     iqr_bounds, remove_price_outliers, remove_stale_cheap, quality_gates, temporal_split, feature_overlap, regression_metrics, bucket_rmse, family_models, fingerprint, model_promotion, ops_report, latest_record, retention_report,
     apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
+    family_counts, drop_duplicate_gold, raw_training_rows, keystones, sample_builds, manifest_status, snapshot_dates, query_contexts, observation_union, veiled_chances, family_vectors,
 )
 QUERIES = {f.__name__: f for f in _QUERIES} | {"hit_chances_whole": hit_chances_whole, "recombine_chances_whole": recombine_chances_whole}
 
@@ -312,6 +386,16 @@ def _oracles() -> dict[str, str]:
           k AS (SELECT event_id, user_id, ts, r, ts AS kept, true AS keep FROM e WHERE r = 1
             UNION ALL SELECT e.event_id, e.user_id, e.ts, e.r, CASE WHEN epoch_us(e.ts) - epoch_us(k.kept) >= 3600000000 THEN e.ts ELSE k.kept END, epoch_us(e.ts) - epoch_us(k.kept) >= 3600000000 FROM k JOIN e ON e.user_id = k.user_id AND e.r = k.r + 1)
           SELECT event_id, user_id, ts FROM k WHERE keep""",
+        "family_counts": f"{SILVER} SELECT item_family, count(*) AS n FROM silver GROUP BY 1",
+        "drop_duplicate_gold": f"""SELECT base_type, ilvl, price_step, o_key, line_no, ext_price FROM (SELECT *, row_number() OVER (PARTITION BY base_type, ilvl, price_step ORDER BY o_key DESC, line_no DESC, ext_price DESC) AS n FROM ({LISTINGS}) l) r WHERE n = 1""",
+        "raw_training_rows": f"SELECT item_id, count(*) AS n, count(*) FILTER (source = 'trade') AS sellers, sum(price_step) AS total FROM ({LISTINGS}) l WHERE price_step > 0 GROUP BY 1",
+        "keystones": "SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderstatus <> o_orderpriority THEN ',' || o_orderstatus ELSE '' END AS keystones FROM orders",
+        "sample_builds": "SELECT least(count(*), 100) AS n, least(count(DISTINCT o_orderkey), 100) AS builds FROM orders",
+        "manifest_status": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1",
+        "snapshot_dates": "SELECT event_id, CASE WHEN event_id % 3 <> 0 OR event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE '1999-01-01' END AS snapshot_date FROM events",
+        "query_contexts": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"change_id":' || user_id || ',"stash_name":"' || event_type || '"}' ELSE '{"query_id":' || event_id || '}' END AS context FROM events""",
+        "observation_union": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END AS user_id, ts AS indexed, ts AS collected_at, CASE WHEN event_id % 2 = 0 THEN 'stash' ELSE 'trade' END AS source, (event_id % 2)::INTEGER AS source_rank FROM events",
+        "veiled_chances": "SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 > 0 THEN 0.5 WHEN p_size % 3 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS chance FROM part",
         "stream_insert_once": "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY 1, 2",
     }
 

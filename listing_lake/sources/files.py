@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listing_lake.operators import valuation
 from listing_lake.streaming.intake import PAGE
 
 
@@ -24,13 +25,30 @@ def write_layer(df: DataFrame, path: str, partitions: list[str]) -> int:
 
 
 def read_training_set(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
-    """A gold layer as it is. A table of another form is refused."""
+    """A gold layer as it is; raw rows (``raw_item_json`` and ``price_chaos``) are featurised; any other form is refused."""
     df = spark.read.parquet(path)
+    if {"raw_item_json", "price_chaos"} <= set(df.columns):
+        return featurised(df)
     if missing := {"price_chaos", "item_family", *features} - set(df.columns):
         raise ValueError(f"not a training set, it lacks {sorted(missing)}")
     return df
 
 
+ITEM = "baseType string, ilvl int, explicitMods array<string>, implicitMods array<string>, influences map<string,string>, fractured boolean, corrupted boolean"
+
+
+def featurised(raw: DataFrame) -> DataFrame:
+    """Gold features of raw rows; rows whose payload is no item, or whose price is not positive, are left out."""
+    none = F.array().cast("array<string>")
+    rows = raw.filter("price_chaos > 0").withColumn("_item", F.from_json("raw_item_json", ITEM)).filter("_item.baseType IS NOT NULL")
+    given = {
+        "base_type": F.col("_item.baseType"), "ilvl": F.coalesce("_item.ilvl", F.lit(0)), "explicit_mods": F.coalesce("_item.explicitMods", none),
+        "implicit_mods": F.coalesce("_item.implicitMods", none), "influences": F.coalesce(F.array_sort(F.map_keys("_item.influences")), none),
+        "fractured": F.coalesce("_item.fractured", F.lit(False)), "corrupted": F.coalesce("_item.corrupted", F.lit(False)),
+    }
+    return valuation.features(valuation.normalize(rows.withColumns(given).drop("_item")))
+
+
 def export(df: DataFrame, path: str, fmt: str) -> None:
     """json (one object a line), jsonl (the same) or csv; nested columns become JSON text in csv."""
     if fmt == "csv":
