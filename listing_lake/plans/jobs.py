@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -63,16 +65,32 @@ def bucket_rmse(spark, d):
     return training.bucket_rmse(_baseline(spark, d), "price_chaos", "predicted_value").select(*(F.round(c, 4).alias(c) for c in ("rmse_low", "rmse_mid", "rmse_high")))
 
 
+def _shared(spark, label: str) -> str:
+    """A new folder under spark.checkpoint.dir; one of our own only on one machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/listing_lake/{label}-{uuid.uuid4().hex}"
+
+
+def _written(df, label: str):
+    path = _shared(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def family_models(spark, d, depth: int = 3, rounds: int = 5, rate: float = 0.2):
     """Boosted trees for every family and each of its level bands; groups too small to fit are rows of their own. Trees are
     fewer and smaller than the operator's default, as a check fits up to twenty models."""
     split = training.temporal_split(_training_set(spark, d), ["item_family"], "listed_at", list(TIE))
+    names = sorted({n for some in valuation.FAMILY_FEATURES.values() for n in some})
+    split = _written(split.select("item_family", "ilvl_band", "part", "price_chaos", *names), "training")  # read by every fit
     told = []
     for family, names in valuation.FAMILY_FEATURES.items():
         fam = F.col("item_family") == family
         groups = [(family, fam), *((f"{family}/{band}", fam & (F.col("ilvl_band") == band)) for band in ("low", "mid", "high"))]
-        rows = split.select("item_family", "ilvl_band", "part", "price_chaos", *names)
-        models, out = training.train_models(rows, groups, "price_chaos", list(names), depth=depth, rounds=rounds, rate=rate)
+        models, out = training.train_models(split, groups, "price_chaos", list(names), depth=depth, rounds=rounds, rate=rate)
         if out is not None:
             told.append(out.groupBy("model", "part").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("price_chaos"), 2))), 1).alias("rmse"), F.lit("fitted").alias("state")))
         thin = [(name,) for name, model in models.items() if model is None]
@@ -289,11 +307,7 @@ def ttl_dedupe(spark, d):
 
 def stream_insert_once(spark, d):
     """A stream over the events' file, keyed insert, run to its end."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{base.rstrip('/')}/listing_lake/stream-{uuid.uuid4().hex}"
+    base = _shared(spark, "stream")
     schema = table(spark, d, "events").schema
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(f"{d}/events.parquet") if _is_folder(spark, f"{d}/events.parquet") else reader.option("pathGlobFilter", "events.parquet").parquet(d)
