@@ -11,11 +11,30 @@ from pyspark.sql import Window as W
 SIGNALS = ("has_life", "has_resist", "has_spell_damage", "has_cast_speed", "has_spell_crit", "has_suppress")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """Exact, linearly interpolated quantiles ``q0``, ``q1``, ... of each group; a group without a value has no row.
+
+    Values are counted, their counts are summed in narrow logarithmic buckets (which keep the order), and only the buckets
+    that hold a wanted rank are looked into. So a group is a few thousand bucket rows, and no task holds all its values."""
+    group = F.struct(F.lit(0).alias("_"), *keys)  # nulls inside a struct meet in groups and joins
+    hist = df.filter(F.col(value).isNotNull()).groupBy(group.alias("_key"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    hist = hist.withColumn("_b", F.signum("_v") * F.floor(F.log1p(F.abs("_v")) * 1024))
+    by = W.partitionBy("_key")
+    buckets = hist.groupBy("_key", "_b").agg(F.sum("_c").alias("_s")).withColumns({"_upto": F.sum("_s").over(by.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_s").over(by)})
+    asked = buckets.select("*", F.posexplode(F.array(*map(F.lit, shares))).alias("_i", "_share")).withColumn("_at", F.col("_share") * (F.col("_n") - 1))
+    asked = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).withColumn("_before", F.col("_upto") - F.col("_s"))
+    asked = asked.filter("_rank >= _before AND _rank < _upto").select("_key", "_b", "_i", "_at", "_rank", "_before")
+    seen = F.col("_before") + F.sum("_c").over(W.partitionBy("_key", "_i", "_rank").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    found = hist.join(asked, ["_key", "_b"]).withColumn("_seen", seen).filter("_rank < _seen AND _rank >= _seen - _c")
+    weight = F.when(F.floor("_at") == F.ceil("_at"), 1.0).when(F.col("_rank") == F.floor("_at"), F.ceil("_at") - F.col("_at")).otherwise(F.col("_at") - F.floor("_at"))
+    out = found.groupBy("_key").agg(*(F.sum(F.when(F.col("_i") == i, F.col("_v") * weight)).alias(f"q{i}") for i in range(len(shares))))
+    return out.select(*(F.col("_key").getField(k).alias(k) for k in keys), *(f"q{i}" for i in range(len(shares))))
+
+
 def iqr_bounds(df: DataFrame, key: str, value: str) -> DataFrame:
     """Per group: linearly interpolated quartiles, and bounds one and a half ranges beyond them."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q25, q75 = F.col("q")[0], F.col("q")[1]
-    return q.select(key, q25.alias("q25"), q75.alias("q75"), (q25 - 1.5 * (q75 - q25)).alias("low"), (q75 + 1.5 * (q75 - q25)).alias("high"))
+    q25, q75 = F.col("q0"), F.col("q1")
+    return quantiles(df, [key], value, (0.25, 0.75)).select(key, q25.alias("q25"), q75.alias("q75"), (q25 - 1.5 * (q75 - q25)).alias("low"), (q75 + 1.5 * (q75 - q25)).alias("high"))
 
 
 def remove_price_outliers(df: DataFrame, key: str, value: str, least_rows: int = 10) -> DataFrame:
@@ -30,7 +49,7 @@ def remove_stale_cheap(df: DataFrame, as_of: str, listed: str, price: str, hours
     """Drops rows that are stale, rich in signals and no dearer than the lower quartile of all. Unreadable times are fresh."""
     if df.limit(least_rows + 1).count() <= least_rows:
         return df
-    quartile = df.agg(F.percentile(price, 0.25).alias("_q25"))  # one row
+    quartile = quantiles(df, [], price, (0.25,)).select(F.col("q0").alias("_q25"))  # one row
     signals = reduce(lambda a, b: a + b, (F.coalesce(F.col(c), F.lit(0.0)) for c in SIGNALS if c in df.columns))
     old = F.coalesce((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col(listed).cast("timestamp"))) / 3.6e9 > hours, F.lit(False))
     return df.join(F.broadcast(quartile)).filter(~(old & (signals >= least_signals) & (F.col(price) <= F.col("_q25")))).drop("_q25")
@@ -110,7 +129,7 @@ def feature_overlap(train: DataFrame, test: DataFrame, features: list[str]) -> D
 
 
 def median_baseline(train: DataFrame, keys: list[str], target: str) -> DataFrame:
-    return train.groupBy(*keys).agg(F.percentile(target, 0.5).alias("baseline"))
+    return quantiles(train, keys, target, (0.5,)).withColumnRenamed("q0", "baseline")
 
 
 def regression_metrics(df: DataFrame, keys: list[str], target: str, predicted: str, baseline: str) -> DataFrame:

@@ -113,6 +113,27 @@ def test_splits_gates_and_metrics(spark):
     assert training.fingerprint(told).first() == training.fingerprint(told.orderBy(F.desc("y")).repartition(3)).first()
 
 
+def test_quantiles_and_even_samples_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 1.0, 1.0001, 5.5, 1e6, -3.0, -0.2, 0.1, rng.random()])) for k in ["a", "b", None] for _ in range(rng.randint(20, 60))] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None), ("a", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.q0, r.q1, r.q2) for r in training.quantiles(frame, ["k"], "v", (0.25, 0.5, 0.9)).collect()}
+    assert got.keys() == {"a", "b", None, "one", "two"}
+    for k, told in got.items():
+        assert told == pytest.approx(tuple(np.quantile([v for j, v in rows if j == k and v is not None], (0.25, 0.5, 0.9))))
+    assert training.quantiles(frame, [], "v", (0.5,)).first().q0 == pytest.approx(np.median([v for _, v in rows if v is not None]))
+    assert training.quantiles(frame.filter("false"), ["k"], "v", (0.5,)).count() == 0
+
+    ranked = [(k, n // 3 if n else None, n) for k, most in (("a", 50), ("b", 4), (None, 9)) for n in range(most)]
+    some = observations.even_sample(spark.createDataFrame(ranked, "k string, t int, n int"), "k", ["t", "n"], 5).collect()
+    want = {("a", round(i / 4 * 49 + 1e-9)) for i in range(5)} | {("b", n) for n in range(4)} | {(None, i * 2) for i in range(5)}
+    assert {(r.k, r.n) for r in some} == want and len(some) == len(want)
+
+
 def test_reports_and_files(spark, tmp_path):
     lines = [{"ts_utc": "2026-03-11T0%d:00:00Z" % (i + 7), "component": "c", "duration_ms": d, "status": s} for i, (d, s) in enumerate([(100, "ok"), (300, "error"), (200, "ok")])]
     (tmp_path / "m").mkdir()
