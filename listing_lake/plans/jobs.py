@@ -305,17 +305,29 @@ def ttl_dedupe(spark, d):
     return intake.ttl_dedupe(table(spark, d, "events"), "user_id", "ts", "event_id", 3600.0).select("event_id", "user_id", "ts")
 
 
-def stream_insert_once(spark, d):
-    """A stream over the events' file, keyed insert, run to its end."""
-    base = _shared(spark, "stream")
+def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     reader = spark.readStream.schema(schema)
     stream = reader.parquet(f"{d}/events.parquet") if _is_folder(spark, f"{d}/events.parquet") else reader.option("pathGlobFilter", "events.parquet").parquet(d)
-    events = intake.insert_once(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "ts", "400 days")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_insert_once(spark, d):
+    """A stream over the events' file, keyed insert, run to its end."""
+    base = _shared(spark, "stream")
+    events = intake.insert_once(_event_stream(spark, d), ["user_id", "event_type"], "ts", "400 days")
     intake.to_files(events, f"{base}/out", f"{base}/log")
     return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+def stream_ttl_dedupe(spark, d):
+    """A stream over the events' file, de-duplicated by time to live, run to its end."""
+    base = _shared(spark, "stream")
+    events = intake.ttl_dedupe_stream(_event_stream(spark, d).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3600.0, "400 days")
+    intake.to_files(events, f"{base}/out", f"{base}/log")
+    return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast(table(spark, d, "events").schema["ts"].dataType))
+
+
 def _is_folder(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -324,7 +336,7 @@ def _is_folder(spark, path: str) -> bool:
 
 _QUERIES = (
     iqr_bounds, remove_price_outliers, remove_stale_cheap, quality_gates, temporal_split, feature_overlap, regression_metrics, bucket_rmse, family_models, fingerprint, model_promotion, ops_report, latest_record, retention_report,
-    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once,
+    apply_retention, orphans, integrity, manifest_upsert, checkpoint_upsert, table_health, active_models, tag_counts, meta_utility, mods_by_stats, hit_chances, craft_values, recombine_chances, mod_chances, hourly_counts, ttl_dedupe, stream_insert_once, stream_ttl_dedupe,
     family_counts, drop_duplicate_gold, raw_training_rows, keystones, sample_builds, manifest_status, snapshot_dates, query_contexts, observation_union, veiled_chances, family_vectors,
 )
 QUERIES = {f.__name__: f for f in _QUERIES} | {"hit_chances_whole": hit_chances_whole, "recombine_chances_whole": recombine_chances_whole}
@@ -415,4 +427,5 @@ def _oracles() -> dict[str, str]:
 
 
 ORACLES = _oracles()
+ORACLES["stream_ttl_dedupe"] = ORACLES["ttl_dedupe"]  # one file is one micro-batch: the stream keeps what the batch form keeps
 ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("hit_chances", "recombine_chances")}

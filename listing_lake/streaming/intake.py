@@ -74,6 +74,34 @@ def ttl_dedupe(events: DataFrame, key: str, time: str, tie: str, seconds: float
     return events.join(kept.withColumnRenamed("tie", tie), tie, "left_semi").unionByName(blank)
 
 
+def ttl_dedupe_stream(events: DataFrame, key: str, time: str, tie: str, seconds: float = 120.0, delay: str = "10 minutes") -> DataFrame:
+    """``ttl_dedupe`` on a stream: the time of a key's last kept row is its state, dropped once the watermark has passed it by
+    ``seconds``. Rows later than ``delay`` (or not after 1970) go, rows before the last kept one are repeats, blank keys all stay. A task holds a
+    key's rows of one micro-batch, whose size the source limits."""
+    whole = {f.name: f.dataType for f in events.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    events = events.withWatermark(time, delay)
+    blank = F.col(key).isNull() | (F.col(key).cast("string") == "")
+    # pandas has no null integers: they travel as text
+    flat = events.filter(~blank).withColumns({"_k": F.col(key).cast("string"), "_tie": F.col(tie)}).withColumns({c: F.col(c).cast("string") for c in whole})
+
+    def keep(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([time, "_tie"], ignore_index=True)
+        last = state.get[0] if state.exists else None
+        good = []
+        for t in rows[time].astype("datetime64[us]").astype("int64").tolist():
+            good.append(last is None or t - last >= seconds * 1e6)
+            last = t if good[-1] else last
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int(last / 1e3 + seconds * 1e3) + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[good].drop(columns=["_k", "_tie"])
+
+    kept = flat.groupBy("_k").applyInPandasWithState(keep, flat.drop("_k", "_tie").schema, "last long", "append", "EventTimeTimeout")
+    return kept.withColumns({c: F.col(c).cast(t) for c, t in whole.items()}).unionByName(events.filter(blank))
+
+
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there and stop. Files and their commit log make replays harmless."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -180,6 +180,21 @@ def test_ttl_keeps_by_last_kept(spark):
     assert sorted(r.n for r in intake.ttl_dedupe(frame, "k", "t", "n").collect()) == [1, 3, 5, 6, 7, 8, 9]
 
 
+def test_ttl_stream_is_the_batch_form(spark, tmp_path):
+    rows = [("a", 0, 1), ("a", 100, 2), ("a", 121, 2**60 + 1), ("", 0, 6), (None, 1, 8), ("b", 50, 9), ("a", 121, 2**60 + 3)]
+    later = [("a", 200, 4), ("a", 241, 5), ("", 1, 7), ("b", 60, None), ("b", 170, 11), ("c", 1000, 12)]
+    schema = "k string, s long, n long"
+    frames = [spark.createDataFrame(r, schema).withColumn("t", F.timestamp_seconds(F.col("s") + 10**9)) for r in (rows, later)]
+    out = []
+    for frame in frames:  # two runs of one stream: the state outlives the first
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+        intake.to_files(intake.ttl_dedupe_stream(stream, "k", "t", "n"), str(tmp_path / "out"), str(tmp_path / "log"))
+        out.append(sorted(((r.k, r.s, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str))
+    assert out[0] == sorted([("a", 0, 1), ("a", 121, 2**60 + 1), ("", 0, 6), (None, 1, 8), ("b", 50, 9)], key=str)
+    assert out[1] == sorted([*out[0], ("a", 241, 5), ("", 1, 7), ("b", 170, 11), ("c", 1000, 12)], key=str)
+
+
 def test_weights(spark):
     mods = spark.createDataFrame([("m", "prefix", ["g"], [("defence", 500), ("shield", 300)], ["base_life"], None, None), ("u", "unique", ["g"], [("shield", 900)], [], None, None)], "mod_id string, generation_type string, groups array<string>, spawn_weights array<struct<tag string, weight int>>, stats array<string>, required_level int, is_essence_only boolean".replace("tag string", "tag:string").replace("weight int", "weight:int"))
     mods = meta.clean_mods(mods)
