@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listing_lake.llm import bitplane, decontaminate, language, packing, quality, secret_scan, simhash, toxicity, url_graph, vptree
+from listing_lake.llm import bitplane, decontaminate, language, packing, quality, rules, secret_scan, simhash, toxicity, url_graph, vptree
 from listing_lake.llm.common import shared_dir, table
 
 
@@ -32,10 +32,12 @@ QUERIES = {
     "op8_decontaminate": lambda spark, d: decontaminate.digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_url_graph": lambda spark, d: url_graph.judge(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_rules": lambda spark, d: rules.digest(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLES = {
     "op1_secret_scan": secret_scan.ORACLE,
     "op4_vptree": vptree.ORACLE,
     "op9_url_graph": url_graph.ORACLE,
+    "op11_rules": rules.oracle(),
 }
