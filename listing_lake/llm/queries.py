@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listing_lake.llm import bitplane, decontaminate, language, packing, quality, rules, secret_scan, simhash, toxicity, url_graph, vptree
+from listing_lake.llm import bitplane, decontaminate, language, merkle, packing, quality, repair, rules, secret_scan, simhash, toxicity, url_graph, vptree
 from listing_lake.llm.common import shared_dir, table
 
 
@@ -33,6 +33,8 @@ QUERIES = {
     "op9_url_graph": lambda spark, d: url_graph.judge(table(spark, d, "pages")),
     "op10_toxicity": lambda spark, d: toxicity.digest(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_rules": lambda spark, d: rules.digest(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op12_merkle": lambda spark, d: merkle.digest(table(spark, d, "documents")),
+    "op13_repair": lambda spark, d: repair.digest(table(spark, d, "conversations")),
 }
 
 ORACLES = {
@@ -40,4 +42,6 @@ ORACLES = {
     "op4_vptree": vptree.ORACLE,
     "op9_url_graph": url_graph.ORACLE,
     "op11_rules": rules.oracle(),
+    "op12_merkle": merkle.oracle(),
+    "op13_repair": repair.oracle(),
 }
