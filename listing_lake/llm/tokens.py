@@ -3,12 +3,14 @@
 Both vocabularies split a text at white space before they merge, so what stands between two spaces has the same ids wherever
 it stands. The memo holds the ids of such pieces as bytes, and a text's ids are their concatenation. A piece that is new is
 cut into the vocabulary's own units (words, numbers, marks, line ends), each of which goes to its merge model once. Texts
-with other white space than ASCII's, and pieces with characters beyond ``PLAIN_END``, go through the library whole."""
+with other white space than ASCII's or with the name of an added token, and pieces with characters beyond ``PLAIN_END``, go
+through the library whole, and so does every text where the vocabulary's file says that it works in any other way."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import os
 import re
 import unicodedata
@@ -31,6 +33,20 @@ LOWER_UNITS = re.compile(rf"{SHORTENED}|{LETTERS}+|{NUMBERS}|{MARKS}+")
 #: The memo keeps two generations, each closed once it has so many pieces; pieces longer than MEMO_CHARS are not kept.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 
+# What the two forms of vocabulary that the memo knows say of themselves; any other goes through the library whole. Fixed values.
+_BPE = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_UNITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPACED_FORM = json.dumps([None, _BYTES | {"use_regex": True}, _BPE | {"end_of_word_suffix": None}, []], sort_keys=True)
+LOWERED_FORM = json.dumps(
+    [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _UNITS}, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]},
+        _BPE | {"end_of_word_suffix": "</w>"}, [],
+    ],
+    sort_keys=True,
+)
+
 _encoders: dict[tuple[str, int], Callable[[str], bytes]] = {}
 
 
@@ -91,13 +107,28 @@ def encoder(path: str, memo_entries: int = MEMO_ENTRIES) -> Callable[[str], byte
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # in a corpus, such strings are ordinary text
-        if hasattr(tok.model, "_resize_cache"):
+        way = {SPACED_FORM: spaced, LOWERED_FORM: lowered}.get(form(path))
+        if way and hasattr(tok.model, "_resize_cache"):
             tok.model._resize_cache(0)  # the memo asks for every unit once
-        _encoders[path, memo_entries] = (spaced if tok.normalizer is None else lowered)(tok, memo_entries)
+        _encoders[path, memo_entries] = named(tok, way(tok, memo_entries)) if way else lambda text: direct(tok, text)
     return _encoders[path, memo_entries]
 
 
+def form(path: str) -> str:
+    """How a vocabulary cuts and merges texts: all of its file but the vocabulary itself, as text."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    merges = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges", "unk_token")}
+    odd = [t for t in told.get("added_tokens") or () if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    return json.dumps([told["normalizer"], told["pre_tokenizer"], merges, odd], sort_keys=True)
+
+
+def named(tok, encode: Callable[[str], bytes]) -> Callable[[str], bytes]:
+    """Texts that name one of the vocabulary's added tokens go through the library whole: the name is that token's id."""
+    names = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return lambda text: direct(tok, text) if any(n in text for n in names) else encode(text)
+
+
 def direct(tok, text: str) -> bytes:
     return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 

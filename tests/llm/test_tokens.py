@@ -4,17 +4,16 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from listing_lake.llm import bitplane
+from listing_lake.llm import bitplane, tokens
 from listing_lake.llm.queries import vocabulary
 from listing_lake.llm.tokens import encoder
 
-ODD = ["", " ", "  a", "a \n b", "a   b", "it's  we'll\n\n\nx", "\ta\t", "<|endoftext|> a", "é́ ﬁ Ａ", "日本 語", "a\x1fb  c", "x" * 300]
+ODD = ["", " ", "  a", "a \n b", "a   b", "it's  we'll\n\n\nx", "\ta\t", "<|endoftext|> a", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endof text|>", "a\xa0<|endoftext|>", "é́ ﬁ Ａ", "日本 語", "a\x1fb  c", "x" * 300]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_gives_the_tokenizers_ids(name):
     tok = Tokenizer.from_file(vocabulary(name))
-    tok.encode_special_tokens = True
     rng = random.Random(5)
     bits = ["a", "the", "\'s", "\'", "!", " ", "  ", "\n", "\t", "é", "12", " ", " ", "　", "ß", "Σ", "́", "İ", "\x1f"]
     texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(800)]
@@ -24,6 +23,20 @@ def test_memo_gives_the_tokenizers_ids(name):
         assert np.frombuffer(encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_other_forms_go_through_the_library(tmp_path):
+    """A vocabulary that cuts texts in another way has its own ids, not those of a form that looks alike."""
+    from tokenizers import models, pre_tokenizers
+
+    letters = {c: i for i, c in enumerate("▁abc")} | {"ab": 4, "▁ab": 5}
+    tok = Tokenizer(models.BPE(letters, [("a", "b"), ("▁", "ab")]))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace()
+    tok.save(str(tmp_path / "other.json"))
+    for text in ("abc ab", "", "ab  c"):
+        assert np.frombuffer(encoder(str(tmp_path / "other.json"))(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    forms = {tokens.form(vocabulary(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+    assert forms == {tokens.SPACED_FORM, tokens.LOWERED_FORM}
+
+
 @pytest.mark.parametrize("bits", [True, False])
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 65, 1000])
 def test_planes_round_trip(n, bits):
