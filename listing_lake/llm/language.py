@@ -2,8 +2,9 @@
 machines between the languages of that family.
 
 Features are hashed character n-grams (one to three characters; letters in lower case, everything else as a space), each by
-its share of the text. Every machine learns from a sample of about ``per_lang`` labelled texts of each language (those whose
-id hashes under that share of all; a family's machine from about 16 times as many in all), in a task of its own, and comes back as one vector of ``2**bits`` weights. Languages
+its share of the text. Every machine learns from a sample of at most ``per_lang`` labelled ids of each language, one text each
+(those whose id hashes under that share of all; a family's machine from about 16 times as many in all), in a task of its own,
+and comes back as one vector of ``2**bits`` weights. Of rows that repeat an id and language, the least text counts. Languages
 outside ``FAMILIES`` are families of their own, so any set of labels works.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything when nothing is labelled. The score is the
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from listing_lake.llm.common import crc_mod
 from listing_lake.llm.textvec import blocks, kinds, lowered
@@ -84,6 +86,10 @@ def train(labelled: DataFrame, *, bits: int = 12, per_lang: int = 400, steps: in
     for lang in langs:
         share = share.when(F.col("_lang") == lang, F.lit(min(ring, per_lang * ring // counts[lang])))
     picked = labelled.filter(F.pmod(F.xxhash64("_id"), F.lit(ring)) < share)
+    # one text for each id, and no more than ``per_lang`` ids of a language: those of least hash
+    picked = picked.groupBy("_lang", "_id").agg(F.min("_text").alias("_text"))
+    first = W.partitionBy("_lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(ring)), "_id")
+    picked = picked.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang).drop("_n")
     of: dict[str, list[str]] = {}
     for lang in langs:
         of.setdefault(family(lang), []).append(lang)

@@ -131,6 +131,51 @@ def test_language(spark):
     assert alone.collect() == []
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """A language whose rows share one id gives one text; another gives no more than asked for."""
+    rows = [(7, f"hello the {i}", "en") for i in range(3000)] + [(i, f"bonjour le {i}", "fr") for i in range(100, 900)] + [(2, "hola", "es"), (3, "ciao", "it")]
+    labelled = spark.createDataFrame(rows, "_id long, _text string, _lang string")
+    sizes = spark.sparkContext.accumulator(0)
+    whole = language.machine
+
+    def machine(x, y, steps, penalty):
+        sizes.add(len(x))
+        return whole(x, y, steps, penalty)
+
+    monkeypatch.setattr(language, "machine", machine)
+    _, machines = language.train(labelled, per_lang=30, steps=2)
+    assert sizes.value <= len(machines) * (1 + 30 + 1 + 1)
+
+
+def test_votes_are_those_of_plain_loops(spark):
+    """Family, pairs and votes of given machines, one text and n-gram after the other."""
+    rng = np.random.default_rng(11)
+    langs, bits = ["de", "en", "es", "fr", "it", "pt"], 8
+    of = {}
+    for x in langs:
+        of.setdefault(language.family(x), []).append(x)
+    names = [f"family {f}" for f in of] + [f"pair {a!r} {b!r}" for some in of.values() for a, b in itertools.combinations(some, 2)]
+    machines = {n: rng.normal(size=(1 << bits) + 1) * 20 for n in names}
+    texts = ["Hello there", "ça va bien", "x", "der die das und " * 30, "uno due tre", "12 !", None, "a\nb c"]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (langs, machines), bits=bits).collect()
+    for r in got:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        places = np.concatenate([place for _, place in language.grams([r.text], bits)])
+        sure = {n: 1 / (1 + np.exp(-4 * np.clip(w[places].mean() + w[-1], -8, 8))) for n, w in machines.items()}
+        chance = {f: sure[f"family {f}"] / sum(sure[f"family {g}"] for g in of) for f in of}
+        best = max(of, key=chance.get)
+        votes = {x: [0, 0.0] for x in of[best]}
+        for a, b in itertools.combinations(of[best], 2):
+            p = sure[f"pair {a!r} {b!r}"]
+            for x, q in ((a, p), (b, 1 - p)):
+                votes[x] = [votes[x][0] + (q > 0.5), votes[x][1] + q / (len(of[best]) - 1)]
+        want = max(of[best], key=lambda x: votes[x][0] + votes[x][1] / 2)
+        share = votes[want][1] if len(of[best]) > 1 else 1
+        assert r.lang_pred == want and np.isclose(r.score, chance[best] * share)
+
+
 @pytest.mark.parametrize("langs", [["en", "fr"], ["en", "fr", "es"], ["en"]])
 def test_families_of_one_language_are_predicted(spark, langs):
     docs = table(spark, SF, "documents").filter(F.col("lang").isin(langs))
