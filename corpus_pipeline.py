@@ -8,7 +8,7 @@ for ``lang`` where that was null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,37 +20,46 @@ from listing_lake.llm.queries import vocabulary
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def rowed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Rows as one struct ``_row``, beside the columns that an operator reads: no name of another column can clash."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
+
+
+def unrowed(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them new."""
+    return rows.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no language (null, or without a letter) and texts whose language is a guess."""
     model = language.learned(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    told = language.predict(docs.withColumnRenamed("lang", "_lang"), model)
+    told = language.predict(rowed(docs, "text"), model)
     kept = told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return kept.withColumn("lang", F.coalesce("_lang", "lang_pred")).select(*docs.columns)
+    return unrowed(kept, docs, lang=F.coalesce("_row.lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class: a row of the id that names the class. Where rows of the class repeat that id, or have no
     id at all, the one whose content has the least hash stays, of rows alike in all columns one."""
-    there = [F.col(c).isNull() for c in docs.columns]  # hashes skip nulls
     keys = ("_key", "_key2")
-    keyed = docs.withColumns({k: F.xxhash64(F.lit(n), *there, *docs.columns) for n, k in enumerate(keys)})
-    kept = simhash.one_of_each(keyed, keys)
+    keyed = rowed(docs).withColumns({k: F.xxhash64(F.lit(n), "_row", *(F.col(f"_row.{c}").isNull() for c in docs.columns)) for n, k in enumerate(keys)})
+    kept = simhash.one_of_each(keyed, keys, id_col="_row.doc_id", text_col="_row.text")
     # copies alike in all columns go before the join, in the tasks that read them
     single = keyed.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_key"))).filter("_n = 1")
-    return single.join(kept, list(keys)).select(*docs.columns)
+    return single.join(kept, list(keys)).select("_row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return decontaminate.match(docs, table(spark, sf_dir, "benchmark"), leaks_col="_leaks").filter(F.size("_leaks") == 0).select(*docs.columns)
+    found = decontaminate.match(rowed(docs, "text"), table(spark, sf_dir, "benchmark"), leaks_col="_leaks")
+    return found.filter(F.size("_leaks") == 0).select("_row.*")
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret span; ``n_chars`` follows the text where it changes."""
-    docs = docs.withColumn("_before", F.length("text"))
-    masked = secret_scan.redact(docs)
-    length = F.when(F.length("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return masked.withColumn("n_chars", length).drop("_before")
+    masked = secret_scan.redact(rowed(docs, "text", "source", "doc_id"))
+    length = F.when(F.length("text") == F.length("_row.text"), F.col("_row.n_chars")).otherwise(F.length("text").cast("long"))
+    return unrowed(masked, docs, text=F.col("text"), n_chars=length)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read again. Workers get a thousand texts at a
-    time: a batch of whole texts is the largest thing in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

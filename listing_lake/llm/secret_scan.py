@@ -114,17 +114,18 @@ def redact(
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.col(text_col).substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.col("_text").substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         more = F.when(fresh, F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
     def finish(acc: Column) -> Column:
-        rest = F.col(text_col).substr((acc["at"] + 1).cast("int"), F.lit(2147483647))
+        rest = F.col("_text").substr((acc["at"] + 1).cast("int"), F.lit(2147483647))
         return F.concat(F.array_join(acc["out"], ""), rest)
 
-    both = marked(docs, text_col=text_col, owner=F.col(owner_col), repo=F.col(repo_col), max_owners=max_owners, max_repos=max_repos, keep=tuple(docs.columns))
-    masked = F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(F.aggregate("_spans", start, step, finish))
-    return both.withColumn(text_col, masked).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))  # so no column's name can clash
+    both = marked(rows, text_col="_text", owner=F.col(f"_row.{owner_col}"), repo=F.col(f"_row.{repo_col}"), max_owners=max_owners, max_repos=max_repos, keep=("_row", "_text"))
+    masked = F.when(F.size("_spans") == 0, F.col("_text")).otherwise(F.aggregate("_spans", start, step, finish))
+    return both.select(*(masked.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:

@@ -43,10 +43,15 @@ def test_ownership_separates_copied_from_live(spark):
     assert text[100] == "x [secret] y [secret]" and text[0] == "see [secret]" and text[101] == rows[-3][1]
 
 
+CLASHING = ("_base", "_more", "_spans", "_key", "_live", "_owner", "_repo", "_row", "_text", "hash")
+
+
 def test_rows_are_masked_by_their_own_spans(spark):
     rows = [(1, "token=abcdefgh12 more text here", "a"), (1, "other words token=zzzzyyyyxxxx", None), (None, "password: hunter2hunter2 x", None), (None, "plain words only", "b"), (2, None, "a"), (1, "no secret here", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'clash' AS _spans")
-    got = sorted(((r.doc_id, r.text, r.source) for r in secret_scan.redact(docs.drop("_spans")).collect()), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"'{c}' AS {c}" for c in CLASHING))
+    found = secret_scan.redact(docs)
+    assert found.columns == docs.columns and all(r[c] == c for r in found.collect() for c in CLASHING)
+    got = sorted(((r.doc_id, r.text, r.source) for r in found.collect()), key=str)
     want = [(1, "[secret] more text here", "a"), (1, "other words [secret]", None), (None, "[secret] x", None), (None, "plain words only", "b"), (2, None, "a"), (1, "no secret here", "c")]
     assert got == sorted(want, key=str)
 

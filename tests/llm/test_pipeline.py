@@ -4,6 +4,7 @@ import corpus_pipeline
 from listing_lake.llm.common import table
 
 SF = "/root/testdata/sf0.01"
+CLASHING = ("_lang", "lang_pred", "score", "_n", "_key", "_key2", "_row", "_leaks", "_base", "_spans", "_text", "fp", "first", "root", "_a", "_before")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -15,13 +16,14 @@ def test_stages(spark):
         (10**6, None, "en", "s", 0), (10**6 + 1, "12 !!", "en", "s", 5), (10**6 + 2, clean, "en", None, 1), (10**6 + 3, f"pre {item} post", None, "s", 2),
         (10**6 + 4, "Die und der ungeheitlich schverbeung. token=abcdefgh12345 enheitkeit", "de", "s", 68), (10**6 + 4, "Die und der ungeheitlich schverbeung. token=abcdefgh12345 enheitkeit", "de", "s", 68),
     ]
-    docs = docs.unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(3)
+    docs = docs.unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(3).selectExpr("*", *(f"'{c}' AS {c}" for c in CLASHING))
     at = docs
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = corpus_pipeline.written(stage(spark, at, SF), "test")
         assert at.columns == docs.columns
         seen[name] = {r.doc_id: r for r in at.collect()}
+        assert all(r[c] == c for r in seen[name].values() for c in CLASHING)
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert ids - seen["language_id"].keys() == {10**6, 10**6 + 1}
     first = seen["near_dedup"].keys()
@@ -37,7 +39,9 @@ def test_stages(spark):
 def test_nothing_in_nothing_out(spark):
     assert corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
     assert corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+    assert corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
     assert corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
+    assert corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame([], SCHEMA), SF).collect() == []
 
 
 def test_near_dedup_keeps_one_row_of_each_class(spark):
