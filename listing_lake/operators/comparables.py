@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from listing_lake.operators.shared import across, in_shares, share_window
+
 
 def position(price: Column, floor: Column, median: Column, spread: Column) -> Column:
     return (
@@ -41,21 +43,32 @@ def excluding_own_price(df: DataFrame, keys: list[str], price: str) -> DataFrame
 
 
 def histogram_without_own(hist: DataFrame, keys: list[str], price: str) -> DataFrame:
-    by = W.partitionBy(*keys).orderBy("p")
-    hist = hist.withColumns(
-        {
-            "upto": F.sum("c").over(by.rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(W.partitionBy(*keys)),
-            "first": F.min("p").over(W.partitionBy(*keys)), "last": F.max("p").over(W.partitionBy(*keys)), "next": F.lead("p").over(by), "prior": F.lag("p").over(by),
-        }
+    """A group's prices lie in shares of bounded size (:mod:`shared`), each summed on its own; what a row needs of the rest of its
+    group are sums, ends and neighbours of the shares before and behind."""
+    group, asc = F.struct(*keys), W.unboundedPreceding
+    rows = in_shares(hist, group, [F.col("p")], "price-histogram")
+    over = {
+        "before": ("before", F.sum("held")), "n": ("all", F.sum("held")), "first": ("all", F.min("low")), "last": ("all", F.max("high")),
+        "behind": ("behind", F.min("low")), "below": ("before", F.max("high")),
+    }
+    shares = across(rows, {"held": F.sum("c"), "low": F.min("p"), "high": F.max("p")}, over)
+    by = share_window()
+    rows = rows.withColumns({"here": F.sum("c").over(by.rowsBetween(asc, 0)), "lead": F.lead("p").over(by), "lag": F.lag("p").over(by)})
+    hist = rows.join(shares, ["_group", "_part"]).withColumns(
+        {"upto": F.col("here") + F.coalesce("before", F.lit(0)), "next": F.coalesce("lead", "behind"), "prior": F.coalesce("lag", "below")}
     ).withColumns({"b": F.col("upto") - F.col("c"), "m": F.col("n") - F.col("c")})
     rank = lambda k: F.when(k <= F.col("b"), k).otherwise(k + F.col("c"))
     asked = F.explode(F.array(rank(F.floor((F.col("m") - 1) / 2) + 1), rank(F.floor(F.col("m") / 2) + 1))).alias("at")
-    queries = hist.filter("m > 0").select(*keys, "p", asked, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("held"))
-    upper = hist.select(*keys, F.lit(None).cast("double").alias("p"), F.col("upto").alias("at"), F.lit(1).alias("kind"), F.col("p").cast("double").alias("held"))
-    after = W.partitionBy(*keys).orderBy("at", "kind").rowsBetween(0, W.unboundedFollowing)
-    found = queries.unionByName(upper).withColumn("held", F.first("held", ignorenulls=True).over(after)).filter("kind = 0")
-    middle = found.groupBy(*keys, "p").agg(F.avg("held").alias("median"))
-    out = hist.join(middle, [*keys, "p"], "left")
+    queries = hist.filter("m > 0").select("_group", "p", asked, F.lit(0).alias("kind"), F.lit(None).cast("double").alias("held"))
+    upper = hist.select("_group", F.lit(None).cast("double").alias("p"), F.col("upto").alias("at"), F.lit(1).alias("kind"), F.col("p").cast("double").alias("held"))
+    both = queries.unionByName(upper)
+    both = in_shares(both.withColumnRenamed("_group", "g"), F.col("g"), [F.col("at"), F.col("kind")], "price-ranks")
+    # prices rise with their upper ranks: the next one is the least that is still to come
+    far = across(both, {"least": F.min("held")}, {"far": ("behind", F.min("least"))})
+    both = both.withColumn("held", F.min("held").over(share_window().rowsBetween(0, W.unboundedFollowing))).filter("kind = 0")
+    found = both.join(far, ["_group", "_part"]).withColumn("held", F.coalesce("held", "far"))
+    middle = found.groupBy("_group", "p").agg(F.avg("held").alias("median"))
+    out = hist.join(middle, ["_group", "p"], "left")
     floor, most = F.when(F.col("b") > 0, F.col("first")).otherwise(F.col("next")), F.when(F.col("upto") < F.col("n"), F.col("last")).otherwise(F.col("prior"))
     none = F.col("m") == 0
     return out.select(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from listing_lake.functions import listing as L
+from listing_lake.operators.shared import with_running
 
 
 def event_key(*columns: str) -> Column:
@@ -102,16 +102,15 @@ def layer_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
 def even_sample(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """At most n rows of each key, at evenly spaced places of their order, first and last included.
 
-    Places come from counts per key and value of the first order column, and only values at a wanted place send rows on to be
-    ranked; so of a hot key a task sorts its distinct first values, and whole rows only where they tie in one of these."""
+    Values of the first order column are counted for each key and summed up in shares of bounded size (:mod:`shared`). Only values
+    at a wanted place send rows on to be ranked, again in shares, so neither a hot key nor a hot value is in one task."""
     first, *rest = order
     value = F.struct(F.col(key).alias("k"), F.col(first).alias("v"))  # nulls inside a struct meet in groups and joins
-    by = W.partitionBy("_value.k")
     counts = df.groupBy(value.alias("_value")).agg(F.count("*").alias("_c"))
-    counts = counts.withColumns({"_upto": F.sum("_c").over(by.orderBy("_value.v").rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_c").over(by)})
+    counts = with_running(counts, F.struct("_value.k"), [F.col("_value.v")], "_c", "even-values")
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.round(i / max(1, n - 1) * (F.col("_n") - 1)).cast("long"))
     places = F.array_distinct(F.filter(places, lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))))
-    wanted = counts.select("_value", (F.col("_upto") - F.col("_c")).alias("_before"), places.alias("_places")).filter(F.size("_places") > 0)
-    rank = F.row_number().over(W.partitionBy("_value").orderBy(*(rest or order))) - 1 + F.col("_before")
-    out = df.withColumn("_value", value).join(wanted, "_value").withColumn("_rank", rank)
-    return out.filter(F.array_contains("_places", F.col("_rank"))).select(*df.columns)
+    wanted = counts.select("_value", (F.col("_upto") - F.col("_c")).alias("_below"), places.alias("_places")).filter(F.size("_places") > 0)
+    out = df.withColumn("_value", value).join(wanted, "_value").withColumn("_one", F.lit(1))
+    out = with_running(out, F.col("_value"), [F.col(c) for c in (rest or order)], "_one", "even-ties")
+    return out.filter(F.array_contains("_places", F.col("_upto") - 1 + F.col("_below"))).select(*df.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from listing_lake.operators.shared import with_running
+
 SIGNALS = ("has_life", "has_resist", "has_spell_damage", "has_cast_speed", "has_spell_crit", "has_suppress")
 
 
@@ -107,20 +109,28 @@ def temporal_split(df: DataFrame, keys: list[str], time: str, tie: list[str], te
     """Adds ``part`` (train or test) per group: the earliest int(n * (1 - test_size)) rows train, at least one on each side,
     where at least two times and 80 % of them can be read (rows without a time are then dropped); else a seeded split.
 
-    Ranks come from counts per group and instant, so a group of any size is a few rows per instant, and only ties share a
-    task."""
+    Instants of a group are counted and summed up in shares of bounded size (:mod:`shared`). The last instant of the training part is
+    then known for each group; rows of other instants are told by their time alone, and only rows of that instant are ranked,
+    again in shares. So neither the instants of a group nor the ties of one are in one task."""
     good = F.col(time).isNotNull()
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"), F.sum(good.cast("long")).alias("_n"))
-    sizes = sizes.withColumn("_timed", (F.col("_n") >= 2) & (F.col("_n") >= 0.8 * F.col("_rows")))
-    sizes = sizes.withColumn("_cut", F.least(F.greatest(F.floor(F.round(F.col("_n") * (1 - test_size), 9)), F.lit(1)), F.col("_n") - 1))
-    instants = df.filter(good).groupBy(*keys, time).agg(F.count("*").alias("_c"))
-    before = W.partitionBy(*keys).orderBy(time).rowsBetween(W.unboundedPreceding, -1)
-    instants = instants.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    out = df.join(sizes, keys).join(instants, [*keys, time], "left")
-    rank = F.row_number().over(W.partitionBy(*keys, time).orderBy(*tie)) + F.col("_before")
+    group = F.struct(*keys)  # nulls inside a struct meet in groups and joins
+    df = df.withColumn("_g", group)
+    sizes = df.groupBy("_g").agg(F.count("*").alias("_rows"), F.sum(good.cast("long")).alias("_timed"))
+    sizes = sizes.withColumn("_by_time", (F.col("_timed") >= 2) & (F.col("_timed") >= 0.8 * F.col("_rows")))
+    sizes = sizes.withColumn("_cut", F.least(F.greatest(F.floor(F.round(F.col("_timed") * (1 - test_size), 9)), F.lit(1)), F.col("_timed") - 1))
+    instants = df.filter(good).groupBy("_g", F.col(time).alias("_t")).agg(F.count("*").alias("_c"))
+    summed = with_running(instants, F.col("_g"), [F.col("_t")], "_c", "split-instants").select("_g", "_t", "_c", "_upto")
+    edge = summed.join(sizes, "_g").filter((F.col("_upto") >= F.col("_cut")) & (F.col("_upto") - F.col("_c") < F.col("_cut")))
+    # so many of the rows at the edge's instant still train
+    sizes = sizes.join(edge.select("_g", F.col("_t").alias("_edge"), (F.col("_cut") - (F.col("_upto") - F.col("_c"))).alias("_room")), "_g", "left")
+    out = df.join(sizes, "_g").filter(~F.col("_by_time") | good)
+    at_edge = F.coalesce(F.col("_by_time") & (F.col(time) == F.col("_edge")), F.lit(False))
+    ties = with_running(out.filter(at_edge).withColumn("_one", F.lit(1)), F.col("_g"), [F.col(c) for c in tie], "_one", "split-ties")
+    ties = ties.withColumn("part", F.when(F.col("_upto") <= F.col("_room"), "train").otherwise("test"))
     chance = F.pmod(F.xxhash64(*tie, F.lit(seed)), F.lit(1000)) < int(1000 * (1 - test_size))
-    part = F.when(F.when(F.col("_timed"), F.col("_rank") <= F.col("_cut")).otherwise(chance), "train").otherwise("test")
-    return out.withColumn("_rank", rank).filter(~F.col("_timed") | good).withColumn("part", part).drop("_rows", "_n", "_timed", "_cut", "_before", "_rank")
+    clear = out.filter(~at_edge).withColumn("part", F.when(F.when(F.col("_by_time"), F.col(time) < F.col("_edge")).otherwise(chance), "train").otherwise("test"))
+    names = [c for c in df.columns if c != "_g"]
+    return clear.select(*names, "part").unionByName(ties.select(*names, "part"))
 
 
 def feature_overlap(train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:

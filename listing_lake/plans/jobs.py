@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from listing_lake.operators import meta, observations, training, upkeep, valuation
+from listing_lake.operators.shared import folder, written
 from listing_lake.plans.driver_tables import AS_OF, LISTINGS, TIE, items, listings, table
 from listing_lake.streaming import intake
 
@@ -65,27 +64,12 @@ def bucket_rmse(spark, d):
     return training.bucket_rmse(_baseline(spark, d), "price_chaos", "predicted_value").select(*(F.round(c, 4).alias(c) for c in ("rmse_low", "rmse_mid", "rmse_high")))
 
 
-def _shared(spark, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; one of our own only on one machine, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir is not set")
-    base = base or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/listing_lake/{label}-{uuid.uuid4().hex}"
-
-
-def _written(df, label: str):
-    path = _shared(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def family_models(spark, d, depth: int = 3, rounds: int = 5, rate: float = 0.2):
     """Boosted trees for every family and each of its level bands; groups too small to fit are rows of their own. Trees are
     fewer and smaller than the operator's default, as a check fits up to twenty models."""
     split = training.temporal_split(_training_set(spark, d), ["item_family"], "listed_at", list(TIE))
     names = sorted({n for some in valuation.FAMILY_FEATURES.values() for n in some})
-    split = _written(split.select("item_family", "ilvl_band", "part", "price_chaos", *names), "training")  # read by every fit
+    split = written(split.select("item_family", "ilvl_band", "part", "price_chaos", *names), "training")  # read by every fit
     told = []
     for family, names in valuation.FAMILY_FEATURES.items():
         fam = F.col("item_family") == family
@@ -314,7 +298,7 @@ def _event_stream(spark, d):
 
 def stream_insert_once(spark, d):
     """A stream over the events' file, keyed insert, run to its end."""
-    base = _shared(spark, "stream")
+    base = folder(spark, "stream")
     events = intake.insert_once(_event_stream(spark, d), ["user_id", "event_type"], "ts", "400 days")
     intake.to_files(events, f"{base}/out", f"{base}/log")
     return spark.read.parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
@@ -322,7 +306,7 @@ def stream_insert_once(spark, d):
 
 def stream_ttl_dedupe(spark, d):
     """A stream over the events' file, de-duplicated by time to live, run to its end."""
-    base = _shared(spark, "stream")
+    base = folder(spark, "stream")
     events = intake.ttl_dedupe_stream(_event_stream(spark, d).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3600.0, "400 days")
     intake.to_files(events, f"{base}/out", f"{base}/log")
     return spark.read.parquet(f"{base}/out").withColumn("ts", F.col("ts").cast(table(spark, d, "events").schema["ts"].dataType))
