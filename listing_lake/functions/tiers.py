@@ -1,13 +1,12 @@
-"""Native tiers of an item payload: the one place where nested JSON of any shape has to be walked.
+"""Native tiers of an item payload: nested JSON of any shape and depth, walked in the row by column functions alone.
 
-Payloads that name no tier key go to Python as nulls; the rest go in Arrow batches, parsed once."""
+A payload is parsed once into a variant. A walk keeps the containers of one level and what the levels before gave; its number
+of steps is that of the opening brackets, which no depth exceeds. Payloads that name no tier key aren't parsed."""
 
 from __future__ import annotations
 
-import json
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,53 +18,67 @@ TOKENS = (
     ("SpellDamage", ("spell", "damage")), ("CastSpeed", ("cast speed",)), ("CastSpeed", ("casting speed",)), ("CritChanceSpells", ("critical", "spell")),
     ("Life", ("life",)), ("Resist", ("resist",)), ("SpellSuppress", ("suppress",)),
 )
-RANK = re.compile(r"(?:^|\b)(?:tier\s*)?(?:[pst])?\s*(\d+)(?:\b|$)", re.IGNORECASE)
+#: A number that stands alone or right behind one of three letters or the word, and isn't the beginning of a longer word.
+NUMBERED = r"(?iU)(?<!\w)(?:tier)?[pst]?([0-9]+)(?!\w)"
+MOST_STEPS = 1000
+FOUND = "array<struct<text:string,rank:int>>"
 
 
-def rank_of(value: object) -> int | None:
+def rank_of(value: Column) -> Column:
     """A positive tier from a number or from text such as ``T1``; null for anything else."""
-    if isinstance(value, str):
-        found = RANK.search(value.strip())
-        value = int(found.group(1)) if found else 0
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or abs(value) == float("inf"):
-        return None
-    return int(value) if value >= 1 else None
-
-
-def walk(payload: str | None) -> dict:
-    """``tiers`` (token to best tier) and ``count`` of tiered objects, wherever they are nested. Bad JSON has none."""
-    tiers: dict[str, int] = {}
-    count = 0
-    try:
-        doc = json.loads(payload or "null")
-    except ValueError:
-        doc = None
-    todo = [doc[k] for k in ROOTS if k in doc] if isinstance(doc, dict) else []
-    while todo:
-        at = todo.pop()
-        if isinstance(at, list):
-            todo += at
-        elif isinstance(at, dict):
-            todo += at.values()
-            rank = next((r for k in TIER_KEYS if k in at and (r := rank_of(at[k])) is not None), None)
-            if rank is not None:
-                count += 1
-                text = " ".join(str(at.get(k, "")) for k in TEXT_KEYS).lower()
-                for token, words in TOKENS:
-                    if all(w in text for w in words):
-                        tiers[token] = min(rank, tiers.get(token, rank))
-    return {"tiers": tiers, "count": count}
+    kind = F.schema_of_variant(value)
+    text = F.regexp_extract(F.try_variant_get(value, "$", "string"), NUMBERED, 1)
+    number = F.when(kind == "STRING", F.when(text != "", text).try_cast("double"))
+    number = number.when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
+    return F.when((number >= 1) & (number < 2**31), F.floor(number).cast("int"))
 
 
-def native_tiers(payload: Column) -> Column:
-    """struct<tiers map<string,int>, count int> of a payload."""
-    kind = "names array<string>, ranks array<int>, count int"
+def object_of(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def inside(value: Column) -> Column:
+    """The values of an object or an array, or none."""
+    values = F.coalesce(F.map_values(object_of(value)), F.try_variant_get(value, "$", "array<variant>"))
+    return F.coalesce(values, F.array().cast("array<variant>"))
+
+
+def tiered(value: Column) -> Column:
+    """An object's text and tier, in an array; empty where it has no tier."""
+    entry = object_of(value)
+    rank = F.coalesce(*(rank_of(F.try_element_at(entry, F.lit(k))) for k in TIER_KEYS))
+    words = (F.coalesce(F.try_variant_get(F.try_element_at(entry, F.lit(k)), "$", "string"), F.lit("")) for k in TEXT_KEYS)
+    one = F.struct(F.lower(F.concat_ws(" ", *words)).alias("text"), rank.alias("rank"))
+    return F.when(rank.isNotNull(), F.array(one)).otherwise(F.array().cast(FOUND))
+
+
+def all_tiered(payload: Column) -> Column:
+    """Text and tier of every object with a tier, however deep."""
+    doc = F.try_parse_json(payload)
+    roots = F.filter(F.array(*(F.try_variant_get(doc, f"$.{k}", "variant") for k in ROOTS)), lambda v: v.isNotNull())
+    start = F.struct(F.coalesce(roots, F.array().cast("array<variant>")).alias("level"), F.array().cast(FOUND).alias("found"))
+    steps = F.least(F.length(F.regexp_replace(payload, r"[^\[{]", "")), F.lit(MOST_STEPS))  # the parser reads no deeper
 
-    def batch(texts: pd.Series) -> pd.DataFrame:
-        found = [walk(t) for t in texts]
-        return pd.DataFrame({"names": [list(f["tiers"]) for f in found], "ranks": [list(f["tiers"].values()) for f in found], "count": [f["count"] for f in found]})
+    def step(acc: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(acc["level"], inside)).alias("level")
+        return F.struct(level, F.concat(acc["found"], F.flatten(F.transform(acc["level"], tiered))).alias("found"))
 
-    none = F.struct(F.create_map().cast("map<string,int>").alias("tiers"), F.lit(0).alias("count"))
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda acc: acc["found"])
+
+
+def native_tiers(payload: Column) -> Column:
+    """struct<tiers map<string,int>, count int> of a payload: the best tier of each token, and how many objects have a tier.
+    Null, bad and deeper JSON than the parser reads (a thousand levels) has none."""
     hit = F.coalesce(payload.rlike('"(' + "|".join(TIER_KEYS) + ')"'), F.lit(False))
-    told = F.pandas_udf(batch, kind)(F.when(hit, payload))
-    return F.when(hit, F.struct(F.map_from_arrays(told["names"], told["ranks"]).alias("tiers"), told["count"].alias("count"))).otherwise(none)
+    found = F.coalesce(F.when(hit, all_tiered(payload)), F.array().cast(FOUND))
+
+    def best(token: str, every: Column) -> Column:
+        ways = [words for name, words in TOKENS if name == token]
+        named = lambda x: reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (x["text"].contains(w) for w in words)) for words in ways))
+        return F.struct(F.lit(token).alias("key"), F.array_min(F.transform(F.filter(every, named), lambda x: x["rank"])).alias("value"))
+
+    def told(every: Column) -> Column:
+        entries = F.filter(F.array(*(best(t, every) for t in dict(TOKENS))), lambda e: e["value"].isNotNull())
+        return F.struct(F.map_from_entries(entries).alias("tiers"), F.size(every).alias("count"))
+
+    return F.transform(F.array(found), told)[0]  # so that the walk is done once

@@ -77,7 +77,8 @@ def exit_estimates(df: DataFrame, budget: float, six_link_cost: float = SIX_LINK
 
 
 def plan_confidence(df: DataFrame, budget: float) -> DataFrame:
-    """Adds ``base_confidence``, ``craft_confidence``, ``exit_confidence`` and ``plan_confidence``, and ``trusted_profit_of_plan``."""
+    """Adds ``base_confidence``, ``craft_confidence``, ``exit_confidence`` and ``plan_confidence``, and ``trusted_profit_of_plan``. An exit
+    value of the fallback (``model_source``) is trusted less than a model's."""
     linking = c("exit.link_cost") > 0
     odd = c("low_ilvl_context") & ~c("twink_override")
     base = c("confidence") * 0.55 + c("target_confidence") * 0.2 + F.when(c("pricing_position") == "below_floor", 0.15).otherwise(0.0)
@@ -85,7 +86,8 @@ def plan_confidence(df: DataFrame, budget: float) -> DataFrame:
     more = linking.cast("int")
     craft = (total("probability") + more) / F.greatest(F.size("steps") + more, F.lit(1)) - (total("brick_risk") + more * 0.05) * 0.08
     craft = clamp(craft - F.when(linking & (c("exit.link_cost") > budget * 0.75), 0.12).otherwise(0.0), 0.0, 0.9)
-    end = L.lookup(EVIDENCE, c("exit.strength")) + c("oracle_confidence") * 0.18 - F.when(c("exit.n") < 2, 0.12).otherwise(0.0) - 0.08
+    end = L.lookup(EVIDENCE, c("exit.strength")) + c("oracle_confidence") * 0.18 - F.when(c("exit.n") < 2, 0.12).otherwise(0.0)
+    end = end - F.when(c("model_source") == "family_fallback", 0.08).otherwise(0.0)
     end = clamp(end - F.when(c("exit.position") == "outlier", 0.12).otherwise(0.0) - F.when(linking, 0.08).otherwise(0.0), 0.0, 0.9)
     whole = clamp(base * WEIGHTS[0] + craft * WEIGHTS[1] + end * WEIGHTS[2], 0.0, MOST)
     named = {"base_confidence": base, "craft_confidence": craft, "exit_confidence": end, "plan_confidence": whole}
@@ -104,6 +106,6 @@ def plan_gates(df: DataFrame, budget: float, six_link_cost: float = SIX_LINK_COS
         (body & (c("link_count") < 6) & F.lit(six_link_cost > budget) & (c("market_median") <= c("listed_price")), "insufficient_budget_for_linking"),
         (c("exit").isNull(), "no_exit"), (c("plan_cost") > budget, "over_budget"), (c("expected_profit") <= 0, "non_profitable_plan"),
         (c("craft_confidence") <= 0, "craft_ineligible"), (c("plan_confidence") < 0.45, "confidence_too_low"),
-        ((c("exit.n") < 2) & ~(linking & (c("exit.floor") > 0)), "fallback_exit_low_evidence"), ((c("exit.position") == "outlier") & (c("exit.n") < 3), "exit_outlier_low_evidence"),
+        ((c("model_source") == "family_fallback") & (c("exit.n") < 2) & ~(linking & (c("exit.floor") > 0)), "fallback_exit_low_evidence"), ((c("exit.position") == "outlier") & (c("exit.n") < 3), "exit_outlier_low_evidence"),
     )
     return df.withColumn("plan_reasons", F.array_compact(F.array(*(F.when(rule, name) for rule, name in rules))))

@@ -43,7 +43,7 @@ def meta_utility(items: DataFrame, scores: DataFrame, tags: str, how: str = "mea
     """Mean, greatest or (capped at 1) summed score of an item's scored tags; 0 where none is. Only distinct tag sets are
     exploded."""
     sets = items.select(F.array_sort(F.array_distinct(tags)).alias("_set")).distinct()
-    each = sets.select("_set", F.explode("_set").alias("tag")).join(F.broadcast(scores.filter("score > 0").select("tag", "score")), "tag")
+    each = sets.select("_set", F.explode("_set").alias("tag")).join(scores.filter("score > 0").select("tag", "score"), "tag")
     agg = {"mean": F.avg("score"), "max": F.max("score"), "sum": F.least(F.avg("score"), F.lit(1.0))}[how]
     found = each.groupBy("_set").agg(F.round(agg, 3).alias("meta_utility_score"))
     out = items.withColumn("_set", F.array_sort(F.array_distinct(tags))).join(found, "_set", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
+from listing_lake.operators import meta
 
 # Token weights, base values and synergies by family, weights of numeric features.
 TOKEN_WEIGHTS = {
@@ -86,11 +87,15 @@ def influenced() -> Column:
     return F.col("fractured") | (F.size("influences") > 0)
 
 
-def features(silver: DataFrame) -> DataFrame:
-    """Adds the gold feature columns, all doubles."""
+def features(silver: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Adds the gold feature columns, all doubles. ``scores`` (tag, score) give each item the mean score of its tags; without
+    them that is 0."""
+    if scores is not None:
+        silver = meta.meta_utility(silver.drop("meta_utility_score"), scores, "tag_tokens")
+    utility = F.lit(0.0) if scores is None else F.col("meta_utility_score")
     flags = {name: has(token).cast("double") for name, token in FLAGS.items()}
     return silver.withColumns(
-        flags | {"mod_count": F.size("mod_tokens").cast("double"), "open_affixes": (F.col("open_prefixes") + F.col("open_suffixes")).cast("double"), "is_influenced": influenced().cast("double"), "meta_utility_score": F.lit(0.0)}
+        flags | {"mod_count": F.size("mod_tokens").cast("double"), "open_affixes": (F.col("open_prefixes") + F.col("open_suffixes")).cast("double"), "is_influenced": influenced().cast("double"), "meta_utility_score": utility}
         | {c: F.col(f"numeric.{c}") for c in NUMERIC_WEIGHTS}
     )
 

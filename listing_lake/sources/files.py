@@ -89,10 +89,24 @@ def economy_rates(lists: list[DataFrame]) -> DataFrame:
     return out.groupBy("name").agg(F.max_by("chaos", F.struct("rank", "chaos")).alias("chaos"))
 
 
+REGISTRY = """families map<string,struct<active_version:string,versions:array<struct<run_id:string,model_path:string,model_sha256:string,status:string,created_at:string,
+  metrics:struct<rmse:double,baseline_rmse:double>>>>>, _corrupt string"""
+
+
+def _families(spark: SparkSession, path: str) -> DataFrame:
+    doc = spark.read.schema(REGISTRY).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return doc.filter("families IS NOT NULL").select(F.explode("families").alias("family", "v"))
+
+
 def registry_state(spark: SparkSession, path: str) -> DataFrame:
     """Active version per family from a registry document; nothing from a bad one."""
-    doc = spark.read.schema("families map<string,struct<active_version:string,versions:array<struct<run_id:string,status:string>>>>, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return doc.filter("families IS NOT NULL").select(F.explode("families").alias("family", "v")).select("family", "v.active_version", F.size("v.versions").alias("versions"))
+    return _families(spark, path).select("family", "v.active_version", F.size("v.versions").alias("versions"))
+
+
+def registry_versions(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each family and version of a registry document; nothing from a bad one."""
+    each = _families(spark, path).select("family", F.explode("v.versions").alias("x"))
+    return each.select("family", "x.run_id", "x.model_path", "x.model_sha256", "x.status", "x.created_at", "x.metrics.rmse", "x.metrics.baseline_rmse")
 
 
 def latest_snapshot(catalog: DataFrame, kind: str, date: str | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def insert_once(events: DataFrame, keys: list[str], time: str, delay: str = "1 d
 
 def offer_events(offers: DataFrame, rates: DataFrame) -> DataFrame:
     """Offers (id, indexed, league, amount, currency) as events with a price in chaos; those without any are left out."""
-    priced = offers.withColumn("name", L.rate_name(F.col("currency"))).join(F.broadcast(rates), "name", "left")
+    priced = offers.withColumn("name", L.rate_name(F.col("currency"))).join(rates, "name", "left")
     chaos = F.when(F.col("currency") == "chaos", F.col("amount")).otherwise(F.col("amount") * F.col("chaos"))
     return priced.withColumn("price_chaos", F.round(chaos, 2)).drop("name", "chaos").filter("item_id <> '' AND indexed IS NOT NULL AND price_chaos > 0")
 
