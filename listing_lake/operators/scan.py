@@ -143,11 +143,12 @@ def explanation() -> Column:
 
 def opportunities(valued: DataFrame, *, as_of: str, stale_hours: float, min_profit: float, min_price: float = 1.0) -> DataFrame:
     """All listings with scores and ``filter_reason``: the first stage that rejects, null for what passes. ``valued`` has
-    predictions and comparable stats. The base score uses the uncapped value; the market's part follows the cap."""
+    predictions and comparable stats, and may have ``whisper``: rows where that is blank can't be bought. The base score uses the uncapped value; the market's part follows the cap."""
     out = valued.withColumn("risk_flags", risk_flags(as_of, stale_hours))
     out = divergence_penalty(market_score(evidence_cap(base_scores(out))))
+    unoffered = F.coalesce(c("whisper"), F.lit("")) == "" if "whisper" in valued.columns else F.lit(False)
     early = (
-        F.when(c("listed_price").isNull(), "filtered_price_unknown").when((c("ilvl") < 75) & ~c("twink_override"), "filtered_ilvl").when(c("fractured_low_ilvl_brick"), "filtered_brick")
+        F.when(unoffered, "filtered_no_whisper").when(c("listed_price").isNull(), "filtered_price_unknown").when((c("ilvl") < 75) & ~c("twink_override"), "filtered_ilvl").when(c("fractured_low_ilvl_brick"), "filtered_brick")
         .when(c("listed_price") < min_price, "filtered_min_price").when(F.array_contains("risk_flags", "price_fix_suspected"), "filtered_price_fix")
     )
     agreed = consensus_reason()

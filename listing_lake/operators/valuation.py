@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
+from listing_lake.functions.tiers import native_tiers
 from listing_lake.operators import meta
 
 # Token weights, base values and synergies by family, weights of numeric features.
@@ -54,6 +55,38 @@ def by_family(values: dict, of) -> Column:
     return out.otherwise(of(values["generic"]))
 
 
+ITEM = """id string, baseType string, ilvl double, explicitMods array<string>, implicitMods array<string>, influences map<string,string>, fractured boolean, corrupted boolean,
+  accountName string, indexed string"""
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Listings of observed rows (``raw_item_json``, ``price_chaos``, and what else is known of price, seller and time): the item of the
+    payload with its defaults, and the listing around it. Rows whose payload is no object or an empty one are dropped, and so
+    are those whose ``whisper`` is blank, where rows have that column; without it the offer stands. The payload's native tiers
+    come along."""
+    there = set(rows.columns)
+    own = lambda name: F.col(name) if name in there else F.lit(None)
+    text = lambda *cs: F.coalesce(*(F.when(c.cast("string") != "", c.cast("string")) for c in cs))
+    payload = F.try_parse_json("raw_item_json")
+    rows = rows.withColumn("_item", F.when(F.schema_of_variant(payload).startswith("OBJECT<") & (F.schema_of_variant(payload) != "OBJECT<>"), F.from_json("raw_item_json", ITEM)))
+    good = F.col("_item").isNotNull()
+    if "whisper" in there:
+        good = good & (F.coalesce("whisper", F.lit("")) != "")
+    none, item = F.array().cast("array<string>"), lambda c: F.col(f"_item.{c}")
+    tiered = rows.filter(good).withColumn("_tiers", native_tiers(F.col("raw_item_json")))
+    price = F.coalesce(own("price_chaos").cast("double"), F.lit(0.0))
+    level = F.when(F.coalesce(item("ilvl"), F.lit(0.0)) != 0, item("ilvl")).otherwise(1).cast("int")
+    given = {
+        "item_id": text(own("item_id"), item("id")), "base_type": F.coalesce(item("baseType"), F.lit("Unknown Base")), "ilvl": level,
+        "explicit_mods": F.coalesce(item("explicitMods"), none), "implicit_mods": F.coalesce(item("implicitMods"), none), "influences": F.coalesce(F.array_sort(F.map_keys(item("influences"))), none),
+        "fractured": F.coalesce(item("fractured"), F.lit(False)), "corrupted": F.coalesce(item("corrupted"), F.lit(False)), "listed_price": L.rounded(price, 1),
+        "listing_currency": F.coalesce(text(own("price_currency")), F.lit("chaos")), "listing_amount": F.coalesce(F.nullif(own("price_amount").cast("double"), F.lit(0.0)), price),
+        "seller": F.coalesce(text(own("account_name"), item("accountName")), F.lit("")), "listed_at": text(own("indexed"), item("indexed")),
+        "native_tiers": F.col("_tiers.tiers"), "native_tier_count": F.col("_tiers.count"),
+    }
+    return tiered.withColumns(given).drop("_item", "_tiers")
+
+
 def normalize(items: DataFrame) -> DataFrame:
     """The silver projection: tokens, tags, family, affix counts and plausibility, row by row. ``native_tiers`` (map of
     token to best tier) is used where the input has it."""

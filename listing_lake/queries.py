@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listing_lake.plans import jobs, layers
+from listing_lake.plans import jobs, layers, payloads
 
-QUERIES = layers.QUERIES | jobs.QUERIES
-ORACLES = layers.ORACLES | jobs.ORACLES
+QUERIES = layers.QUERIES | jobs.QUERIES | payloads.QUERIES
+ORACLES = layers.ORACLES | jobs.ORACLES | payloads.ORACLES

@@ -34,19 +34,9 @@ def read_training_set(spark: SparkSession, path: str, features: list[str]) -> Da
     return df
 
 
-ITEM = "baseType string, ilvl int, explicitMods array<string>, implicitMods array<string>, influences map<string,string>, fractured boolean, corrupted boolean"
-
-
 def featurised(raw: DataFrame) -> DataFrame:
     """Gold features of raw rows; rows whose payload is no item, or whose price is not positive, are left out."""
-    none = F.array().cast("array<string>")
-    rows = raw.filter("price_chaos > 0").withColumn("_item", F.from_json("raw_item_json", ITEM)).filter("_item.baseType IS NOT NULL")
-    given = {
-        "base_type": F.col("_item.baseType"), "ilvl": F.coalesce("_item.ilvl", F.lit(0)), "explicit_mods": F.coalesce("_item.explicitMods", none),
-        "implicit_mods": F.coalesce("_item.implicitMods", none), "influences": F.coalesce(F.array_sort(F.map_keys("_item.influences")), none),
-        "fractured": F.coalesce("_item.fractured", F.lit(False)), "corrupted": F.coalesce("_item.corrupted", F.lit(False)),
-    }
-    return valuation.features(valuation.normalize(rows.withColumns(given).drop("_item")))
+    return valuation.features(valuation.normalize(valuation.listed(raw.filter("price_chaos > 0"))))
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
