@@ -21,13 +21,14 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 
 def rowed(docs: DataFrame, *columns: str) -> DataFrame:
-    """Rows as one struct ``_row``, beside the columns that an operator reads: no name of another column can clash."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
+    """The columns that an operator reads, and all others as one struct ``_row``: no name of another column can clash."""
+    return docs.select(F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in columns)).alias("_row"), *columns)
 
 
-def unrowed(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+def unrowed(rows: DataFrame, docs: DataFrame, *columns: str, **new: Column) -> DataFrame:
     """The columns of ``docs`` again, some of them new."""
-    return rows.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
+    old = lambda c: F.col(c if c in columns else f"_row.{c}")
+    return rows.select(*(new.get(c, old(c)).alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learned(docs, crc_mod(F.col("doc_id"), 4) != 2)
     told = language.predict(rowed(docs, "text"), model)
     kept = told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return unrowed(kept, docs, lang=F.coalesce("_row.lang", "lang_pred"))
+    return unrowed(kept, docs, "text", lang=F.coalesce("_row.lang", "lang_pred"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,20 +47,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = simhash.one_of_each(keyed, keys, id_col="_row.doc_id", text_col="_row.text")
     # copies alike in all columns go before the join, in the tasks that read them
     single = keyed.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_key"))).filter("_n = 1")
-    return single.join(kept, list(keys)).select("_row.*")
+    return unrowed(single.join(kept, list(keys)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     found = decontaminate.match(rowed(docs, "text"), table(spark, sf_dir, "benchmark"), leaks_col="_leaks")
-    return found.filter(F.size("_leaks") == 0).select("_row.*")
+    return unrowed(found.filter(F.size("_leaks") == 0), docs, "text")
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every secret span; ``n_chars`` follows the text where it changes."""
-    masked = secret_scan.redact(rowed(docs, "text", "source", "doc_id"))
-    length = F.when(F.length("text") == F.length("_row.text"), F.col("_row.n_chars")).otherwise(F.length("text").cast("long"))
-    return unrowed(masked, docs, text=F.col("text"), n_chars=length)
+    names = ("text", "source", "doc_id")
+    masked = secret_scan.redact(rowed(docs, *names).withColumn("before", F.length("text")))
+    length = F.when(F.length("text") == F.col("before"), F.col("_row.n_chars")).otherwise(F.length("text").cast("long"))
+    return unrowed(masked, docs, *names, n_chars=length)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,7 +122,8 @@ def redact(
         rest = F.col("_text").substr((acc["at"] + 1).cast("int"), F.lit(2147483647))
         return F.concat(F.array_join(acc["out"], ""), rest)
 
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))  # so no column's name can clash
+    others = [c for c in docs.columns if c != text_col]  # as one struct, so no column's name can clash
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), F.col(text_col).alias("_text"))
     both = marked(rows, text_col="_text", owner=F.col(f"_row.{owner_col}"), repo=F.col(f"_row.{repo_col}"), max_owners=max_owners, max_repos=max_repos, keep=("_row", "_text"))
     masked = F.when(F.size("_spans") == 0, F.col("_text")).otherwise(F.aggregate("_spans", start, step, finish))
     return both.select(*(masked.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns))
