@@ -106,8 +106,8 @@ def predict_with_registry(silver: DataFrame, models: dict[str, GBTRegressionMode
         names = [f"_f{k}" for k in range(len(feature_names(family)))]
         some = gold.filter(F.col("item_family") == family)
         some = some.withColumns({k: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for k, c in zip(names, feature_names(family), strict=True)})
-        some = VectorAssembler(inputCols=names, outputCol=model.getFeaturesCol()).transform(some)
-        told = model.setPredictionCol("_model").transform(some)
+        some = VectorAssembler(inputCols=names, outputCol="_features").transform(some)
+        told = model.setFeaturesCol("_features").setPredictionCol("_model").transform(some)
         branches.append(told.select(*gold.columns, "_model"))
     both = reduce(DataFrame.unionByName, branches)
     return valuation.predict(both, "_model").select(*silver.columns, "predicted_value", "confidence", "feature_completeness", "model_source")

@@ -45,7 +45,7 @@ def across(shares: DataFrame, facts: dict[str, Column], over: dict[str, tuple[st
     as ``name: (which, column)`` with ``before``, ``behind`` or ``all``. There are no more of these rows than tasks and groups."""
     one = shares.groupBy("_group", "_part").agg(*(c.alias(k) for k, c in facts.items()))
     by = W.partitionBy("_group").orderBy("_part")
-    frames = {"before": by.rowsBetween(W.unboundedPreceding, -1), "behind": by.rowsBetween(1, W.unboundedFollowing), "all": W.partitionBy("_group")}
+    frames = {"before": by.rowsBetween(W.unboundedPreceding, -1), "behind": by.rowsBetween(1, W.unboundedFollowing), "all": by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)}
     return one.select("_group", "_part", *(c.over(frames[which]).alias(k) for k, (which, c) in over.items()))
 
 
