@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from listing_lake.operators import valuation
+from listing_lake.operators.shared import written
 from listing_lake.streaming.intake import PAGE
 
 
@@ -16,12 +17,88 @@ def read_stash_pages(spark: SparkSession, path: str, stream: bool = False) -> Da
     return pages.filter(F.col("_corrupt").isNull() & F.col("change_id").isNotNull()).drop("_corrupt")
 
 
-def write_layer(df: DataFrame, path: str, partitions: list[str]) -> int:
-    """Write a layer by partition columns, nulls as ``unknown``; returns how many partitions it has. Rows are dealt by the
-    partition columns and a salt, so a hot partition is several files and a small one is one."""
+def write_layer(df: DataFrame, path: str, partitions: list[str], *, mode: str = "replace") -> list[tuple[str, ...]]:
+    """Write a layer by partition columns, nulls as ``unknown``; returns the partitions that it has rows for. Partitions of earlier
+    writes stay: ``replace`` puts the new rows in place of those in the same partitions, so a repeated write changes nothing,
+    ``append`` adds to them. Rows are dealt by the partition columns, and the engine splits
+    large ones, so a hot partition is several files and a small one is one."""
+    seen = Observation()
     df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in partitions})
-    df.hint("rebalance", *partitions).write.mode("overwrite").partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.parquet(path).select(*partitions).distinct().count()
+    df = df.hint("rebalance", *partitions).observe(seen, F.collect_set(F.struct(*partitions)).alias("partitions"))
+    writer = df.write.partitionBy(*partitions)
+    if mode == "replace":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    elif mode == "append":
+        writer.mode("append").parquet(path)
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return sorted(tuple(r) for r in seen.get["partitions"])
+
+
+def read_partitions(spark: SparkSession, path: str, partitions: list[tuple[str, ...]]) -> DataFrame:
+    """The given partitions of a layer, as text; no other file is opened."""
+    layer = spark.read.option("basePath", path)
+    names = partition_columns(spark, path)
+    wanted = [F.struct(*(F.lit(v) for v in p)) for p in partitions]
+    df = spark.read.parquet(path) if not wanted else layer.parquet(*(f"{path}/" + "/".join(f"{n}={escaped(v)}" for n, v in zip(names, p, strict=True)) for p in partitions))
+    df = df.filter(F.lit(bool(wanted)))
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The partition columns of a layer, from one folder name at each depth."""
+    names, at = [], spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while at is not None:
+        inside = [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and "=" in s.getPath().getName()]
+        at = inside[0] if inside else None
+        if at is not None:
+            names.append(at.getName().split("=")[0])
+    return names
+
+
+def escaped(value: str) -> str:
+    """A partition value as Spark writes it in a folder's name."""
+    return spark_names().escapePathName(value)
+
+
+def spark_names():
+    return SparkSession.active().sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+
+
+def drop_partitions(spark: SparkSession, path: str, column: str, before: str, dry_run: bool = False) -> list[str]:
+    """Retention by whole partitions: folders of ``column`` (the first partition column) whose value comes before ``before`` go, all
+    others aren't touched. Returns the values that go; ``unknown`` never does."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for found in fs.listStatus(at):
+        name = found.getPath().getName()
+        value = spark_names().unescapePathName(name.split("=", 1)[1]) if name.startswith(f"{column}=") else "unknown"
+        if value not in ("unknown", "__HIVE_DEFAULT_PARTITION__") and value < before:
+            gone.append(value)
+            if not dry_run:
+                fs.delete(found.getPath(), True)
+    return sorted(gone)
+
+
+def rewrite_partitions(spark: SparkSession, path: str, keep: Column) -> tuple[int, int]:
+    """Retention by rows: partitions that hold a row against ``keep`` are written anew without such rows, all others aren't touched.
+    Partitions that lose all rows go. Returns how many were rewritten and how many went. Rows whose rule is null stay."""
+    names = partition_columns(spark, path)
+    layer = spark.read.parquet(path)
+    layer = layer.withColumns({n: F.col(n).cast("string") for n in names}).withColumn("_keep", F.coalesce(keep, F.lit(True)))
+    counts = layer.groupBy(*names).agg(F.count_if("_keep").alias("kept"), F.count_if(~F.col("_keep")).alias("lost")).filter("lost > 0").collect()
+    full = [tuple(r[n] for n in names) for r in counts if r.kept]
+    empty = [tuple(r[n] for n in names) for r in counts if not r.kept]
+    if full:
+        rows = read_partitions(spark, path, full).filter(F.coalesce(keep, F.lit(True)))
+        write_layer(written(rows, "retained"), path, names)
+    for p in empty:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/" + "/".join(f"{n}={escaped(v)}" for n, v in zip(names, p, strict=True)))
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(full), len(empty)
 
 
 def read_training_set(spark: SparkSession, path: str, features: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from listing_lake.functions import listing as L
 
@@ -34,7 +35,8 @@ def page_events(pages: DataFrame) -> DataFrame:
 def insert_once(events: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
     """The first row of each key. In a stream, keys are held for ``delay`` of event time: repeats come from replays."""
     if events.isStreaming:
-        return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+        seen = events.observe("intake", F.count("*").alias("rows")).withWatermark(time, delay)
+        return seen.dropDuplicatesWithinWatermark(keys).observe("kept", F.count("*").alias("rows"))
     return events.dropDuplicates(keys)
 
 
@@ -108,20 +110,82 @@ def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def upsert_batch(target: str, keys: list[str]):
-    """For ``foreachBatch``: append rows whose key the target lacks. A replayed batch adds nothing."""
+#: The partition of each batch in a table that batches are inserted into: the ledger and the rows are one commit.
+BATCH = "_batch"
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+
+def upsert_batch(target: str, keys: list[str], order: list[str], run: str):
+    """For ``foreachBatch``: insert the rows whose key ``target`` lacks, of each key the first by ``order``, then by the batch's own
+    order. Null keys are keys like others.
+
+    A batch is one partition, named by ``run`` (one name for each checkpoint) and the batch's number, and written as a whole. A batch
+    that is tried again finds its partition's place taken by nothing or by itself, and writes the same rows in it; rows under
+    another run or number are already there, so they are insert-or-ignore. Keys meet by equality of structs, so a hot key is a
+    partial aggregate and one row."""
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(target)
-
-    return run
+        name = f"{run}-{batch_id}"
+        key = F.struct(*keys)
+        arrival = batch.withColumn("_arrival", F.monotonically_increasing_id())
+        first = F.min_by(F.struct(*batch.columns), F.struct(*order, "_arrival")).alias("_row")
+        fresh = arrival.groupBy(key.alias("_key")).agg(first)
+        known = stored(spark, target)
+        if known is not None:
+            others = known.filter(F.col(BATCH) != name).select(key.alias("_key"))
+            fresh = fresh.join(others, "_key", "left_anti")
+        fresh.select("_row.*", F.lit(name).alias(BATCH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(target)
+
+    return insert
+
+
+def stored(spark: SparkSession, target: str) -> DataFrame | None:
+    """A table that batches are inserted into, or None before its first batch has rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not any(s.getPath().getName().startswith(f"{BATCH}=") for s in fs.listStatus(at)):
+        return None
+    return spark.read.parquet(target).withColumn(BATCH, F.col(BATCH).cast("string"))
+
+
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], run: str) -> None:
+    """Run a stream over what is there into ``target`` and stop. Counts of rows go to listeners as the metric ``intake``."""
+    seen = stream.observe("intake", F.count("*").alias("rows"))
+    query = seen.writeStream.foreachBatch(upsert_batch(target, keys, order, run)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+class RunProgress(StreamingQueryListener):
+    """Counters over all batches of a run: attach with ``spark.streams.addListener``. Rows kept are those of the observed metric
+    ``kept``; a stream that has none keeps what it reads."""
+
+    def __init__(self):
+        self.batches = self.rows = self.kept = 0
+        self.seconds = 0.0
+        self.ended: list[str] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        told = event.progress
+        metrics = told.observedMetrics or {}
+        rows = metrics["intake"]["rows"] if "intake" in metrics else told.numInputRows
+        if told.numInputRows or rows:
+            self.batches += 1
+        self.rows += rows
+        self.kept += metrics["kept"]["rows"] if "kept" in metrics else rows
+        self.seconds += told.batchDuration / 1000
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.append(str(event.runId))
+
+    def counters(self) -> dict[str, float]:
+        per_second = self.rows / self.seconds if self.seconds else 0.0
+        return {"batches": self.batches, "rows": self.rows, "inserted": self.kept, "duplicates": self.rows - self.kept, "rows_per_second": per_second}
 
 
 def progress(query) -> dict[str, float]:

@@ -141,7 +141,7 @@ def test_reports_and_files(spark, tmp_path):
     r = upkeep.ops_report(files.metric_events(spark, str(tmp_path / "m"))).first()
     assert (r.runs, r.ok_runs, r.error_runs, r.avg_ms, r.p50_ms, r.p95_ms) == (3, 2, 1, 200, 200, 300) and r.last_ts.hour == 9
     frame = spark.createDataFrame([("2026-01-01", None, 1), (None, "L", 2), ("2026-01-01", "L", 3)], "d string, league string, n int")
-    assert files.write_layer(frame, str(tmp_path / "layer"), ["d", "league"]) == 3
+    assert len(files.write_layer(frame, str(tmp_path / "layer"), ["d", "league"])) == 3
     assert spark.read.parquet(str(tmp_path / "layer")).filter("league = 'unknown'").count() == 1
     files.export(frame.withColumn("a", F.array("n")), str(tmp_path / "csv"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).filter("a = '[1]'").count() == 1
