@@ -5,11 +5,12 @@ differ, and classes are connected components; a document's component id is the s
 
 Finding links: 64 bits are cut into ``distance + 2`` blocks; fingerprints within the distance agree on two blocks at least,
 so they meet in one of the buckets that two blocks' bits name. A bucket of more than CHUNK fingerprints is dealt into chunks
-and becomes a task group for each pair of chunks, so no group grows with the data. Inside a group, fingerprints lie in Gray
-rank order; nodes over NODE neighbours hold the bits that all of them share (mask and pattern), nodes over those likewise.
-Two nodes whose shared bits differ in more than ``distance`` places are pruned with all that is below. A group gives a
-spanning forest of its links, never all pairs. A group of at most NODE is one leaf. Components are then found by alternating large and small stars on written
-edge tables.
+and becomes a task group for each pair of chunks, so no group grows with the data. A task lays its groups one after the other,
+each in Gray rank order, and builds one index over a run of them: nodes over NODE neighbours hold the bits that all of them
+share (mask and pattern) and the range of groups they lie in, nodes over those likewise. The search goes down from the top: two
+nodes whose shared bits differ in more than ``distance`` places, or that have no group in common, are pruned with all that is
+below. All links come from that search. A group gives a spanning forest of its links, never all pairs. Components are then
+found by alternating large and small stars on written edge tables.
 
 A null, empty or wordless text has fingerprint zero and is linked like any other. Repeated rows are one class. Null ids
 join classes but never name one, unless there is no other id.
@@ -30,6 +31,8 @@ from listing_lake.llm.common import written
 from listing_lake.llm.tokens import forget
 
 CHUNK, NODE, SALT = 1024, 8, 32
+#: Fingerprints under one index: runs of groups end at the first group behind so many.
+RUN = 2048
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -85,25 +88,31 @@ def bucket_keys(fp: Column, distance: int) -> Column:
 
 
 class GrayIndex:
-    """Nodes over fingerprints in Gray rank order; level 0 is the fingerprints themselves."""
+    """Nodes over fingerprints in order of their group and Gray rank; level 0 is the fingerprints themselves. A node is the bits
+    that all below it share, which bits these are, and its first and last group."""
 
-    def __init__(self, fps: np.ndarray):
+    def __init__(self, fps: np.ndarray, group: np.ndarray | None = None):
         every = np.full(len(fps), np.iinfo(np.uint64).max, np.uint64)
-        self.levels = [(fps, every)]
+        group = np.zeros(len(fps), np.int64) if group is None else group
+        self.levels = [(fps, every, group, group)]
         while len(self.levels[-1][0]) > NODE:
-            pattern, mask = self.levels[-1]
-            at = np.arange(0, len(pattern), NODE)
-            ones = np.bitwise_and.reduceat(pattern, at)
-            same = ~(ones ^ np.bitwise_or.reduceat(pattern, at)) & np.bitwise_and.reduceat(mask, at)
-            self.levels.append((ones & same, same))
+            self.levels.append(self.above())
+
+    def above(self) -> tuple[np.ndarray, ...]:
+        """The level over the highest one."""
+        pattern, mask, first, last = self.levels[-1]
+        at = np.arange(0, len(pattern), NODE)
+        ones = np.bitwise_and.reduceat(pattern, at)
+        same = ~(ones ^ np.bitwise_or.reduceat(pattern, at)) & np.bitwise_and.reduceat(mask, at)
+        return ones & same, same, first[at], last[np.minimum(at + NODE, len(last)) - 1]
 
 
 def links(a: GrayIndex, b: GrayIndex, distance: int, itself: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the distance, level by level from the top; the indexes have as many levels."""
+    """Positions of all pairs of one group within the distance, level by level from the top; the indexes have as many levels."""
     top = len(a.levels) - 1
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[top][0])), np.arange(len(b.levels[top][0])), indexing="ij"))
     for level in range(top, -1, -1):
-        (pa_, ma), (pb, mb) = a.levels[level], b.levels[level]
+        (pa_, ma, fa, la), (pb, mb, fb, lb) = a.levels[level], b.levels[level]
         if level < top:
             step = np.arange(NODE)
             i, j = (i[:, None, None] * NODE + step[:, None] + 0 * step), (j[:, None, None] * NODE + step + 0 * step[:, None])
@@ -112,6 +121,8 @@ def links(a: GrayIndex, b: GrayIndex, distance: int, itself: bool) -> tuple[np.n
             i, j = i[there], j[there]
         if itself:
             i, j = (x[(i < j) if level == 0 else (i <= j)] for x in (i, j))
+        met = (fa[i] <= lb[j]) & (fb[j] <= la[i])
+        i, j = i[met], j[met]
         near = np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= distance
         i, j = i[near], j[near]
     return i, j
@@ -135,26 +146,30 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member, root[member]
 
 
-def group_edges(fps: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of one group: within it, or between its two sides when it is a pair of chunks."""
-    if not side.any():
-        index = GrayIndex(fps)
-        i, j = links(index, index, distance, True)
-    else:
-        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-        a, b = GrayIndex(fps[left]), GrayIndex(fps[right])
-        for x in (a, b):
-            while len(x.levels) < max(len(a.levels), len(b.levels)):
-                pattern, mask = x.levels[-1]
-                ones = np.bitwise_and.reduce(pattern)
-                same = ~(ones ^ np.bitwise_or.reduce(pattern)) & np.bitwise_and.reduce(mask)
-                x.levels.append((np.array([ones & same]), np.array([same])))
-        i, j = links(a, b, distance, False) if len(left) and len(right) else (left[:0], left[:0])
-        i, j = left[i], right[j]
-    member, root = forest(len(fps), i, j)
+def edges_between(fps: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the two sides of a pair of chunks."""
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    a, b = GrayIndex(fps[left]), GrayIndex(fps[right])
+    for x in (a, b):
+        while len(x.levels) < max(len(a.levels), len(b.levels)):
+            x.levels.append(x.above())
+    i, j = links(a, b, distance, False) if len(left) and len(right) else (left[:0], left[:0])
+    member, root = forest(len(fps), left[i], right[j])
     return fps[member], fps[root]
 
 
+def edges_within(fps: np.ndarray, group: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of whole groups, a run of groups under one index after the other. ``group`` rises."""
+    starts, at = np.flatnonzero(np.diff(group)) + 1, 0
+    while at < len(fps):
+        later = starts[np.searchsorted(starts, at + RUN) :]
+        end = int(later[0]) if len(later) else len(fps)
+        index = GrayIndex(fps[at:end], group[at:end])
+        member, root = forest(end - at, *links(index, index, distance, True))
+        yield fps[at:end][member], fps[at:end][root]
+        at = end
+
+
 def near_pairs(fps: DataFrame, distance: int) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints that connect all that are linked."""
     members = fps.select("fp", F.explode(bucket_keys(F.col("fp"), distance)).alias("key"))
@@ -183,13 +198,11 @@ def near_pairs(fps: DataFrame, distance: int) -> DataFrame:
             keys = pdf[["key", "c", "d"]].to_numpy()
             begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
             size = np.diff([*begin, len(pdf)])
-            out = []
-            small = np.repeat(size <= NODE, size)  # one leaf of the index has no node above it: all its pairs are compared
             group = np.repeat(np.arange(len(size)), size)
-            for k in range(1, NODE):
-                near = small[k:] & (group[k:] == group[:-k]) & (side[k:] == side[:-k]) & (side[k:] == 0) & (np.bitwise_count(fp[k:] ^ fp[:-k]) <= distance)
-                out.append((fp[k:][near], fp[:-k][near]))
-            out += [group_edges(fp[b : b + n], side[b : b + n], distance) for b, n in zip(begin, size, strict=True) if n > NODE or side[b : b + n].any()]
+            mixed = np.add.reduceat(side > 0, begin) > 0
+            alone = ~mixed[group]
+            out = [(fp[:0], fp[:0]), *edges_within(fp[alone], group[alone], distance)]
+            out += [edges_between(fp[b : b + n], side[b : b + n], distance) for b, n in zip(begin[mixed], size[mixed], strict=True)]
             u, v = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
             yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 

@@ -77,3 +77,25 @@ def test_index_finds_what_all_pairs_find():
     i, j = simhash.links(simhash.GrayIndex(fps), simhash.GrayIndex(fps), 4, True)
     want = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= 4, 1))
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+
+
+def test_runs_of_groups_under_one_index(monkeypatch):
+    """Groups of all sizes, many under one index: the links of each group, and none between groups."""
+    monkeypatch.setattr(simhash, "RUN", 40)
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 2, 3, 9, 70, 1, 8, 2, 150, 2]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    center = rng.integers(0, 2**64, 2, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in group], np.uint64)
+    fps = center[rng.integers(0, 2, len(group))] ^ flips
+    rank = lambda x: sum(((int(x) >> k).bit_count() & 1) << k for k in range(64))
+    order = sorted(range(len(group)), key=lambda k: (group[k], rank(fps[k])))
+    fps = fps[order]
+    index = simhash.GrayIndex(fps, group)
+    i, j = simhash.links(index, index, 4, True)
+    near = (np.bitwise_count(fps[:, None] ^ fps) <= 4) & (group[:, None] == group)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(np.triu(near, 1)).tolist()))
+    runs = list(simhash.edges_within(fps, group, 4))
+    assert len(runs) > 2
+    member, root = simhash.forest(len(fps), i, j)
+    assert sum(len(u) for u, _ in runs) == len(member) == len(root)
