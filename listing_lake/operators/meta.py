@@ -51,7 +51,8 @@ def meta_utility(items: DataFrame, scores: DataFrame, tags: str, how: str = "mea
 
 
 def sample_builds(builds: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
-    return builds.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n builds by the order of a seeded MD5 of their key: the same ones in any engine and however the rows lie."""
+    return builds.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)).cast("binary")), key).limit(n)
 
 
 def clean_mods(raw: DataFrame) -> DataFrame:

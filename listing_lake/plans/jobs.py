@@ -35,7 +35,8 @@ def _training_set(spark, d):
 
 
 def quality_gates(spark, d):
-    rows = _training_set(spark, d).select("item_family", "ilvl", "price_step", "has_life", "mod_count", "league").filter("price_step > 0")
+    target = F.when(F.col("price_step") != 1, F.col("price_step")).alias("price_step")  # some targets are null, and some 0
+    rows = _training_set(spark, d).select("item_family", "ilvl", target, "has_life", "mod_count", "league")
     return training.quality_gates(rows, "price_step")
 
 
@@ -106,7 +107,7 @@ def keystones(spark, d):
 
 
 def sample_builds(spark, d):
-    return meta.sample_builds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, "o_orderkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("builds"))
+    return meta.sample_builds(table(spark, d, "orders").select("o_orderkey", "o_custkey"), 100, "o_orderkey")
 
 
 def manifest_status(spark, d):
@@ -350,9 +351,9 @@ def _oracles() -> dict[str, str]:
           SELECT base_type, count(*) AS n, max(price_chaos) AS most FROM l JOIN q USING (base_type) WHERE price BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY 1""",
         "remove_stale_cheap": f"""{SILVER}, q AS (SELECT quantile_cont(price_step, 0.25) AS q25 FROM silver) SELECT item_family, count(*) AS n, min(price_step) AS least FROM silver, q
           WHERE NOT (coalesce((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(collected_ts)) / 3.6e9 > 48, false) AND {" + ".join(map(tok, ("Life", "Resist", "SpellDamage", "CastSpeed", "CritChanceSpells", "SpellSuppress")))} >= 2 AND price_step <= q25) GROUP BY 1""",
-        "quality_gates": f"""{SILVER}, r AS (SELECT item_family, ilvl, price_step, {tok("Life")} AS has_life, len(tokens) AS mod_count, league FROM silver WHERE price_step > 0)
-          SELECT 0::BIGINT AS null_targets, 0::BIGINT AS bad_targets, count(DISTINCT price_step) AS distinct_targets, round(stddev_pop(price_step), 4) AS target_std, count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r) x) AS exact_duplicates,
-            (SELECT max(k) FROM (SELECT count(*) AS k FROM r GROUP BY item_family) f) AS largest_family, CASE WHEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r) x)) / count(*) > 0.2 THEN 'too_many_duplicates' END AS failed FROM r""",
+        "quality_gates": f"""{SILVER}, r AS (SELECT item_family, ilvl, nullif(price_step, 1) AS price_step, {tok("Life")} AS has_life, len(tokens) AS mod_count, league FROM silver)
+          SELECT count(*) FILTER (price_step IS NULL) AS null_targets, count(*) FILTER (price_step <= 0) AS bad_targets, count(DISTINCT price_step) AS distinct_targets, round(stddev_pop(price_step), 4) AS target_std, count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r) x) AS exact_duplicates,
+            (SELECT max(k) FROM (SELECT count(*) AS k FROM r GROUP BY item_family) f) AS largest_family, CASE WHEN count(*) FILTER (price_step IS NULL) > 0 THEN 'target_null' WHEN count(*) FILTER (price_step <= 0) > 0 THEN 'target_not_positive' WHEN (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r) x)) / count(*) > 0.2 THEN 'too_many_duplicates' END AS failed FROM r""",
         "temporal_split": f"{SILVER}, {split % 'silver'} SELECT item_family, part, {TIES} FROM s",
         "feature_overlap": f"{SILVER}, {split % 'silver'}, f AS (SELECT part, item_family, ilvl, {tok('Life')} AS has_life, len(tokens) AS mod_count, price_step FROM s) SELECT count(*) AS overlap FROM (SELECT * EXCLUDE (part) FROM f WHERE part = 'train' INTERSECT SELECT * EXCLUDE (part) FROM f WHERE part = 'test') x",
         "regression_metrics": f"{scored} SELECT item_family, count(*) AS n, round(sqrt(avg(pow(predicted_value - price_chaos, 2))), 4) AS rmse, round(avg(abs(predicted_value - price_chaos)), 4) AS mae, round(sqrt(avg(pow(baseline - price_chaos, 2))), 4) AS baseline_rmse FROM tested GROUP BY 1",
@@ -400,12 +401,16 @@ def _oracles() -> dict[str, str]:
         "drop_duplicate_gold": f"""SELECT base_type, ilvl, price_step, o_key, line_no, ext_price FROM (SELECT *, row_number() OVER (PARTITION BY base_type, ilvl, price_step ORDER BY o_key DESC, line_no DESC, ext_price DESC) AS n FROM ({LISTINGS}) l) r WHERE n = 1""",
         "raw_training_rows": f"SELECT item_id, count(*) AS n, count(*) FILTER (source = 'trade') AS sellers, sum(price_step) AS total FROM ({LISTINGS}) l WHERE price_step > 0 GROUP BY 1",
         "keystones": "SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderstatus <> o_orderpriority THEN ',' || o_orderstatus ELSE '' END AS keystones FROM orders",
-        "sample_builds": "SELECT least(count(*), 100) AS n, least(count(DISTINCT o_orderkey), 100) AS builds FROM orders",
+        "sample_builds": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey || '-7'), o_orderkey LIMIT 100",
         "manifest_status": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1",
         "snapshot_dates": "SELECT event_id, CASE WHEN event_id % 3 <> 0 OR event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE '1999-01-01' END AS snapshot_date FROM events",
         "query_contexts": """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"change_id":' || user_id || ',"stash_name":"' || event_type || '"}' ELSE '{"query_id":' || event_id || '}' END AS context FROM events""",
         "observation_union": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END AS user_id, ts AS indexed, ts AS collected_at, CASE WHEN event_id % 2 = 0 THEN 'stash' ELSE 'trade' END AS source, (event_id % 2)::INTEGER AS source_rank FROM events",
         "veiled_chances": "SELECT p_partkey, CASE WHEN p_size % 3 > 0 AND p_size % 2 > 0 THEN 0.5 WHEN p_size % 3 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS chance FROM part",
+        "family_vectors": f"""{SILVER} SELECT count(*) AS n, {len(valuation.FAMILY_FEATURES["wand_caster"]) + len(valuation.NUMERIC_WEIGHTS) + 1} AS width, round(sum(ilvl + {" + ".join(map(tok, ("SpellDamage", "CastSpeed", "CritChanceSpells")))}
+          + open_prefixes + open_suffixes + is_inf::INTEGER + len(tokens) + {" + ".join(valuation.NUMERIC_WEIGHTS)}), 1) AS total FROM silver WHERE item_family = 'wand_caster'""",
+        "fingerprint": f"""SELECT sum(('0x' || substr(md5(length(ilvl::VARCHAR) || ':' || ilvl || length(item_id) || ':' || item_id || length(price_step::VARCHAR) || ':' || price_step), 1, 15))::BIGINT)::VARCHAR AS data_hash,
+          count(*) AS row_count, sha256('ilvl:int,item_id:string,price_step:double') AS schema_hash FROM ({LISTINGS}) l""",
         "stream_insert_once": "SELECT user_id, event_type, 1::BIGINT AS n FROM events GROUP BY 1, 2",
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listing_lake.plans import jobs, layers, payloads, snapshots
+from listing_lake.plans import jobs, landings, layers, payloads, snapshots
 
-QUERIES = layers.QUERIES | jobs.QUERIES | payloads.QUERIES | snapshots.QUERIES
-ORACLES = layers.ORACLES | jobs.ORACLES | payloads.ORACLES | snapshots.ORACLES
+QUERIES = layers.QUERIES | jobs.QUERIES | payloads.QUERIES | snapshots.QUERIES | landings.QUERIES
+ORACLES = layers.ORACLES | jobs.ORACLES | payloads.ORACLES | snapshots.ORACLES | landings.ORACLES

@@ -120,7 +120,7 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
     """json (one object a line), jsonl (the same) or csv; nested columns become JSON text in csv."""
     if fmt == "csv":
         df = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif fmt in ("json", "jsonl"):
         df.write.mode("overwrite").json(path)
     else:
