@@ -153,20 +153,20 @@ def fitness(plan: list[Bin], capacity: int) -> tuple[int, float]:
     return len(plan), -sum((sum(b) / capacity) ** 2 for b in plan)
 
 
-def evolve(sizes: Counter, capacity: int, seed: str, elites: list[list[Bin]], population: int, generations: int) -> list[Bin]:
-    """One island's round: the best plan it finds. It ends when no plan can use fewer bins, or when two generations have
-    found no better one."""
+def evolve(sizes: Counter, capacity: int, seed: str, elites: list[list[Bin]], population: int, generations: int, patience: int = 2, cross: bool = True) -> list[Bin]:
+    """One island's round: the best plan it finds. It ends when no plan can use fewer bins, or when ``patience`` generations have
+    found no better one. Without ``cross`` children are mutations alone."""
     rng = random.Random(seed)
     least = -(-sum(n * c for n, c in sizes.items()) // capacity)
     value = lambda p: fitness(p, capacity)
     plans = sorted(elites or [best_fit([], sizes, capacity), scattered(sizes, capacity, rng)], key=value)
     idle = 0
     for _ in range(generations):
-        if len(plans[0]) == least or idle == 2:
+        if len(plans[0]) == least or idle == patience:
             break
         before = value(plans[0])
         two = plans[rng.randrange(1, len(plans))] if len(plans) > 1 else plans[0]
-        child = crossover(plans[0], two, sizes, capacity, rng) if len(plans) > 2 or elites else plans[0]
+        child = crossover(plans[0], two, sizes, capacity, rng) if cross and (len(plans) > 2 or elites) else plans[0]
         plans = sorted([*plans, mutate(child, capacity, rng)], key=value)[:population]
         idle = idle + 1 if value(plans[0]) == before else 0
     return plans[0]
@@ -184,7 +184,7 @@ def decoded(counts: bytes, lengths: bytes) -> list[Bin]:
 ELITE = "shard long, island int, bins int, counts binary, lengths binary"
 
 
-def plans(sizes: DataFrame, shards: int, *, capacity: int, islands: int, rounds: int, population: int, generations: int) -> DataFrame:
+def plans(sizes: DataFrame, shards: int, *, capacity: int, islands: int, rounds: int, population: int, generations: int, patience: int) -> DataFrame:
     """The best plan of each shard. ``sizes``: shard, length, n."""
     # Groups cost seconds and few bytes: deal them by number, or they would be put together by size.
     tasks = min(shards * islands, 2000)
@@ -195,7 +195,7 @@ def plans(sizes: DataFrame, shards: int, *, capacity: int, islands: int, rounds:
 
         def search(key: tuple, hist: pd.DataFrame, found: list[list[Bin]], turn: int) -> pd.DataFrame:
             count = Counter(dict(zip(hist["length"].tolist(), hist["n"].tolist(), strict=True)))
-            best = evolve(count, capacity, f"{key}-{turn}", found, population, generations)
+            best = evolve(count, capacity, f"{key}-{turn}", found, population, generations, patience)
             return pd.DataFrame([(key[0], key[1], len(best), *coded(best))], columns=["shard", "island", "bins", "counts", "lengths"])
 
         def first(key, hist):
@@ -237,22 +237,22 @@ def places(plan: DataFrame) -> DataFrame:
 
 def pack(
     parts: DataFrame, *, capacity: int = 1024, id_col: str = "doc_id", shard_pieces: int = 8192,
-    islands: int = 2, rounds: int = 2, population: int = 6, generations: int = 6,
+    islands: int = 2, rounds: int = 2, population: int = 6, generations: int = 6, patience: int = 2,
 ) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (a written table, so that counting them costs little). Any columns
     beside the id, ``piece`` and ``length`` come along."""
-    n = max(1, math.ceil(parts.filter(F.col("length") < capacity).count() / shard_pieces))
-    dealt = parts.withColumn("_shard", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(n)))
-    sizes = dealt.filter(F.col("length") < capacity).groupBy(F.col("_shard").alias("shard"), "length").agg(F.count("*").alias("n"))
-    plan = plans(sizes, n, capacity=capacity, islands=islands, rounds=rounds, population=population, generations=generations)
+    # a piece of full length is a sequence of its own: it is never shuffled, and negative numbers keep it apart from the plans'
+    full = parts.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    loose = parts.filter(F.col("length") < capacity)
+    n = max(1, math.ceil(loose.count() / shard_pieces))
+    dealt = loose.withColumn("_shard", F.pmod(F.xxhash64(F.col(id_col), F.col("piece")), F.lit(n)))
+    sizes = dealt.groupBy(F.col("_shard").alias("shard"), "length").agg(F.count("*").alias("n"))
+    plan = plans(sizes, n, capacity=capacity, islands=islands, rounds=rounds, population=population, generations=generations, patience=patience)
     ranked = dealt.withColumn("_rank", F.row_number().over(W.partitionBy("_shard", "length").orderBy(id_col, "piece", "start")).cast("long"))
     slot = places(plan).select(F.col("shard").alias("_shard"), F.col("length").alias("_length"), F.col("rank").alias("_rank"), "sequence_id", "offset")
     same = (ranked["_shard"] == slot["_shard"]) & (ranked["length"] == slot["_length"]) & (ranked["_rank"] == slot["_rank"])
-    placed = ranked.join(slot, same, "left").drop(slot["_shard"]).drop(slot["_rank"])
-    # A piece of full length is a sequence of its own; negative numbers keep these apart from the plans'.
-    alone = -1 - (F.col("_shard") * (1 << 24) + F.col("_rank"))
-    placed = placed.withColumn("sequence_id", F.coalesce("sequence_id", alone)).withColumn("offset", F.coalesce("offset", F.lit(0).cast("long")))
-    return placed.select(*parts.columns, "sequence_id", "offset")
+    placed = ranked.join(slot, same).drop(slot["_shard"]).drop(slot["_rank"])
+    return placed.select(*parts.columns, "sequence_id", "offset").unionByName(full)
 
 
 def digest(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int = 1024, memo_entries: int = MEMO_ENTRIES, **parameters) -> DataFrame:

@@ -53,3 +53,29 @@ def test_genetic_steps_keep_the_pieces():
     best = packing.evolve(sizes, 100, "s", [two], 6, 20)
     assert len(best) <= min(len(one), len(two))
     assert packing.decoded(*packing.coded(best)) == best
+
+
+def test_crossover_wins_bins():
+    """Where best-fit leaves bins to win, the search wins most of them, and more with crossover than without."""
+    import random
+
+    bound = fit = with_it = without = 0
+    for k in range(12):
+        rng = random.Random(k)
+        sizes = Counter(rng.randint(30, 200) for _ in range(400))
+        bound += -(-sum(n * c for n, c in sizes.items()) // 300)
+        fit += len(packing.best_fit([], sizes, 300))
+        with_it += len(packing.evolve(sizes, 300, f"{k}", [], 6, 40, 12))
+        without += len(packing.evolve(sizes, 300, f"{k}", [], 6, 40, 12, False))
+    assert bound <= with_it < without < fit and with_it - bound <= 0.1 * (fit - bound)
+
+
+def test_full_pieces_stay_where_they_are(spark):
+    """Pieces of full length are never shuffled, however many there are, and each is a sequence of its own."""
+    parts = spark.range(5000).selectExpr("id % 50 AS doc_id", "CAST(id AS int) AS piece", "1024 * id AS start", "CASE WHEN id % 100 = 0 THEN 7L ELSE 1024L END AS length")
+    got = packing.pack(parts).collect()
+    full = [r.sequence_id for r in got if r.length == 1024]
+    assert len(got) == 5000 and len(full) == len(set(full)) == 4950 and max(full) < 0 and all(r.offset == 0 for r in got if r.length == 1024)
+    assert len({r.sequence_id for r in got if r.length == 7}) == 1
+    plan = packing.pack(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.rindex("monotonically_increasing_id") > max(plan.rindex("Window"), plan.rindex("Join"))
