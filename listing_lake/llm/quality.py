@@ -6,7 +6,7 @@ product, a sum of looked-up weights. Labelled rows come in a sample of at most `
 sample train apart, each in its own task, and their weights are averaged, which is the model: ``2**bits`` numbers at most.
 
 Null and empty texts have no features and score by the intercept. Rows without a label, and labels without a row, train
-nothing; without any sample the score is one half.
+nothing; of an id with several labels the greatest counts. Without any sample the score is one half.
 """
 
 from __future__ import annotations
