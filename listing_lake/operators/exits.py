@@ -11,6 +11,7 @@ from listing_lake.operators import comparables
 from listing_lake.operators.planner import clamp, suppression_eligible, total
 
 # Support of a profit and start of the exit confidence by strength of evidence; weights of the three confidences.
+# The numbers and labels of ``candidate``, ``plan_confidence`` and ``plan_gates`` are fixed values too.
 SUPPORT = {"strong": 0.85, "moderate": 0.68, "weak": 0.45}
 EVIDENCE = {"strong": 0.82, "moderate": 0.66, "weak": 0.44}
 WEIGHTS, MOST = (0.3, 0.3, 0.4), 0.92

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from listing_lake.functions import listing as L
 
-# Score penalties by flag, and least item level of a high ticket by family.
+# Score penalties by flag, and least item level of a high ticket by family. The numbers and labels in ``market_score``,
+# ``divergence``, ``divergence_penalty``, ``consensus_reason`` and the two buy filters below are fixed values too: results hang on them.
 PENALTIES = {
     "price_fix_suspected": 45.0, "stale_listing": 14.0, "low_confidence": 18.0, "high_ticket_low_confidence": 18.0, "cheap_listing": 18.0,
     "corrupted": 10.0, "family_fallback": 6.0, "low_ilvl_context": 12.0, "tier_ilvl_mismatch": 20.0, "fallback_low_evidence": 15.0,

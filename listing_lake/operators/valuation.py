@@ -11,7 +11,8 @@ from listing_lake.functions import listing as L
 from listing_lake.functions.tiers import native_tiers
 from listing_lake.operators import meta
 
-# Token weights, base values and synergies by family, weights of numeric features.
+# Token weights (OTHER_TOKEN for tokens unknown), base values and synergies by family, weights of numeric features; the
+# tokens a family's item should have (REQUIRED), tokens behind the flags (FLAGS), and each family's features in order (FAMILY_FEATURES).
 TOKEN_WEIGHTS = {
     "wand_caster": {"SpellDamage": 70.0, "CastSpeed": 55.0, "CritChanceSpells": 65.0, "Mana": 12.0},
     "body_armour_defense": {"Life": 50.0, "SpellSuppress": 60.0, "Resist": 30.0},

@@ -37,3 +37,12 @@ def test_whole_chances_cut_no_row(spark):
 def test_active_models_collect_no_array(spark):
     plan = __spark_entry__.queries()["active_models"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_the_library_is_shipped_whole(tmp_path):
+    import subprocess
+    import sys
+
+    path = __spark_entry__.packed(str(tmp_path))
+    told = subprocess.run([sys.executable, "-c", "import listing_lake.queries as q; print(q.__file__, len(q.QUERIES))"], cwd="/", env={"PYTHONPATH": path}, capture_output=True, text=True)
+    assert told.stdout.startswith(path) and int(told.stdout.split()[-1]) > 90, told.stderr
