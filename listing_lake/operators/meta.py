@@ -11,7 +11,7 @@ def tags_of(names: DataFrame, dimension: DataFrame, name: str = "name") -> DataF
     order where either holds the other. Blank names have none. The dimension is a table of a few dozen entries made in code;
     names are made distinct before they meet it."""
     some = names.select(F.lower(F.trim(name)).alias("_name")).filter("_name <> ''").distinct()
-    near = some.join(F.broadcast(dimension), F.col("_name").contains(F.col("entry")) | F.col("entry").contains(F.col("_name")))
+    near = some.join(dimension, F.col("_name").contains(F.col("entry")) | F.col("entry").contains(F.col("_name")))
     rank = F.struct((F.col("entry") != F.col("_name")).alias("inexact"), "position")
     return near.groupBy("_name").agg(F.min_by("tags", rank).alias("tags"))
 

@@ -16,6 +16,8 @@ PENALTIES = {
 HIGH_TICKET_LEVEL = {"wand_caster": 75, "body_armour_defense": 78, "jewel_cluster": 80, "accessory_generic": 75, "generic": 75}
 
 c = F.col
+#: Segments become one expression; more than so many are refused.
+MOST_SEGMENTS = 256
 
 
 def age_hours(listed: Column, as_of: str) -> Column:
@@ -26,7 +28,9 @@ def age_hours(listed: Column, as_of: str) -> Column:
 def segments(listings: DataFrame, bands: DataFrame, price: str) -> DataFrame:
     """Each listing's first segment by order: item level and price within both ends, an open top where ``price_max`` is
     null. ``bands`` is a list of a few segments made in code; listings in none are dropped."""
-    rows = bands.collect()
+    rows = bands.limit(MOST_SEGMENTS + 1).collect()
+    if len(rows) > MOST_SEGMENTS:
+        raise ValueError(f"more than {MOST_SEGMENTS} segments")
     out = F.when(F.lit(False), F.lit(0))
     for r in sorted(rows, key=lambda r: r.segment):
         top = F.lit(True) if r.price_max is None else c(price) <= r.price_max
@@ -35,10 +39,10 @@ def segments(listings: DataFrame, bands: DataFrame, price: str) -> DataFrame:
 
 
 def candidate_cap(listings: DataFrame, max_items: int, order: list[str]) -> DataFrame:
-    """At most min(120, max(6 * max_items, 40)) distinct items, in the given order."""
-    from pyspark.sql import Window as W
-
-    first = listings.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(*order))).filter("_n = 1").drop("_n")
+    """At most min(120, max(6 * max_items, 40)) distinct items, in the given order. An item's first row is an aggregate, so its rows
+    combine before they are shuffled."""
+    first = F.min_by(F.struct(*listings.columns), F.struct(*order)).alias("_row")
+    first = listings.groupBy(F.col("item_id").alias("_item")).agg(first).select("_row.*")
     return first.orderBy(*order).limit(min(120, max(6 * max_items, 40)))
 
 
