@@ -41,7 +41,7 @@ def build(observed: DataFrame, path: str, *, default_date: str, order: list[str]
     bronze = bronze.observe(bronze_seen, F.count("*").alias("rows"), *shares("source", SOURCES), *shares("freshness_band", BANDS))
     parts = {"bronze": files.write_layer(bronze, f"{path}/bronze", ["snapshot_date", "league"])}
     # the next layers start from what is written, so nothing above is computed again
-    bronze = files.read_partitions(spark, f"{path}/bronze", parts["bronze"]).observe(silver_in, F.count("*").alias("rows_input"))
+    bronze = files.read_partitions(spark, f"{path}/bronze", parts["bronze"], textual(bronze, "snapshot_date", "league").schema).observe(silver_in, F.count("*").alias("rows_input"))
     names = [c for c in bronze.columns if c not in ("item_id", "listed_price")]
     silver = valuation.normalize(valuation.listed(bronze)).observe(silver_out, F.count("*").alias("normalized"))
     silver = observations.latest_per_item(silver.withColumn("_at", F.try_to_timestamp("listed_at")), "item_id", "_at", ["event_key"]).drop("_at")
@@ -49,7 +49,7 @@ def build(observed: DataFrame, path: str, *, default_date: str, order: list[str]
     flat = silver.select("*", *(F.col(f"numeric.{c}").alias(f"numeric_{c}") for c in numbers)).drop("numeric")
     silver_rows = Observation()
     parts["silver"] = files.write_layer(flat.observe(silver_rows, F.count("*").alias("rows")), f"{path}/silver", ["snapshot_date", "league", "item_family"])
-    silver = files.read_partitions(spark, f"{path}/silver", parts["silver"]).withColumn("numeric", F.struct(*(F.col(f"numeric_{c}").alias(c) for c in numbers)))
+    silver = files.read_partitions(spark, f"{path}/silver", parts["silver"], textual(flat, "snapshot_date", "league", "item_family").schema).withColumn("numeric", F.struct(*(F.col(f"numeric_{c}").alias(c) for c in numbers)))
     wanted = (
         *names, "item_id", "item_family", "ilvl_band", "base_type", "ilvl", "listed_at", *valuation.FLAGS, "mod_count", "open_affixes", "open_prefixes", "open_suffixes", "is_influenced",
         *valuation.NUMERIC_WEIGHTS, "meta_utility_score",
@@ -68,5 +68,9 @@ def build(observed: DataFrame, path: str, *, default_date: str, order: list[str]
     return spark.createDataFrame(rows, "layer string, metric string, value double")
 
 
+def textual(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def good(payload: Column) -> Column:
     return F.coalesce(observations.valid_object(payload), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listing_lake.operators import valuation
 from listing_lake.operators.shared import written
@@ -35,13 +36,16 @@ def write_layer(df: DataFrame, path: str, partitions: list[str], *, mode: str =
     return sorted(tuple(r) for r in seen.get["partitions"])
 
 
-def read_partitions(spark: SparkSession, path: str, partitions: list[tuple[str, ...]]) -> DataFrame:
-    """The given partitions of a layer, as text; no other file is opened."""
-    layer = spark.read.option("basePath", path)
+def read_partitions(spark: SparkSession, path: str, partitions: list[tuple[str, ...]], schema: StructType | None = None) -> DataFrame:
+    """The given partitions of a layer, partition columns as text; no other file is opened. With ``schema``, a layer without any
+    files is an empty frame."""
+    if not partitions and schema is not None:
+        return spark.createDataFrame([], schema)
     names = partition_columns(spark, path)
-    wanted = [F.struct(*(F.lit(v) for v in p)) for p in partitions]
-    df = spark.read.parquet(path) if not wanted else layer.parquet(*(f"{path}/" + "/".join(f"{n}={escaped(v)}" for n, v in zip(names, p, strict=True)) for p in partitions))
-    df = df.filter(F.lit(bool(wanted)))
+    reader = spark.read.option("basePath", path)
+    reader = reader.schema(schema) if schema is not None else reader
+    folders = ["/".join(f"{n}={escaped(v)}" for n, v in zip(names, p, strict=True)) for p in partitions]
+    df = reader.parquet(*(f"{path}/{f}" for f in folders)) if folders else spark.read.parquet(path).filter("false")
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 
 

@@ -108,6 +108,8 @@ def test_snapshots_count_each_layer_and_keep_earlier_dates(spark, tmp_path):
     gold = spark.read.parquet(f"{tmp_path}/gold")
     kept = {r.item_id: r for r in gold.collect()}
     assert kept["a"].price_chaos == 20.0 and kept["a"].price_fix_suspected and kept["a"].seen_count == 2 and kept["a"].has_life == 1.0
+    none = {(r.layer, r.metric): r.value for r in snapshot.build(frame.filter("n < 0"), str(tmp_path / "none"), default_date="1999-01-01", order=["n"]).collect()}
+    assert none.keys() == told.keys() and set(none.values()) == {0.0}
     later = spark.createDataFrame([("stash", "L", "z", "2024-01-02T00:00:00Z", "2024-01-02T00:05:00Z", 7.0, item(), 1)], schema)
     snapshot.build(later, str(tmp_path), default_date="1999-01-01", order=["n"])
     assert spark.read.parquet(f"{tmp_path}/gold").count() == 3 and spark.read.parquet(f"{tmp_path}/bronze").count() == 5
