@@ -24,44 +24,47 @@ MOST_STEPS = 1000
 FOUND = "array<struct<text:string,rank:int>>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: inside lambdas an expression is evaluated wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rank_of(value: Column) -> Column:
     """A positive tier from a number or from text such as ``T1``; null for anything else."""
-    kind = F.schema_of_variant(value)
-    text = F.regexp_extract(F.try_variant_get(value, "$", "string"), NUMBERED, 1)
-    number = F.when(kind == "STRING", F.when(text != "", text).try_cast("double"))
-    number = number.when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
-    return F.when((number >= 1) & (number < 2**31), F.floor(number).cast("int"))
 
+    def read(kind: Column) -> Column:
+        text = F.regexp_extract(F.try_variant_get(value, "$", "string"), NUMBERED, 1)
+        number = F.when(kind == "STRING", F.when(text != "", text).try_cast("double"))
+        return number.when((kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
 
-def object_of(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>")
+    return bound(bound(F.schema_of_variant(value), read), lambda n: F.when((n >= 1) & (n < 2**31), F.floor(n).cast("int")))
 
 
-def inside(value: Column) -> Column:
-    """The values of an object or an array, or none."""
-    values = F.coalesce(F.map_values(object_of(value)), F.try_variant_get(value, "$", "array<variant>"))
-    return F.coalesce(values, F.array().cast("array<variant>"))
+def tiered(entry: Column) -> Column:
+    """An object's text and tier, in an array; empty where it has no tier. ``entry``: its fields as a map."""
+    ranks = (bound(F.try_element_at(entry, F.lit(k)), lambda v: F.when(v.isNotNull(), rank_of(v))) for k in TIER_KEYS)
+    words = (F.coalesce(F.try_variant_get(F.try_element_at(entry, F.lit(k)), "$", "string"), F.lit("")) for k in TEXT_KEYS)
+    one = lambda rank: F.when(rank.isNotNull(), F.array(F.struct(F.lower(F.concat_ws(" ", *words)).alias("text"), rank.alias("rank"))))
+    some = F.arrays_overlap(F.map_keys(entry), F.array(*map(F.lit, TIER_KEYS)))
+    return F.coalesce(F.when(some, bound(F.coalesce(*ranks), one)), F.array().cast(FOUND))
 
 
-def tiered(value: Column) -> Column:
-    """An object's text and tier, in an array; empty where it has no tier."""
-    entry = object_of(value)
-    rank = F.coalesce(*(rank_of(F.try_element_at(entry, F.lit(k))) for k in TIER_KEYS))
-    words = (F.coalesce(F.try_variant_get(F.try_element_at(entry, F.lit(k)), "$", "string"), F.lit("")) for k in TEXT_KEYS)
-    one = F.struct(F.lower(F.concat_ws(" ", *words)).alias("text"), rank.alias("rank"))
-    return F.when(rank.isNotNull(), F.array(one)).otherwise(F.array().cast(FOUND))
+def looked_into(value: Column) -> Column:
+    """The values of an object or an array, or none, and its tier if it is an object that has one."""
+    of = lambda entry: F.struct(F.coalesce(F.map_values(entry), F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")).alias("inside"), tiered(entry).alias("found"))
+    return bound(F.try_variant_get(value, "$", "map<string,variant>"), of)
 
 
 def all_tiered(payload: Column) -> Column:
     """Text and tier of every object with a tier, however deep."""
-    doc = F.try_parse_json(payload)
-    roots = F.filter(F.array(*(F.try_variant_get(doc, f"$.{k}", "variant") for k in ROOTS)), lambda v: v.isNotNull())
-    start = F.struct(F.coalesce(roots, F.array().cast("array<variant>")).alias("level"), F.array().cast(FOUND).alias("found"))
+    none = F.array().cast("array<variant>")
+    roots = bound(F.try_parse_json(payload), lambda doc: F.filter(F.array(*(F.try_variant_get(doc, f"$.{k}", "variant") for k in ROOTS)), lambda v: v.isNotNull()))
+    start = F.struct(F.coalesce(roots, none).alias("level"), F.array().cast(FOUND).alias("found"))
     steps = F.least(F.length(F.regexp_replace(payload, r"[^\[{]", "")), F.lit(MOST_STEPS))  # the parser reads no deeper
 
     def step(acc: Column, _: Column) -> Column:
-        level = F.flatten(F.transform(acc["level"], inside)).alias("level")
-        return F.struct(level, F.concat(acc["found"], F.flatten(F.transform(acc["level"], tiered))).alias("found"))
+        on = lambda each: F.struct(F.flatten(each["inside"]).alias("level"), F.concat(acc["found"], F.flatten(each["found"])).alias("found"))
+        return F.when(F.size(acc["level"]) > 0, bound(F.transform(acc["level"], looked_into), on)).otherwise(acc)
 
     return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda acc: acc["found"])
 

@@ -9,6 +9,10 @@ from listing_lake.functions import listing as L
 from listing_lake.operators.shared import with_running
 
 
+#: How objects begin, and how those of no field do.
+OBJECT, EMPTY = r"^[ \t\r\n]*\{", r"^[ \t\r\n]*\{[ \t\r\n]*\}"
+
+
 def event_key(*columns: str) -> Column:
     """SHA-1 over the columns' texts; a null counts as the text ``None``, so it differs from an empty one."""
     return F.sha1(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns)).cast("binary"))
@@ -20,7 +24,8 @@ def canonical_json(payload: Column) -> Column:
 
 
 def valid_object(payload: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False))
+    """Whether JSON is an object: what the parser takes and what begins with a brace."""
+    return F.coalesce(payload.rlike(OBJECT) & F.try_parse_json(payload).isNotNull(), F.lit(False))
 
 
 def load_observations(stash: DataFrame | None, trade: DataFrame | None, defaults: dict[str, object]) -> DataFrame:
