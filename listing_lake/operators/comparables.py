@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from listing_lake.operators.shared import across, in_shares, share_window
+from listing_lake.operators.shared import across, in_shares, per_group, share_window
 
 
 def position(price: Column, floor: Column, median: Column, spread: Column) -> Column:
@@ -85,7 +85,9 @@ def with_comparables(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     own = histogram_without_own(hist, keys, price)
     names = ["market_floor", "market_median", "market_spread", "comparables_count"]
     own = own.select(*(F.col(c).alias(f"_{c}") for c in [*keys, price]), *(F.struct(*names).alias("_own"),))
+    own = per_group(own, "price-own")
     every = histogram_stats(hist, keys).select(*(F.col(c).alias(f"_e_{c}") for c in keys), F.struct(*names).alias("_all"))
+    every = per_group(every, "price-all")
     out = df.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, price]], "left")
     out = out.join(every, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in keys], "left")
     alone = {"market_floor": F.round(price, 1), "market_median": F.round(price, 1), "market_spread": F.lit(0.0), "comparables_count": F.lit(1)}
