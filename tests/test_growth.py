@@ -22,3 +22,11 @@ def test_mods_are_not_interpreted_row_by_row(spark):
     rows = spark.createDataFrame([("Wand", MODS, [], [], 84, False)], "base_type string, explicit_mods array<string>, implicit_mods array<string>, influences array<string>, ilvl int, fractured boolean")
     plan = valuation.normalize(rows)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_values_half_way_do_not_hang_on_the_last_bit(spark):
+    from listing_lake.operators import meta
+
+    rows = [("n", "b", 125.44999999999999), ("n", "a", 125.45), ("n", "c", 125.40)]
+    methods = spark.createDataFrame(rows, "niche string, method string, value_delta double").selectExpr("*", "1.0D AS hit_probability", "0.0D AS method_cost", "0.0D AS brick_risk", "0.0D AS niche_base_cost")
+    assert [(r.method, r.ev_net_value) for r in meta.craft_values(methods).orderBy("rank").collect()] == [("a", 125.5), ("b", 125.5), ("c", 125.4)]
