@@ -30,3 +30,11 @@ def test_values_half_way_do_not_hang_on_the_last_bit(spark):
     rows = [("n", "b", 125.44999999999999), ("n", "a", 125.45), ("n", "c", 125.40)]
     methods = spark.createDataFrame(rows, "niche string, method string, value_delta double").selectExpr("*", "1.0D AS hit_probability", "0.0D AS method_cost", "0.0D AS brick_risk", "0.0D AS niche_base_cost")
     assert [(r.method, r.ev_net_value) for r in meta.craft_values(methods).orderBy("rank").collect()] == [("a", 125.5), ("b", 125.5), ("c", 125.4)]
+
+
+def test_labels_have_the_decimals_of_printf(spark):
+    from listing_lake.functions import listing as L
+
+    values = [9999.25, 9999.75, 9999.35, 0.25, 0.05, 0.15, 0.95, 9999.95, -0.25, -12.35, 1e-9, 0.0, 123456.65, 7.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", L.one_decimal(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in got} == {v: f"{v:.1f}" for v in values}
