@@ -66,14 +66,20 @@ def gold_utility(spark, d):
 SERVED = {"wand_caster": "loaded", "jewel_cluster": "loaded", "accessory_generic": "checksum_mismatch", "body_armour_defense": "no_model", "generic": "no_model"}
 
 
-def _registry(spark, d):
+def _serving_silver(spark, d):
+    """What features and values take of silver, written once: the training set reads it, and so does each model's branch."""
+    names = ("price_chaos", "item_family", "ilvl", "mod_tokens", "numeric", "influences", "fractured", "open_prefixes", "open_suffixes")
+    return written(valuation.normalize(items(spark, d)).select(*TIE, *names), "serving-silver")
+
+
+def _registry(spark, silver):
     """A registry of small models: two as they were saved, one changed behind the registry's back, one that the policy rejects."""
-    gold = jobs._training_set(spark, d)
     names = sorted({n for f in SERVED for n in serving.feature_names(f)})
-    gold = written(gold.select("item_family", "price_chaos", F.when(F.col("o_key") % 5 == 0, "test").otherwise("train").alias("part"), *names), "serving-gold")
+    gold = valuation.features(silver).select("item_family", "price_chaos", F.when(F.col("o_key") % 5 == 0, "test").otherwise("train").alias("part"), *names)
+    gold = written(training.summed_rows(gold, ["item_family", "part", *names], "price_chaos"), "serving-gold")
     models = {}
     for family in ("wand_caster", "jewel_cluster", "accessory_generic", "generic"):
-        fitted, _ = training.train_models(gold, [(family, F.col("item_family") == family)], "price_chaos", serving.feature_names(family), depth=2, rate=0.3, rounds=2)
+        fitted, _ = training.train_models(gold, [(family, F.col("item_family") == family)], "price_chaos", serving.feature_names(family), depth=2, rate=0.3, rounds=2, weight="weight")
         if fitted[family] is not None:
             models[family] = fitted[family]
     base = folder(spark, "models")
@@ -86,15 +92,16 @@ def _registry(spark, d):
 
 def registry_predictions(spark, d):
     """Every listing's value with models from the registry: a model's value is only said to be there, all else is exact."""
-    models, _ = serving.load(spark, _registry(spark, d))
-    out = serving.predict_with_registry(valuation.normalize(items(spark, d)), models)
+    silver = _serving_silver(spark, d)
+    models, _ = serving.load(spark, _registry(spark, silver))
+    out = serving.predict_with_registry(silver, models)
     modelled = F.col("model_source") == "family_model"
     return out.select(*TIE, "item_family", "model_source", "confidence", "feature_completeness", F.when(~modelled, F.col("predicted_value")).alias("fallback"), (F.col("predicted_value") >= 0).alias("sane"))
 
 
 def registry_report(spark, d):
     """What became of each family's model."""
-    return serving.load(spark, _registry(spark, d))[1].select("family", "run_id", "state").withColumn("run_id", F.when(F.col("state") != "no_model", F.col("run_id")))
+    return serving.load(spark, _registry(spark, _serving_silver(spark, d)))[1].select("family", "run_id", "state").withColumn("run_id", F.when(F.col("state") != "no_model", F.col("run_id")))
 
 
 _QUERIES = (silver_of_payloads, tier_mismatch_scan, gold_utility, registry_predictions, registry_report)

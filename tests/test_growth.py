@@ -38,3 +38,35 @@ def test_labels_have_the_decimals_of_printf(spark):
     values = [9999.25, 9999.75, 9999.35, 0.25, 0.05, 0.15, 0.95, 9999.95, -0.25, -12.35, 1e-9, 0.0, 123456.65, 7.0]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", L.one_decimal(F.col("v")).alias("t")).collect()
     assert {r.v: r.t for r in got} == {v: f"{v:.1f}" for v in values}
+
+
+def test_fits_get_rows_alike_once_and_the_trees_stay(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import GBTRegressor
+
+    from listing_lake.operators import training
+
+    rows = [("ab"[i % 2], float(i % 7), float(i % 3), "test" if i % 5 == 0 else "train", (i % 7) * 3.0 + (i % 2) * (i % 3) + i * 37 % 101 / 10) for i in range(3000)]
+    gold = spark.createDataFrame([*rows, ("c", None, 1.0, "train", 2.0)], "kind string, x double, y double, part string, price double").cache()
+    plain = {}
+    for kind in "ab":
+        some = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(gold.filter(F.col("kind") == kind)).withColumn("validating", F.col("part") == "test")
+        plain[kind] = GBTRegressor(labelCol="price", maxDepth=3, stepSize=0.3, maxIter=8, validationIndicatorCol="validating", seed=42).fit(some)
+    read, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: read.append(df.count()) or fit(self, df))
+    models, told = training.train_models(gold, [(k, F.col("kind") == k) for k in "abc"], "price", ["x", "y"], depth=3, rate=0.3, rounds=8)
+    assert read == [2 * 7 * 3 * 2] * 2 and models["c"] is None and told.count() == 3000
+    for kind in "ab":
+        assert models[kind].getNumTrees == plain[kind].getNumTrees
+        assert all(abs(models[kind].predict(v) - plain[kind].predict(v)) < 1e-9 for v in (Vectors.dense(x, y) for x in range(7) for y in range(3)))
+
+
+def test_summed_rows_keep_number_sum_and_squares(spark):
+    from listing_lake.operators import training
+
+    rows = [("a", 1.0), ("a", 4.0), ("a", 10.0), ("b", 5.0), ("b", 5.0), (None, 2.0), ("n", None), ("n", 1.0)]
+    out = training.summed_rows(spark.createDataFrame(rows, "k string, t double"), ["k"], "t").collect()
+    told = {k: [(r.t, r.weight) for r in out if r.k == k] for k in ("a", "b", None, "n")}
+    assert len(told["a"]) == 2 and [round(sum(w * t**p for t, w in told["a"]), 9) for p in (0, 1, 2)] == [3, 15, 117]
+    assert told["b"] == [(5.0, 2.0)] and told[None] == [(2.0, 1.0)] and all(t is None for t, _ in told["n"])
