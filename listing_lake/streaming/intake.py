@@ -19,12 +19,16 @@ ITEM = "id string, baseType string, name string, ilvl int, frameType int, note s
 
 
 def page_events(pages: DataFrame) -> DataFrame:
-    """Priced rare and unique items of stash pages as event rows. Items without an id or a usable price note are left out."""
+    """Priced rare and unique items of stash pages as event rows. Items without an id or a usable price note are left out. An item
+    and its note come from generators of one row, over which the engine neither copies an expression nor moves a filter, so each is
+    parsed once; notes are those of rare and unique items alone."""
     stash = pages.select("change_id", "collected_at", F.explode("raw_payload.stashes").alias("s"))
     item = stash.select("change_id", "collected_at", "s.stash", "s.league", "s.accountName", F.explode("s.items").alias("raw"))
-    item = item.withColumns({"i": F.from_json("raw", ITEM)}).withColumn("p", L.parse_price_note(F.coalesce("i.note", "stash")))
-    item = item.withColumn("chaos", L.to_chaos_fixed(F.col("p.amount"), F.col("p.currency"))).withColumn("rarity", L.useful_item(F.col("i.frameType"), F.col("chaos")))
-    good = item.filter(F.col("rarity").isNotNull() & F.col("i.id").isNotNull() & (F.col("i.id") != ""))
+    item = item.select("*", F.explode(F.array(F.from_json("raw", ITEM))).alias("i"))
+    item = item.filter(L.useful_item(F.col("i.frameType"), F.lit(1.0)).isNotNull() & (F.col("i.id") != ""))
+    item = item.select("*", F.explode(F.array(L.parse_price_note(F.coalesce("i.note", "stash")))).alias("p"))
+    item = item.withColumn("chaos", L.to_chaos_fixed(F.col("p.amount"), F.col("p.currency")))
+    good = item.withColumn("rarity", L.useful_item(F.col("i.frameType"), F.col("chaos"))).filter("rarity IS NOT NULL")
     return good.select(
         "change_id", F.col("i.id").alias("item_id"), "league", F.col("accountName").alias("account_name"), F.col("stash").alias("stash_name"), "rarity", F.col("i.baseType").alias("base_type"),
         F.col("i.ilvl").alias("item_level"), F.col("p.amount").alias("price_amount"), F.col("p.currency").alias("price_currency"), F.col("chaos").alias("price_chaos"),

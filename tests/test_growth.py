@@ -70,3 +70,22 @@ def test_summed_rows_keep_number_sum_and_squares(spark):
     told = {k: [(r.t, r.weight) for r in out if r.k == k] for k in ("a", "b", None, "n")}
     assert len(told["a"]) == 2 and [round(sum(w * t**p for t, w in told["a"]), 9) for p in (0, 1, 2)] == [3, 15, 117]
     assert told["b"] == [(5.0, 2.0)] and told[None] == [(2.0, 1.0)] and all(t is None for t, _ in told["n"])
+
+
+def test_items_and_notes_are_parsed_once(spark):
+    import json
+
+    from listing_lake.streaming import intake
+
+    notes = ["~price 2 divine", "~b/o 1/2 chaos", "~price 5", "~price chaos 5", "price 3 chaos", "~price -1 chaos", "~price x 4 (div) chaos", "", None, " ~PRICE .5 Exalted ", "~price 1e999 chaos", "~price 3 xx chaos 4 divine"]
+    items = [json.dumps({"id": f"i{n}", "frameType": 2 + n % 2, "note": note}) for n, note in enumerate(notes)]
+    items += [json.dumps({"id": i, "frameType": f, "note": "~price 1 chaos"}) for i, f in (("", 2), (None, 2), ("x", 0), ("y", None), ("z", 3))] + ["{bad", "[]"]
+    pages = spark.createDataFrame([("c", "2024-01-01T00:00:00Z", ("n", [("~b/o 7 chaos", "L", "a", items), ("plain", None, "b", [items[8], items[0]])]))], intake.PAGE.replace("next_change_id string, stashes_count int, items_count int, ", "", 1).replace(", _corrupt string", ""))
+    events = intake.page_events(pages)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("split(") == 1
+    got = sorted((r.item_id, r.rarity, r.stash_name, r.price_amount, r.price_currency, r.price_chaos) for r in events.collect())
+    rare = lambda n: "rare" if n % 2 == 0 else "unique"
+    own = [(0, 2.0, "divine", 250.0), (1, 1.0, "chaos", 1.0), (6, 4.0, "divine", 500.0), (8, 7.0, "chaos", 7.0), (9, 0.5, "exalted", 30.0), (11, 3.0, "chaos", 3.0)]
+    want = [(f"i{n}", rare(n), "~b/o 7 chaos", *told) for n, *told in own] + [("z", "unique", "~b/o 7 chaos", 1.0, "chaos", 1.0), ("i0", "rare", "plain", 2.0, "divine", 250.0)]
+    assert got == sorted(want)
