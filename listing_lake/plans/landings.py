@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listing_lake.operators.shared import folder
+from listing_lake.operators.shared import folder, written
 from listing_lake.plans.driver_tables import LISTINGS, TIE, listings, table
 from listing_lake.sources import files
 from listing_lake.streaming import intake
@@ -80,12 +80,13 @@ def offers(spark, d):
 
 
 def exports(spark, d):
-    """Rows exported in every format and read back."""
-    rows = listings(spark, d).select(*TIE, F.array("league", "source").alias("tags"), F.struct("ilvl").alias("item"))
+    """Rows exported in every format and read back. They are written once before, so that no format joins them anew, and their text is
+    compressed, as most of what moves is text."""
+    rows = written(listings(spark, d).select(*TIE, F.array("league", "source").alias("tags"), F.struct("ilvl").alias("item")), "export-rows")
     told = None
     for fmt in ("json", "jsonl", "csv"):
         path = folder(spark, f"export-{fmt}")
-        files.export(rows, path, fmt)
+        files.export(rows, path, fmt, compression="gzip")
         if fmt == "csv":
             back = spark.read.option("header", True).option("escape", '"').csv(path).select(F.col("ext_price").cast("double").alias("x"), F.from_json("tags", "array<string>").alias("tags"), F.from_json("item", "ilvl int").alias("item"))
         else:

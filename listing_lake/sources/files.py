@@ -120,13 +120,14 @@ def featurised(raw: DataFrame) -> DataFrame:
     return valuation.features(valuation.normalize(valuation.listed(raw.filter("price_chaos > 0"))))
 
 
-def export(df: DataFrame, path: str, fmt: str) -> None:
-    """json (one object a line), jsonl (the same) or csv; nested columns become JSON text in csv."""
+def export(df: DataFrame, path: str, fmt: str, compression: str | None = None) -> None:
+    """json (one object a line), jsonl (the same) or csv; nested columns become JSON text in csv. ``compression``: of the files, such as
+    ``gzip``; a file is then read by one task, so it should be no larger than what one task wrote."""
     if fmt == "csv":
         df = df.withColumns({c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "struct", "map"))})
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path, compression=compression)
     elif fmt in ("json", "jsonl"):
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").json(path, compression=compression)
     else:
         raise ValueError(f"unknown format {fmt}")
 

@@ -89,3 +89,21 @@ def test_items_and_notes_are_parsed_once(spark):
     own = [(0, 2.0, "divine", 250.0), (1, 1.0, "chaos", 1.0), (6, 4.0, "divine", 500.0), (8, 7.0, "chaos", 7.0), (9, 0.5, "exalted", 30.0), (11, 3.0, "chaos", 3.0)]
     want = [(f"i{n}", rare(n), "~b/o 7 chaos", *told) for n, *told in own] + [("z", "unique", "~b/o 7 chaos", 1.0, "chaos", 1.0), ("i0", "rare", "plain", 2.0, "divine", 250.0)]
     assert got == sorted(want)
+
+
+def test_exports_join_once_and_write_compressed_text(spark, monkeypatch):
+    from pathlib import Path
+
+    from listing_lake.plans import landings
+    from listing_lake.sources import files
+
+    seen, export = [], files.export
+    monkeypatch.setattr(files, "export", lambda df, path, fmt, **more: (seen.append((df._jdf.queryExecution().executedPlan().toString(), path)), export(df, path, fmt, **more)))
+    got = landings.exports(spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 3 and not any("Join" in plan for plan, _ in seen)
+    for _, path in seen:
+        parts = [p.name for p in Path(path.removeprefix("file://")).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.endswith(".gz") for p in parts)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    by = {f: sorted((r.source, r.n, r.levels, r.total) for r in got if r.fmt == f) for f in ("json", "jsonl", "csv")}
+    assert by["json"] == by["jsonl"] == by["csv"] and sum(r[1] for r in by["csv"]) == lines
