@@ -107,3 +107,27 @@ def test_exports_join_once_and_write_compressed_text(spark, monkeypatch):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     by = {f: sorted((r.source, r.n, r.levels, r.total) for r in got if r.fmt == f) for f in ("json", "jsonl", "csv")}
     assert by["json"] == by["jsonl"] == by["csv"] and sum(r[1] for r in by["csv"]) == lines
+
+
+def test_top_plans_write_no_plan_out_in_a_filter(spark):
+    import duckdb
+
+    import __spark_entry__
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("part", "lineitem", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = __spark_entry__.queries()["top_plans"](spark, sf)
+    filters = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
+    assert filters and max(map(len, filters)) < 2000
+    want = db.execute(__spark_entry__.oracle_sql()["top_plans"]).fetchall()
+    assert len(want) == 12 and [tuple(r) for r in got.orderBy("plan_rank").collect()] == want
+
+
+def test_top_plans_are_of_plans_to_keep_alone(spark):
+    from listing_lake.operators import planner
+
+    plans = spark.createDataFrame([(i, [None, True, False][i % 3]) for i in range(30)], "n int, good boolean")
+    best = lambda k, keep=None: [(r.plan_rank, r.n) for r in planner.top_plans(plans, [F.desc("n")], F.col("n").cast("string"), k, keep).orderBy("plan_rank").collect()]
+    assert best(3, F.col("good")) == [(1, 28), (2, 25), (3, 22)] and best(2) == [(1, 29), (2, 28)]
+    assert best(20, F.col("good") & (F.col("n") < 9)) == [(1, 7), (2, 4), (3, 1)] and best(5, F.lit(False)) == []
