@@ -1,5 +1,6 @@
 """Steps whose work or shuffles grew faster than their input, and texts that hung on an engine's rounding."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from listing_lake.functions import mods
@@ -131,3 +132,20 @@ def test_top_plans_are_of_plans_to_keep_alone(spark):
     best = lambda k, keep=None: [(r.plan_rank, r.n) for r in planner.top_plans(plans, [F.desc("n")], F.col("n").cast("string"), k, keep).orderBy("plan_rank").collect()]
     assert best(3, F.col("good")) == [(1, 28), (2, 25), (3, 22)] and best(2) == [(1, 29), (2, 28)]
     assert best(20, F.col("good") & (F.col("n") < 9)) == [(1, 7), (2, 4), (3, 1)] and best(5, F.lit(False)) == []
+
+
+@pytest.mark.parametrize("name", ["bucket_rmse", "regression_metrics", "temporal_split", "feature_overlap"])
+def test_splits_join_the_lines_once(spark, name):
+    import duckdb
+
+    import __spark_entry__
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("part", "lineitem", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = __spark_entry__.queries()[name](spark, sf)
+    assert "l_orderkey" not in got._jdf.queryExecution().executedPlan().toString()
+    sql = db.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in sql.description]
+    norm = lambda rows: sorted((tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    assert sorted(columns) == sorted(got.columns) and norm(got.select(columns).collect()) == norm(sql.fetchall())
