@@ -64,20 +64,20 @@ def latest_per_item(df: DataFrame, item: str, time: str, tie: list[str]) -> Data
     return keep_last(named, [item], [F.col(time).isNull(), F.col(time), *map(F.col, tie)]).unionByName(df.filter(F.col(item).isNull() | (F.col(item) == "")))
 
 
-def rollup(df: DataFrame, *, seen: Column, collected: Column, price: str, keys: tuple[str, str] = ("league", "item_id"), source: str = "source") -> DataFrame:
+def rollup(df: DataFrame, *, seen: Column, collected: Column, price: str, keys: tuple[str, ...] = ("league", "item_id"), source: str = "source", also: dict[str, Column] | None = None) -> DataFrame:
     """Per league and item: first and last seen, sightings, sources, price range, and whether the price looks like an anomaly
-    (the greatest over one and a half times the least, both positive)."""
-    named = df.filter(F.col(keys[1]).isNotNull() & (F.col(keys[1]) != ""))
+    (the greatest over one and a half times the least, both positive). ``also``: other aggregates; with them, rows without an id are a group too."""
+    named = df.filter(F.col(keys[1]).isNotNull() & (F.col(keys[1]) != "")) if also is None else df
     at = F.coalesce(seen, collected)
     out = named.groupBy(*keys).agg(
         F.min(at).alias("first_seen_at"), F.max(at).alias("last_seen_at"), F.count("*").alias("seen_count"),
         (F.max((F.col(source) == "stash").cast("int")) + F.max((F.col(source) == "trade").cast("int"))).cast("long").alias("source_count"),
-        F.min(source).alias("_source"), F.min(price).alias("min_price"), F.max(price).alias("max_price"),
+        F.min(source).alias("_source"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), *(v.alias(k) for k, v in (also or {}).items()),
     )
     return out.select(
         *keys, "first_seen_at", "last_seen_at", "seen_count", "source_count", "min_price", "max_price",
         F.when(F.col("source_count") > 1, "both").otherwise(F.col("_source")).alias("source"),
-        F.coalesce((F.col("min_price") > 0) & (F.col("max_price") > 1.5 * F.col("min_price")), F.lit(False)).alias("price_fix_suspected"),
+        F.coalesce((F.col("min_price") > 0) & (F.col("max_price") > 1.5 * F.col("min_price")), F.lit(False)).alias("price_fix_suspected"), *(also or {}),
     )
 
 
@@ -86,12 +86,42 @@ def reconcile(df: DataFrame, **parameters) -> DataFrame:
     keys = parameters.get("keys", ("league", "item_id"))
     rolled = rollup(df, **parameters).select(*(F.col(k).alias(f"_{k}") for k in keys), "first_seen_at", "last_seen_at", "seen_count", "source_count", F.col("source").alias("all_sources"), "price_fix_suspected")
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return _filled(df.join(rolled, on, "left").drop(*(f"_{k}" for k in keys)), **parameters)
+
+
+def _filled(out: DataFrame, **parameters) -> DataFrame:
+    """Rows that no rollup was found for have one of themselves alone."""
     at = F.coalesce(parameters["seen"], parameters["collected"])
-    out = df.join(rolled, on, "left").drop(*(f"_{k}" for k in keys))
     fill = {"first_seen_at": at, "last_seen_at": at, "seen_count": F.lit(1), "source_count": F.lit(1), "all_sources": F.col(parameters.get("source", "source")), "price_fix_suspected": F.lit(False)}
     return out.withColumns({c: F.coalesce(c, v) for c, v in fill.items()})
 
 
+KNOWN = ("first_seen_at", "last_seen_at", "seen_count", "source_count", "all_sources", "price_fix_suspected")
+
+
+def by_item(df: DataFrame, item: Column, spread: Column) -> DataFrame:
+    """Rows dealt by ``item``, those without one by ``spread``, and the text ``_p`` of that. Counts of an :class:`Observation` belong behind this
+    step: where it hands on no row, the engine leaves out what is before it, and counts there are lost."""
+    place = F.coalesce(F.when(item != "", item), F.concat(F.lit("\0"), spread.cast("string")))
+    return df.withColumn("_p", place).repartition("_p")
+
+
+def gathered(df: DataFrame, *, event: str, order: list[str], offered: Column, at: Column, **parameters) -> DataFrame:
+    """Of equal events (``event``) the last by ``order``, each with the rollup of its league and item as by :func:`reconcile`, and ``is_latest``:
+    whether it is the row of :func:`latest_per_item` among rows that are ``offered``, by the time ``at`` and the event.
+
+    ``df`` is dealt :func:`by_item`, and equal events have the same item. So whole rows are shuffled once: what is taken out, summed up and
+    looked up here is of one item, and stays where it is. Nothing holds an item's rows, but one task goes through them."""
+    last = F.max_by(F.struct(*(c for c in df.columns if c not in ("_p", event))), F.struct(*order)).alias("_row")
+    events = df.groupBy("_p", event).agg(last).select("_p", event, "_row.*")
+    rolled = rollup(events, keys=("league", "item_id", "_p"), also={"_best": F.max(F.when(offered, F.struct(at.isNull().alias("bad"), at.alias("at"), F.col(event).alias("event"))))}, **parameters)
+    entry = F.struct(F.struct("league", "item_id"), F.struct(*(F.col("source" if c == "all_sources" else c).alias(c) for c in KNOWN)))
+    items = rolled.groupBy(F.col("_p").alias("_item")).agg(F.map_from_entries(F.collect_list(F.when(F.coalesce("item_id", F.lit("")) != "", entry))).alias("_known"), F.max("_best")["event"].alias("_latest"))
+    out = events.join(items, F.col("_p") == F.col("_item"), "left").withColumn("_known", F.try_element_at("_known", F.struct("league", "item_id")))
+    latest = F.coalesce(offered & (F.col("_p").startswith("\0") | (F.col(event) == F.col("_latest"))), F.lit(False))
+    return _filled(out.withColumns({c: F.col(f"_known.{c}") for c in KNOWN} | {"is_latest": latest}), **parameters).drop("_p", "_item", "_known", "_latest")
+
+
 def aged(df: DataFrame, indexed: str, collected: str, scale: float = 1.0) -> DataFrame:
     age = L.age_seconds(F.col(indexed), F.col(collected)) / scale
     return df.withColumn("listing_age_seconds", age).withColumn("freshness_band", L.freshness_band(F.col("listing_age_seconds")))

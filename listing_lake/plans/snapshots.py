@@ -24,7 +24,7 @@ def snapshot_metrics(spark, d):
     rows = items(spark, d).withColumns({"raw_item_json": raw, "change_id": F.concat_ws("-", *TIE), "indexed": F.expr(f"CAST({YEAR} AS STRING)"), "collected_at": F.expr(f"CAST({YEAR} + size * INTERVAL 500 SECOND AS STRING)"), "account_name": F.col("seller")})
     rows = rows.withColumn("copy", F.explode(F.when(F.col("line_no") == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     rows = rows.select("source", "league", "item_id", "indexed", "collected_at", "price_chaos", "account_name", "change_id", "raw_item_json", "copy")
-    told = snapshot.build(rows, folder(spark, "snapshot"), default_date="1999-01-01", order=["change_id", "copy"])
+    told = snapshot.build(rows, folder(spark, "snapshot"), default_date="1999-01-01", order=["change_id", "copy"], deal=False)
     # which of two equally late rows of an item stays is by their event keys; partitions of the later layers hang on that
     return told.filter("layer = 'bronze' OR metric <> 'partitions'")
 

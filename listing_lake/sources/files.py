@@ -18,15 +18,16 @@ def read_stash_pages(spark: SparkSession, path: str, stream: bool = False) -> Da
     return pages.filter(F.col("_corrupt").isNull() & F.col("change_id").isNotNull()).drop("_corrupt")
 
 
-def write_layer(df: DataFrame, path: str, partitions: list[str], *, mode: str = "replace") -> list[tuple[str, ...]]:
+def write_layer(df: DataFrame, path: str, partitions: list[str], *, mode: str = "replace", deal: bool = True) -> list[tuple[str, ...]]:
     """Write a layer by partition columns, nulls as ``unknown``; returns the partitions that it has rows for. Partitions of earlier
     writes stay: ``replace`` puts the new rows in place of those in the same partitions, so a repeated write changes nothing,
     ``append`` adds to them. Rows are dealt by the partition columns, and the engine splits
-    large ones, so a hot partition is several files and a small one is one."""
+    large ones, so a hot partition is several files and a small one is one; without ``deal`` they stay where they are, and each task writes
+    a file to each partition that it has rows for, which is the better way where partitions are few and rows are many."""
     seen = Observation()
     df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in partitions})
-    df = df.hint("rebalance", *partitions).observe(seen, F.collect_set(F.struct(*partitions)).alias("partitions"))
-    writer = df.write.partitionBy(*partitions)
+    df = (df.hint("rebalance", *partitions) if deal else df).observe(seen, F.collect_set(F.struct(*partitions)).alias("partitions"))
+    writer = df.write.partitionBy(*partitions).option("compression", "zstd")
     if mode == "replace":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     elif mode == "append":

@@ -113,3 +113,52 @@ def test_snapshots_count_each_layer_and_keep_earlier_dates(spark, tmp_path):
     later = spark.createDataFrame([("stash", "L", "z", "2024-01-02T00:00:00Z", "2024-01-02T00:05:00Z", 7.0, item(), 1)], schema)
     snapshot.build(later, str(tmp_path), default_date="1999-01-01", order=["n"])
     assert spark.read.parquet(f"{tmp_path}/gold").count() == 3 and spark.read.parquet(f"{tmp_path}/bronze").count() == 5
+
+
+def observed(spark, n=400):
+    """Sightings of few items in two leagues: equal events, payloads that are bad, empty or hold the id, times that can't be read, blank offers."""
+    rows = []
+    for i in range(n):
+        own, league = [f"i{i * 7 % 23}", f"i{i * 7 % 23}", "", None][0 if i % 9 else i % 4], ["A", "B", None][i * 5 % 3]
+        inner = {"baseType": ["Opal Wand", "Gold Ring"][i % 2], "ilvl": 60 + i % 30, "explicitMods": ["+40 to maximum Life"]} | ({"id": f"i{i % 5}", "indexed": "2024-02-01T00:00:00Z"} if i % 6 == 0 else {})
+        raw = "{bad" if i % 17 == 0 else " { } " if i % 19 == 0 else "[1]" if i % 29 == 0 else json.dumps(inner)
+        seen = ["bad time", "", f"2024-01-{i * 3 % 28 + 1:02}T{i % 24:02}:00:00Z"][2 if i % 11 else i % 2]
+        row = (["stash", "trade"][i * 3 % 2], league, own, seen, f"2024-03-01T{i % 24:02}:00:00Z", float(i % 13), raw, f"c{i % 40}", ["hi", None, " "][0 if i % 8 else i % 3], i)
+        rows += [row] if i % 10 else [row, (*row[:1], "B", *row[2:6], raw.replace(", ", " , "), *row[7:9], i + n)]
+    schema = "source string, league string, item_id string, indexed string, collected_at string, price_chaos double, raw_item_json string, change_id string, whisper string, n int"
+    return spark.createDataFrame(rows, schema).repartition(5)
+
+
+def test_rows_of_an_item_are_moved_once_and_told_as_by_the_plain_steps(spark, tmp_path, monkeypatch):
+    import re
+
+    from listing_lake.operators import observations, valuation
+
+    plans, write = {}, files.write_layer
+    monkeypatch.setattr(files, "write_layer", lambda df, path, by, **more: (plans.update({path.rsplit("/", 1)[1]: df._jdf.queryExecution().executedPlan().toString()}), write(df, path, by, **more))[1])
+    frame, out = observed(spark), {}
+    for deal in (True, False):
+        told = {(r.layer, r.metric): r.value for r in snapshot.build(frame, f"{tmp_path}/{deal}", default_date="1999-01-01", order=["n"], deal=deal).collect()}
+        assert set(re.findall(r"Exchange (\w+\(\w+)", plans["bronze"])) - {"RoundRobinPartitioning(5"} == {"hashpartitioning(_p"} and "Exchange hash" not in plans["silver"]
+        out[deal] = told, {layer: spark.read.parquet(f"{tmp_path}/{deal}/{layer}") for layer in ("bronze", "silver")}
+    # the same by one step after the other, each with a shuffle of its own
+    rows = frame.withColumns({c: F.lit(None).cast("string") for c in ("account_name", "query_id", "base_type")}).withColumn("payload", observations.canonical_json(F.col("raw_item_json"))).filter("payload LIKE '{%'")
+    plain = observations.keep_last(rows.withColumn("event_key", observations.event_key(*snapshot.KEY)).drop("payload"), ["event_key"], [F.col("n")])
+    plain = observations.reconcile(plain, seen=F.try_to_timestamp("indexed"), collected=F.try_to_timestamp("collected_at"), price="price_chaos").cache()
+    names = ["event_key", "n", "item_id", "raw_item_json", "first_seen_at", "last_seen_at", "seen_count", "source_count", F.col("all_sources").alias("source"), "price_fix_suspected"]
+    want = sorted(map(str, plain.select(*names).collect()))
+    listings = valuation.listed(plain.drop("base_type", "source").withColumnRenamed("all_sources", "source"))
+    latest = observations.latest_per_item(listings.withColumn("_at", F.try_to_timestamp("listed_at")), "item_id", "_at", ["event_key"])
+    kept = sorted(map(str, latest.select("event_key", "item_id", "n").collect()))
+    names[8] = "source"
+    for told, layers in out.values():
+        assert sorted(map(str, layers["bronze"].select(*names).collect())) == want
+        assert sorted(map(str, layers["silver"].select("event_key", "item_id", "n").collect())) == kept
+        assert told["silver", "normalized"] == listings.count() and told["silver", "rows"] == len(kept) and told["bronze", "rows_valid"] == rows.count() > told["bronze", "rows"] == len(want)
+    assert len(kept) < listings.count() and "is_latest" not in out[True][1]["silver"].columns
+
+
+def test_snapshots_of_bad_payloads_alone_count_what_was_read(spark, tmp_path):
+    bad = observed(spark).withColumn("raw_item_json", F.lit("{bad"))
+    told = {(r.layer, r.metric): r.value for r in snapshot.build(bad, str(tmp_path), default_date="1999-01-01", order=["n"]).collect()}
+    assert told["bronze", "rows_read"] == told["bronze", "invalid_json_skipped"] == bad.count() and told["bronze", "rows"] == told["gold", "rows"] == 0
